@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakefold.llm import chat_format, token_store
+from lakefold.llm import chat_format, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": chat_format.op3_chat_format,
+    "op4_quality_rules": quality.op4_quality_rules,
     "op6_token_store": token_store.op6_token_store,
 }
 ORACLES: dict[str, str] = {
