@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakefold.llm import chat_format, quality, token_store
+from lakefold.llm import chat_format, html_text, quality, token_store
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_quality_rules": quality.op4_quality_rules,
     "op6_token_store": token_store.op6_token_store,
+    "op8_html_text": html_text.op8_html_text,
 }
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE,
