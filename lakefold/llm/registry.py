@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakefold.llm import chat_format, html_text, quality, token_store, viterbi_count
+from lakefold.llm import chat_format, html_text, quality, substring_dedup, token_store, viterbi_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_token_counts": viterbi_count.op5_token_counts,
     "op6_token_store": token_store.op6_token_store,
+    "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_html_text": html_text.op8_html_text,
 }
 ORACLES: dict[str, str] = {
