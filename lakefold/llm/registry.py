@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakefold.llm import chat_format, html_text, quality, substring_dedup, token_store, viterbi_count
+from lakefold.llm import chat_format, html_text, near_dedup, quality, substring_dedup, token_store, viterbi_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_quality_rules": quality.op4_quality_rules,
     "op5_token_counts": viterbi_count.op5_token_counts,
