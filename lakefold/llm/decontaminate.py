@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lakefold.llm import textkit
 
-SEED = 4
+SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
 SLACK = 12

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakefold.llm import chat_format, decontaminate, html_text, near_dedup, quality, substring_dedup, token_store, viterbi_count
+from lakefold.llm import chat_format, decontaminate, html_text, near_dedup, packing, quality, substring_dedup, token_store, viterbi_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_near_dedup": near_dedup.op2_near_dedup,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_token_store": token_store.op6_token_store,
     "op7_substring_dedup": substring_dedup.op7_substring_dedup,
     "op8_html_text": html_text.op8_html_text,
+    "op9_packing": packing.op9_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
 }
 ORACLES: dict[str, str] = {
