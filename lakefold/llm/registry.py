@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakefold.llm import chat_format, decontaminate, html_text, near_dedup, packing, quality, substring_dedup, token_store, viterbi_count
+from lakefold.llm import brown_lm, chat_format, decontaminate, html_text, near_dedup, packing, quality, substring_dedup, token_store, viterbi_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_brown_lm": brown_lm.op1_brown_lm,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_chat_format": chat_format.op3_chat_format,
     "op4_quality_rules": quality.op4_quality_rules,
