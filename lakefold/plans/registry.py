@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lakefold.plans import evaluation, people, retrieval
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 FLAGSHIP = "search_evidence"
+QUERIES = retrieval.BOOK.queries | evaluation.BOOK.queries | people.BOOK.queries
+ORACLES = retrieval.BOOK.oracles | evaluation.BOOK.oracles | people.BOOK.oracles
