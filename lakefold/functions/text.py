@@ -9,6 +9,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -173,8 +174,14 @@ def split_list(text: Column, separators: str = "[,;/]", least: int = 1) -> Colum
 def longest_hits(text: Column, vocabulary: list[str]) -> Column:
     """Vocabulary terms that stand as words in a text, without those inside a longer hit; longest first."""
     ordered = sorted(set(vocabulary), key=lambda v: (-len(v), v))
-    present = F.filter(F.array(*map(F.lit, ordered)), lambda v: F.contains(F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" ")), F.concat(F.lit(" "), v, F.lit(" "))))
-    return F.filter(present, lambda v, i: ~F.exists(F.slice(present, 1, i), lambda longer: F.contains(longer, v)))
+    padded = F.concat(F.lit(" "), F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "), F.lit(" "))
+    stands = {v: F.contains(padded, F.lit(f" {v} ")) for v in ordered}
+
+    def counts(v: str) -> Column:
+        inside = [stands[u] for u in ordered if u != v and v in u]
+        return reduce(lambda c, longer: c & ~longer, inside, stands[v])
+
+    return F.array_compact(F.array(*(F.when(counts(v), v) for v in ordered)))
 
 
 def token_set_ratio(a: str | None, b: str | None) -> int:

@@ -48,7 +48,7 @@ def evidence(queries: DataFrame, query_id: str, query_tokens: Column, post: Data
 
 def normalized_evidence(df: DataFrame, query_id: str) -> DataFrame:
     """Evidence as a percentage of the query's best."""
-    return df.withColumn("evidence_norm", 100 * F.col("evidence") / F.max("evidence").over(Window.partitionBy(query_id)))
+    return df.withColumn("evidence_norm", F.try_divide(100 * F.col("evidence"), F.max("evidence").over(Window.partitionBy(query_id))))
 
 
 def top_k(df: DataFrame, query_id: str, order: list[Column], k: int, rank: str = "rank") -> DataFrame:

@@ -8,6 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lakefold.functions import arrays as A
 
@@ -26,6 +27,8 @@ def cosine_top_k(queries: DataFrame, gallery: DataFrame, k: int, query_id: str =
     out = None
     ddl = ", ".join(f"{n} {gallery.schema[item_id].dataType.simpleString() if n == 'item_id' else queries.schema[query_id].dataType.simpleString() if n == 'query_id' else 'double'}" for n in ("query_id", "item_id", "cosine"))
 
+    id_type = to_arrow_type(queries.schema[query_id].dataType)
+
     def block(ids: list, matrix: np.ndarray) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -45,7 +48,7 @@ def cosine_top_k(queries: DataFrame, gallery: DataFrame, k: int, query_id: str =
                         rows.append(np.full(len(best), a + i))
                         columns.append(best)
                     r, c = np.concatenate(rows), np.concatenate(columns)
-                    yield pa.record_batch([pa.array([ids[x] for x in r]), items.take(pa.array(c)), pa.array(scores[r - a, c])], names=["query_id", "item_id", "cosine"])
+                    yield pa.record_batch([pa.array([ids[x] for x in r], type=id_type), items.take(pa.array(c)), pa.array(scores[r - a, c])], names=["query_id", "item_id", "cosine"])
 
         return gallery.where(F.col(vector).isNotNull()).select(item_id, vector).mapInArrow(run, ddl)
 
