@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lakefold.session import shuffle_partitions
+from lakefold.session import shuffle_partitions, written
 
 MAX_LENGTH, MULTIPLE, BUCKETS, BUDGET = 2048, 8, 16, 65_536
 WORD = r"[^\x20\x09-\x0D]+"
@@ -69,7 +69,7 @@ def pack(
 ) -> DataFrame:
     """A row per segment: doc_id, segment, n_tokens, bucket_length, batch (in its bucket), slot (in its batch)."""
     spark = docs.sparkSession
-    found = segments(docs, doc_id, length, max_length)
+    found = written(segments(docs, doc_id, length, max_length), "segments")  # texts are measured once
     padded = (F.ceil(F.greatest("n_tokens", F.lit(1)) / multiple) * multiple).cast("int")
     histogram = sorted((r.length, r.n) for r in found.groupBy(padded.alias("length")).agg(F.count("*").alias("n")).collect())
     lengths = bucket_lengths(np.array([h[0] for h in histogram]), np.array([h[1] for h in histogram]), buckets)
