@@ -140,14 +140,30 @@ def _deal(buckets: int):
 EDGES_DDL = "a bigint, b bigint"
 
 
-def _meet(_key: tuple, table: pa.Table) -> pa.Table:
-    """Of one bucket: each document with the smallest of those in its band."""
-    keys, docs = _read(table, 0, "<u8")
-    order = np.lexsort((docs, keys))
-    keys, docs = keys[order], docs[order]
-    first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=bool)
-    smallest = docs[first][np.cumsum(first) - 1] if len(keys) else docs
-    pairs = np.unique(np.stack((docs, smallest), axis=1)[docs != smallest], axis=0)
+def _meet(parts: int):
+    """Of one bucket: each document with the smallest of those in its band, dealt by document."""
+
+    def run(_key: tuple, table: pa.Table) -> pa.Table:
+        keys, docs = _read(table, 0, "<u8")
+        order = np.lexsort((docs, keys))
+        keys, docs = keys[order], docs[order]
+        first = np.concatenate(([True], keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, dtype=bool)
+        smallest = docs[first][np.cumsum(first) - 1] if len(keys) else docs
+        pairs = np.unique(np.stack((docs, smallest), axis=1)[docs != smallest], axis=0)
+        return pa.Table.from_batches([_batch(list(_blobs((pairs[:, 0] % parts).astype(np.int32), pairs[:, 0], pairs[:, 1], 1)))])
+
+    return run
+
+
+def _contract(_key: tuple, table: pa.Table) -> pa.Table:
+    """Of some documents' edges to smaller ones: each document to its smallest, and the others of them to that one."""
+    smaller, docs = _read(table, 1, "<i8")
+    order = np.lexsort((smaller, docs))
+    smaller, docs = smaller[order], docs[order]
+    first = np.concatenate(([True], docs[1:] != docs[:-1])) if len(docs) else np.zeros(0, dtype=bool)
+    least = smaller[first][np.cumsum(first) - 1] if len(docs) else docs
+    pairs = np.unique(np.concatenate((np.stack((docs, least), axis=1)[first], np.stack((smaller, least), axis=1)[~first])), axis=0)
+    pairs = pairs[pairs[:, 0] != pairs[:, 1]]
     return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
 
 
@@ -207,7 +223,8 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, doc_id: str = "doc_
     signed = written(sign(docs), "signed")
     known = signed.where("doc_id IS NOT NULL")
     groups = written(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_words", "bands")).alias("r")).select("k1", "k2", "r.*"), "representatives")
-    met = groups.where("bands IS NOT NULL").select("doc_id", "bands").mapInArrow(_deal(buckets), BLOBS_DDL).groupBy("bucket").applyInArrow(_meet, EDGES_DDL)
+    met = groups.where("bands IS NOT NULL").select("doc_id", "bands").mapInArrow(_deal(buckets), BLOBS_DDL).groupBy("bucket").applyInArrow(_meet(buckets), BLOBS_DDL)
+    met = met.groupBy("bucket").applyInArrow(_contract, EDGES_DDL)
     clusters = components(met).join(groups.select(F.col("doc_id").alias("node"), "n_words"), "node")
     clusters = written(clusters, "clusters")
     blocks = clusters.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
