@@ -229,12 +229,13 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, doc_id: str = "doc_
     clusters = written(clusters, "clusters")
     blocks = clusters.groupBy("label").agg(F.greatest(F.lit(1), F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n_words") / BLOCK_WORDS)).cast("int").alias("blocks"))
     placed = clusters.join(blocks, "label").select(F.col("node").alias("doc_id"), "label", "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    pairs = docs.join(placed, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # a merge join at every size, so that what moves grows in proportion
+    pairs = docs.join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     pairs = pairs.select("doc_id", "text", "label", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
     links = pairs.groupBy("label", "b1", "b2").applyInArrow(_verify(least), EDGES_DDL)
     classes = components(links).toDF("rep", "class")
     named = groups.select("k1", "k2", F.col("doc_id").alias("rep")).join(classes, "rep", "left").select("k1", "k2", F.coalesce("class", "rep").alias("class_id"))
-    out = signed.join(named, ["k1", "k2"], "left")
+    out = signed.join(named.hint("merge"), ["k1", "k2"], "left")
     return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_words")
 
 
