@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ from lakefold.llm import textkit
 from lakefold.session import shuffle_partitions
 
 WINDOW = 13
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 LOW = np.uint64(0xFFFFFFFF)
 PART, REST = "_part", ("n_words", "n_removed", "removed", "kept_text")
 BLOBS_DDL = "bucket int, kind int, docs binary, counts binary, keys binary"
@@ -268,7 +269,7 @@ def find_repeats(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text:
     spark = docs.sparkSession
     block = (n + 1) // 2
     buckets = max(4, shuffle_partitions(spark))
-    parts = 4 * buckets
+    parts = buckets
     if (doc_id, text) != ("doc_id", "text"):
         docs = docs.drop(*({"doc_id", "text"} - {doc_id, text})).withColumnsRenamed({doc_id: "doc_id", text: "text"})
     docs = docs.drop(*REST, PART).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("doc_id", F.col("doc_id").cast("bigint"))
