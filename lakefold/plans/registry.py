@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lakefold.plans import evaluation, people, retrieval
+from lakefold.plans import decisions, evaluation, people, retrieval
 
 FLAGSHIP = "search_evidence"
-QUERIES = retrieval.BOOK.queries | evaluation.BOOK.queries | people.BOOK.queries
-ORACLES = retrieval.BOOK.oracles | evaluation.BOOK.oracles | people.BOOK.oracles
+QUERIES = retrieval.BOOK.queries | evaluation.BOOK.queries | people.BOOK.queries | decisions.BOOK.queries
+ORACLES = retrieval.BOOK.oracles | evaluation.BOOK.oracles | people.BOOK.oracles | decisions.BOOK.oracles
