@@ -22,7 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document of each class that has its smallest id; of repeated rows of that id, one."""
     classes = near_dedup.near_classes(docs).where("doc_id = class_id").select("doc_id").distinct()
-    known = docs.join(classes, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    known = docs.join(classes.hint("merge"), "doc_id", "left_semi").dropDuplicates(["doc_id"])
     return known.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
