@@ -95,11 +95,12 @@ def search(queries: DataFrame, items: DataFrame, config: SearchConfig = SearchCo
         (F.levenshtein(p["s"], p["t"]) / F.greatest(F.length(p["s"]), F.length(p["t"]), F.lit(1))).alias("ratio"),
         (-F.length(p["t"])).alias("shorter"), F.levenshtein(p["s"], p["t"]).alias("edit")))
     scored = scored.withColumn("best", F.array_min(edits))
-    options = F.flatten(F.transform("snippets", lambda s: F.transform("item_tokens", lambda t: F.struct(s.alias("s"), t.alias("t")))))
-    fuzzy = scored.select("query_id", "slug", F.explode_outer(options).alias("o"))
-    fuzzy = fuzzy.select("query_id", "slug", F.struct(F.coalesce(T.token_set_ratio_column(F.col("o.s"), F.col("o.t")), F.lit(0)).alias("score"), F.col("o.s"), F.col("o.t")).alias("f"))
-    fuzzy = fuzzy.groupBy("query_id", "slug").agg(F.max("f").alias("f"))
-    scored = scored.join(fuzzy, ["query_id", "slug"])
+    # each token of a candidate is compared with the query's snippets once for the query, however many candidates have it
+    of_candidates = scored.select("query_id", "slug").join(post, "slug")
+    asked = of_candidates.select("query_id", "token").distinct().join(q.select("query_id", F.explode("snippets").alias("s")), "query_id")
+    best = asked.withColumn("score", T.token_set_ratio_column(F.col("s"), F.col("token"))).groupBy("query_id", "token").agg(F.max(F.struct("score", "s", "token")).alias("f"))
+    fuzzy = of_candidates.join(best, ["query_id", "token"]).groupBy("query_id", "slug").agg(F.max("f").alias("f"))
+    scored = scored.join(fuzzy, ["query_id", "slug"], "left").withColumn("fuzzy", F.coalesce("f.score", F.lit(0)))
     hit = F.exists("producer_terms", lambda p: (p != "") & F.contains(F.col("qc"), p))
     raw = (
         config.weight_edit * 100 * (1 - F.col("best.ratio"))
@@ -108,8 +109,8 @@ def search(queries: DataFrame, items: DataFrame, config: SearchConfig = SearchCo
         + config.weight_producer * F.coalesce(hit, F.lit(False)).cast("int")
     )
     scored = scored.withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(100.0), raw)))
-    order = [F.desc("score"), F.desc("f.score"), F.asc("best.edit"), F.asc("slug")]
+    order = [F.desc("score"), F.desc("fuzzy"), F.asc("best.edit"), F.asc("slug")]
     return top_k(scored, "query_id", order, config.k).select(
-        "query_id", "slug", F.round("score", 2).alias("score"), "rank", F.col("f.score").alias("fuzzy_score"), F.col("best.edit").alias("edit_distance"),
+        "query_id", "slug", F.round("score", 2).alias("score"), "rank", F.col("fuzzy").alias("fuzzy_score"), F.col("best.edit").alias("edit_distance"),
         F.round("best.ratio", 4).alias("normalized_distance"), F.coalesce("matched", "f.s").alias("match"),
     )

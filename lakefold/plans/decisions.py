@@ -86,15 +86,15 @@ def paired_user_interval(t: Tables):
     return policy.paired_interval(t.events.withColumn("b", F.col("value") * 1.01), "user_id", "value", "b")
 
 
-@BOOK.add("SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'missing' ELSE 'changed' END AS problem FROM documents WHERE doc_id % 4 = 0 OR doc_id % 9 = 0")
+@BOOK.add("SELECT doc_id, CASE WHEN lang = 'de' THEN 'missing' ELSE 'changed' END AS problem FROM documents WHERE lang = 'de' OR doc_id % 9 = 0")
 def evidence_changes(t: Tables):
-    fresh = t.documents.where("doc_id % 4 <> 0").withColumn("source", F.when(F.col("doc_id") % 9 == 0, "x").otherwise(F.col("source")))
+    fresh = t.documents.where("lang <> 'de'").withColumn("source", F.when(F.col("doc_id") % 9 == 0, "x").otherwise(F.col("source")))
     return policy.evidence_differences(t.documents, fresh, ["doc_id"], ["lang", "source", "n_chars"])
 
 
-@BOOK.add("SELECT p_partkey, CASE WHEN p_size BETWEEN (SELECT min(p_size) FROM part WHERE p_partkey % 2 = 0 AND p_size < 30) AND (SELECT max(p_size) FROM part WHERE p_partkey % 2 = 0 AND p_size < 30) THEN p_size - (SELECT min(p_size) FROM part WHERE p_partkey % 2 = 0 AND p_size < 30) ELSE -1 END AS code FROM part")
+@BOOK.add("SELECT p_partkey, CASE WHEN p_size BETWEEN (SELECT min(p_size) FROM part WHERE p_size < 30) AND (SELECT max(p_size) FROM part WHERE p_size < 30) THEN p_size - (SELECT min(p_size) FROM part WHERE p_size < 30) ELSE -1 END AS code FROM part")
 def ordinal_sizes(t: Tables):
-    return policy.ordinal_code(t.part.select("p_partkey", "p_size"), t.part.where("p_partkey % 2 = 0 AND p_size < 30"), "p_size").select("p_partkey", "code")
+    return policy.ordinal_code(t.part.select("p_partkey", "p_size"), t.part.where("p_size < 30"), "p_size").select("p_partkey", "code")
 
 
 @BOOK.add("SELECT vec_id, 'length' AS error FROM embeddings WHERE vec_id % 20 = 0")

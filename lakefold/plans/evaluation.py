@@ -24,7 +24,7 @@ def manifest(t: Tables) -> DataFrame:
 
 SQL_MANIFEST = """m AS (SELECT CASE WHEN doc_id % 97 <> 0 THEN 'd' || (doc_id % 900) END AS query_id, source AS source_group, CASE WHEN doc_id % 5 = 0 THEN 'test' WHEN doc_id % 211 = 0 THEN 'dev' ELSE 'train' END AS split,
 sha256(text) AS image_sha256, CASE quality WHEN 1 THEN 'known' WHEN 0 THEN 'unknown' ELSE 'ambiguous' END AS gt_status, CASE WHEN quality = 1 THEN CAST(doc_id % 3000 AS VARCHAR) END AS gt_slug, CASE WHEN doc_id % 31 <> 0 THEN 'label' END AS gt_source, doc_id
-FROM documents LEFT JOIN labels USING (doc_id)), g AS (SELECT sha256(text) AS image_sha256 FROM documents WHERE doc_id % 50 = 1)"""
+FROM documents LEFT JOIN labels USING (doc_id)), g AS (SELECT sha256(text) AS image_sha256 FROM documents WHERE source = 'src3')"""
 
 
 @BOOK.add(f"""WITH {SQL_MANIFEST} SELECT DISTINCT * FROM (
@@ -37,26 +37,26 @@ UNION ALL SELECT 'gallery_leak_by_hash', query_id FROM m WHERE image_sha256 IN (
 UNION ALL SELECT 'known_without_slug_or_source', query_id FROM m WHERE gt_status = 'known' AND gt_source IS NULL
 UNION ALL SELECT 'known_slug_not_in_catalog', query_id FROM m WHERE gt_status = 'known' AND gt_slug NOT IN (SELECT CAST(p_partkey AS VARCHAR) FROM part))""")
 def manifest_errors(t: Tables) -> DataFrame:
-    gallery = t.documents.where("doc_id % 50 = 1").select(F.sha2("text", 256).alias("image_sha256"), F.lit(None).cast("string").alias("source_group"))
+    gallery = t.documents.where("source = 'src3'").select(F.sha2("text", 256).alias("image_sha256"), F.lit(None).cast("string").alias("source_group"))
     return audit.query_manifest_errors(manifest(t), t.part.select(F.col("p_partkey").cast("string").alias("slug")), gallery)
 
 
-@BOOK.add(f"""WITH {SQL_MANIFEST}, a AS (SELECT * FROM m WHERE doc_id % 2 = 0), b AS (SELECT * FROM m WHERE doc_id % 2 = 1)
+@BOOK.add(f"""WITH {SQL_MANIFEST}, a AS (SELECT * FROM m WHERE split = 'test'), b AS (SELECT * FROM m WHERE split <> 'test')
 SELECT 'shared_source_group' AS error, source_group AS key FROM (SELECT source_group FROM a INTERSECT SELECT source_group FROM b)
 UNION ALL SELECT 'shared_image_sha256', image_sha256 FROM (SELECT image_sha256 FROM a INTERSECT SELECT image_sha256 FROM b)
 UNION ALL SELECT 'shared_gt_slug', coalesce(gt_slug, '<null>') FROM (SELECT gt_slug FROM a INTERSECT SELECT gt_slug FROM b)""")
 def split_leakage(t: Tables) -> DataFrame:
     m = manifest(t)
-    return audit.leakage(m.where("doc_id % 2 = 0"), m.where("doc_id % 2 = 1"), ["source_group", "image_sha256", "gt_slug"])
+    return audit.leakage(m.where("split = 'test'"), m.where("split <> 'test'"), ["source_group", "image_sha256", "gt_slug"])
 
 
 @BOOK.add("""WITH q AS (SELECT conv_id AS query_id, min(text) AS text, list(turn * 13 ORDER BY turn) AS ids FROM conversations GROUP BY conv_id)
-SELECT DISTINCT * FROM (SELECT 'relevant_unknown' AS error, CAST(query_id AS VARCHAR) AS key FROM (SELECT query_id, unnest(ids) AS i FROM q) WHERE i NOT IN (SELECT page_id FROM pages WHERE page_id % 2 = 0)
+SELECT DISTINCT * FROM (SELECT 'relevant_unknown' AS error, CAST(query_id AS VARCHAR) AS key FROM (SELECT query_id, unnest(ids) AS i FROM q) WHERE i NOT IN (SELECT page_id FROM pages WHERE url LIKE 'https:%')
 UNION ALL SELECT 'hard_negative_missing', CAST(query_id AS VARCHAR) FROM q WHERE query_id % 10 = 0)""")
 def retrieval_manifest_errors(t: Tables) -> DataFrame:
     q = t.conversations.groupBy(F.col("conv_id").alias("query_id")).agg(F.min("text").alias("text"), F.collect_list(F.col("turn") * 13).alias("relevant_ids"))
     q = q.withColumn("hard_negative", F.when(F.col("query_id") % 10 != 0, False))
-    return audit.retrieval_manifest_errors(q, t.pages.where("page_id % 2 = 0").select(F.col("page_id").alias("image_id")))
+    return audit.retrieval_manifest_errors(q, t.pages.where("url LIKE 'https:%'").select(F.col("page_id").alias("image_id")))
 
 
 @BOOK.add("SELECT count(DISTINCT l_partkey) AS covered, (SELECT count(DISTINCT p_partkey) FROM part) AS total, count(DISTINCT l_partkey)::DOUBLE / (SELECT count(DISTINCT p_partkey) FROM part) AS ratio FROM lineitem WHERE l_quantity > 45 AND l_partkey IN (SELECT p_partkey FROM part)")
@@ -69,12 +69,12 @@ def first_reasons(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", audit.first_reason([("too_short", F.col("n_chars") < 100), ("too_long", F.col("n_chars") > 5000), ("language", F.col("lang") != "en")]).alias("reason"))
 
 
-@BOOK.add("""WITH a AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE doc_id % 3 <> 0), b AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE text END) AS h FROM documents WHERE doc_id % 4 <> 0)
+@BOOK.add("""WITH a AS (SELECT doc_id AS path, sha256(text) AS h FROM documents WHERE lang <> 'de'), b AS (SELECT doc_id AS path, sha256(CASE WHEN doc_id % 7 = 0 THEN 'x' ELSE text END) AS h FROM documents WHERE lang <> 'fr')
 SELECT path, CASE WHEN b.h IS NULL THEN 'missing' WHEN a.h IS NULL THEN 'unexpected' ELSE 'changed' END AS status FROM a FULL JOIN b USING (path) WHERE a.h IS DISTINCT FROM b.h""")
 def inventory_changes(t: Tables) -> DataFrame:
     digest = F.sha2(F.col("text"), 256).alias("sha256")
     b = F.sha2(F.when(F.col("doc_id") % 7 == 0, "x").otherwise(F.col("text")), 256).alias("sha256")
-    return audit.inventory_difference(t.documents.where("doc_id % 3 <> 0").select(F.col("doc_id").alias("path"), digest), t.documents.where("doc_id % 4 <> 0").select(F.col("doc_id").alias("path"), b), "path", "sha256")
+    return audit.inventory_difference(t.documents.where("lang <> 'de'").select(F.col("doc_id").alias("path"), digest), t.documents.where("lang <> 'fr'").select(F.col("doc_id").alias("path"), b), "path", "sha256")
 
 
 def predictions(t: Tables) -> DataFrame:
@@ -130,9 +130,9 @@ def paired_outcomes(t: Tables) -> DataFrame:
     return report.paired_outcomes(paired, F.col("slug_a") == F.col("gt_slug_a"), F.col("slug_b") == F.col("gt_slug_b"), F.col("slug_a"), F.col("slug_b"))
 
 
-@BOOK.add("""SELECT doc_id, 'in_one_run' AS error FROM documents WHERE doc_id % 10 = 0 UNION ALL SELECT doc_id, 'lang_differs' FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 7 = 0 AND lang <> 'en'""")
+@BOOK.add("""SELECT doc_id, 'in_one_run' AS error FROM documents WHERE source = 'src3' UNION ALL SELECT doc_id, 'lang_differs' FROM documents WHERE source <> 'src3' AND doc_id % 7 = 0 AND lang <> 'en'""")
 def pairing_errors(t: Tables) -> DataFrame:
-    b = t.documents.where("doc_id % 10 <> 0").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "en").otherwise(F.col("lang")))
+    b = t.documents.where("source <> 'src3'").withColumn("lang", F.when(F.col("doc_id") % 7 == 0, "en").otherwise(F.col("lang")))
     return report.pair(t.documents, b, "doc_id", ["lang"], ["n_chars"])[1]
 
 
@@ -163,7 +163,7 @@ def box_overlap(t: Tables) -> DataFrame:
 
 
 def ratings(t: Tables) -> DataFrame:
-    return t.events.select("user_id", F.get_json_object("props", "$.k").cast("int").alias("item"), "ts", "event_id", F.col("value"), (F.col("value") % 5).alias("rating"))
+    return t.events.select("user_id", F.get_json_object("props", "$.k").cast("int").alias("item"), "ts", "event_id", "event_type", F.col("value"), (F.col("value") % 5).alias("rating"))
 
 
 @BOOK.add("SELECT user_id, (props->>'$.k')::INT AS item, arg_max(event_id, (ts, event_id)) AS event_id, max(ts) AS ts FROM events GROUP BY ALL")
@@ -200,7 +200,7 @@ def spearman_by_user(t: Tables) -> DataFrame:
     return report.spearman(ratings(t), "user_id", "value", "rating").withColumn("rho", F.round("rho", 6))
 
 
-@BOOK.add("""WITH s AS (SELECT q.vec_id AS q, q.label AS truth, g.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], g.embedding::DOUBLE[]) DESC, g.vec_id) AS rank FROM embeddings q JOIN embeddings g ON q.vec_id % 100 = 0 AND g.vec_id % 100 <> 0),
+@BOOK.add("""WITH s AS (SELECT q.vec_id AS q, q.label AS truth, g.label, row_number() OVER (PARTITION BY q.vec_id ORDER BY list_inner_product(q.embedding::DOUBLE[], g.embedding::DOUBLE[]) DESC, g.vec_id) AS rank FROM embeddings q JOIN embeddings g ON q.vec_id % 100 = 0),
 h AS (SELECT q, min(rank) FILTER (label = truth) AS first FROM s GROUP BY q) SELECT 'hit_at_' || k AS metric, count(*) FILTER (first <= k) AS numerator, count(*) AS denominator, count(*) FILTER (first <= k)::DOUBLE / count(*) AS value FROM h, (VALUES (1), (5)) v(k) GROUP BY k""")
 def retrieval_hits(t: Tables) -> DataFrame:
     from lakefold.operators import similarity

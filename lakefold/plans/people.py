@@ -17,12 +17,12 @@ def shrunken_user_means(t: Tables) -> DataFrame:
     return recommend.shrunken_mean(t.events, "user_id", "value").select("user_id", "n", F.round("score", 6).alias("score"))
 
 
-SQL_RATED = "i AS (SELECT vec_id AS item, embedding::DOUBLE[] AS v FROM embeddings), e AS (SELECT user_id, (props->>'$.k')::INT AS item, value % 5 AS rating, event_id FROM events), tr AS (SELECT * FROM e WHERE event_id % 10 <> 0), te AS (SELECT DISTINCT user_id, item FROM e WHERE event_id % 10 = 0)"
+SQL_RATED = "i AS (SELECT vec_id AS item, embedding::DOUBLE[] AS v FROM embeddings), e AS (SELECT user_id, (props->>'$.k')::INT AS item, value % 5 AS rating, event_type FROM events), tr AS (SELECT * FROM e WHERE event_type <> 'signup'), te AS (SELECT DISTINCT user_id, item FROM e WHERE event_type = 'signup')"
 
 
 def rated(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     r = ratings(t)
-    return r.where("event_id % 10 <> 0"), r.where("event_id % 10 = 0").select("user_id", "item").distinct(), t.embeddings.select(F.col("vec_id").cast("int").alias("item"), "embedding")
+    return r.where("event_type <> 'signup'"), r.where("event_type = 'signup'").select("user_id", "item").distinct(), t.embeddings.select(F.col("vec_id").cast("int").alias("item"), "embedding")
 
 
 @BOOK.add(f"""WITH {SQL_RATED}, m AS (SELECT user_id, avg(rating) AS mean FROM tr GROUP BY user_id),
@@ -60,7 +60,7 @@ def record_clusters(t: Tables) -> DataFrame:
 @BOOK.add()
 def resolved_records(t: Tables) -> DataFrame:
     side = lambda d, i: d.select(F.col("p_partkey").alias(i), F.col("p_brand").alias("producer"), F.col("p_name").alias("name"), F.col("p_size").alias("year"))
-    return entity.resolve(side(t.part.where("p_partkey % 50 = 0"), "record_id"), side(t.part.where("p_partkey % 10 = 1"), "item_id"))
+    return entity.resolve(side(t.part.where("p_partkey % 100 = 0"), "record_id"), side(t.part, "item_id"))
 
 
 def looked_up(t: Tables) -> DataFrame:
@@ -94,11 +94,11 @@ def factorized_brands(t: Tables) -> DataFrame:
     return entity.factorize(t.part, "p_brand")
 
 
-@BOOK.add("""WITH x AS (SELECT p_partkey, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice END AS v FROM part), f AS (SELECT * FROM x WHERE p_partkey % 4 <> 0), m AS (SELECT quantile_cont(v, 0.5) AS med FROM f),
+@BOOK.add("""WITH x AS (SELECT p_partkey, p_size, CASE WHEN p_partkey % 9 <> 0 THEN p_retailprice END AS v FROM part), f AS (SELECT * FROM x WHERE p_size <= 40), m AS (SELECT quantile_cont(v, 0.5) AS med FROM f),
 s AS (SELECT avg(coalesce(v, med)) AS mean, stddev_samp(coalesce(v, med)) AS sd FROM f, m) SELECT p_partkey, round((coalesce(v, med) - mean) / sd, 6) AS z, CASE WHEN v IS NULL THEN 1.0 ELSE 0.0 END::DOUBLE AS missing FROM x, m, s""")
 def standardized_prices(t: Tables) -> DataFrame:
-    x = t.part.select("p_partkey", F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice")).alias("v"))
-    out = entity.standardize(x, x.where("p_partkey % 4 <> 0"), ["v"])
+    x = t.part.select("p_partkey", "p_size", F.when(F.col("p_partkey") % 9 != 0, F.col("p_retailprice")).alias("v"))
+    out = entity.standardize(x, x.where("p_size <= 40"), ["v"])
     return out.select("p_partkey", F.round("v_z", 6).alias("z"), F.col("v_missing").alias("missing"))
 
 
@@ -132,7 +132,7 @@ def picture_usability(t: Tables) -> DataFrame:
 @BOOK.add()
 def media_links(t: Tables) -> DataFrame:
     items = t.part.select(F.col("p_partkey").cast("string").alias("slug"), F.when(F.col("p_partkey") % 6 != 0, (F.col("p_partkey") % 1500).cast("string")).alias("photo_stem"))
-    families = t.part.where("p_partkey % 5 <> 0").select(F.col("p_partkey").cast("string").alias("stem"), F.concat("p_partkey", F.lit(".jpg")).alias("family"), (F.col("p_partkey") % 13 != 0).cast("int").alias("n_originals"), F.when(F.col("p_partkey") % 17 == 0, "image/gif").otherwise("image/jpeg").alias("mime"), F.lit(1000).alias("size"))
+    families = t.part.where("p_type <> 'ECONOMY'").select(F.col("p_partkey").cast("string").alias("stem"), F.concat("p_partkey", F.lit(".jpg")).alias("family"), (F.col("p_partkey") % 13 != 0).cast("int").alias("n_originals"), F.when(F.col("p_partkey") % 17 == 0, "image/gif").otherwise("image/jpeg").alias("mime"), F.lit(1000).alias("size"))
     return media.link(items, families)
 
 
@@ -148,7 +148,7 @@ def ranked(t: Tables) -> DataFrame:
     return e.join(t.part.select(F.col("p_partkey").cast("string").alias("slug"), F.concat(F.lit("b"), F.col("p_size") % 4).alias("producer")), "slug")
 
 
-SQL_RANKED = """r0 AS (SELECT p_partkey % 10 AS query_id, CAST(p_partkey AS VARCHAR) AS slug, (p_partkey * 7919 % 1000) / 10.0::DOUBLE AS score, 'b' || (p_size % 4) AS producer FROM part WHERE p_partkey % 3 <> 0),
+SQL_RANKED = """r0 AS (SELECT p_partkey % 10 AS query_id, CAST(p_partkey AS VARCHAR) AS slug, (p_partkey * 7919 % 1000) / 10.0::DOUBLE AS score, 'b' || (p_size % 4) AS producer FROM part WHERE p_type <> 'ECONOMY'),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, slug) AS rank FROM r0 QUALIFY rank <= 30)"""
 
 
@@ -199,8 +199,8 @@ def claimed_job(t: Tables) -> DataFrame:
     return jobs.claim(queue(t), "key", "updated", "leased_until", F.expr("TIMESTAMP '1997-01-01'")).select("key", "state")
 
 
-@BOOK.add(f"WITH {SQL_QUEUE} SELECT key, state FROM q WHERE key % 3 <> 0 UNION ALL SELECT key, 'queued' FROM q WHERE key % 3 = 0 AND key % 2 = 0")
+@BOOK.add(f"WITH {SQL_QUEUE} SELECT key, state FROM q WHERE state <> 'ready' UNION ALL SELECT key, 'queued' FROM q WHERE state = 'ready' AND leased_until IS NULL")
 def enqueued_jobs(t: Tables) -> DataFrame:
-    q = queue(t).select("key", "state")
-    new = q.where("key % 2 = 0").select("key", F.lit("queued").alias("state"))
-    return jobs.enqueue(q.where("key % 3 <> 0"), new.unionByName(new), "key", 1 << 40)
+    q = queue(t)
+    new = q.where("leased_until IS NULL").select("key", F.lit("queued").alias("state"))
+    return jobs.enqueue(q.where("state <> 'ready'").select("key", "state"), new.unionByName(new), "key", 1 << 40)
