@@ -1,7 +1,7 @@
 """Token-ID output as a content-addressed store.
 
-Texts are encoded to ids. A rolling hash over the ids cuts each document's stream into chunks; a chunk is named by the
-SHA-256 of its bytes and stored once, by the first pack (run of ascending doc_id) that holds it. A document is a recipe
+Texts are encoded to ids. A rolling hash over the ids cuts each document's stream into chunks; a chunk is named by 128
+bits of the SHA-256 of its bytes and stored once, by the first pack (run of ascending doc_id) that holds it. A document is a recipe
 of chunk names; packs and the corpus have Merkle roots over the recipes.
 
 File format, below the store's folder:
@@ -20,6 +20,7 @@ import hashlib
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,10 +30,12 @@ from pyspark.sql import functions as F
 from lakefold.llm import textkit
 from lakefold.session import scratch_path, shuffle_partitions
 
-CHUNK_MIN, CHUNK_MASK, CHUNK_MAX, CHUNK_WINDOW = 64, 127, 2048, 16
-CACHED_UNITS = 600_000
+CHUNK_MIN, CHUNK_MASK, CHUNK_MAX, CHUNK_WINDOW = 64, 255, 4096, 8
+CACHED_UNITS = 1_000_000
 #: White space that str.isspace() does not count.
 OTHER_SPACE = ("\u180e", "\u200b", "\ufeff")
+#: ASCII punctuation; a piece never goes on from a letter to one of these (the apostrophe may).
+PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class Encoder:
@@ -50,31 +53,48 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
         (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.units: dict[str, bytes | None] = {}
+        self.units: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     @staticmethod
     def _alone(unit: str) -> bool:
-        """False: white space at an end, or none but the mark before it, so the cuts beside it are not sure."""
-        if len(unit) < 2 or unit[1].isspace() or unit[-1].isspace() or "\n" in unit[1:]:
+        """unit: without its space, but with its line feed. False: white space at an end, so the cuts beside it are not sure."""
+        body = unit[1:] if unit[:1] == "\n" else unit
+        if not body or body[0].isspace() or body[-1].isspace() or "\n" in body:
             return False
-        return unit.isascii() or not any(x in unit for x in OTHER_SPACE)
-
-    def _learn(self, units: set[str]) -> None:
-        """Units begin with their space or line feed."""
-        new = [u for u in units if u not in self.units]
-        good = [u for u in new if self._alone(u)]
-        self.units.update(dict.fromkeys(new))
+        return body.isascii() or not any(x in body for x in OTHER_SPACE)
+
+    def _learn(self, new: list[str]) -> None:
+        """Units without white space but for a leading line feed. Punctuation after a last letter is encoded apart."""
+        units, tails, good, ends = self.units, self.tails, [], []
+        for u in new:
+            body = u.rstrip(PUNCTUATION)
+            if len(body) < len(u) and body[-1:].isalpha() and "<|" not in u:
+                ends.append((u, body, u[len(body) :]))
+                if body not in units:
+                    good.append(body)
+            else:
+                good.append(u)
+        self._encode_units(list(dict.fromkeys(good)))
+        for unit, body, tail in ends:
+            found = tails.get(tail)
+            if found is None:
+                found = tails[tail] = self._ids([tail])[0]
+            units[unit] = units[body] + found
+
+    def _encode_units(self, good: list[str]) -> None:
         size = self.dtype.itemsize
         for at in range(0, len(good), 20_000):
             part = good[at : at + 20_000]
-            lines = ["".join(u if u[0] == "\n" else f"\n{u}" for u in part[k : k + 100]) for k in range(0, len(part), 100)]
-            ids = np.concatenate([np.asarray(e.ids, dtype=self.dtype) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+            marked = [u if u[0] == "\n" else f"\n {u}" for u in part]
+            lines = ["".join(marked[k : k + 100]) for k in range(0, len(part), 100)]
+            ids = np.fromiter(chain.from_iterable([e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]), dtype=self.dtype)
             begins = np.flatnonzero(ids == self.feed)
             if len(begins) != len(part):
-                self.units.update(zip(part, self._ids(part), strict=True))
+                self.units.update(zip(part, self._ids([m if m[0:2] != "\n " else m[1:] for m in marked]), strict=True))
                 continue
             raw, edges = ids.tobytes(), [*(begins * size).tolist(), len(ids) * size]
             self.units.update((u, raw[edges[k] + (0 if u[0] == "\n" else size) : edges[k + 1]]) for k, u in enumerate(part))
@@ -84,31 +104,31 @@ class Encoder:
         split = [t.replace("\n", " \n").split(" ") for t in texts]
         if len(self.units) > CACHED_UNITS:
             self.units = dict(list(self.units.items())[: CACHED_UNITS // 2])
-        parts_of = [[p if p[:1] == "\n" else f" {p}" for p in parts[1:]] for parts in split]
-        self._learn(set().union(*parts_of))
-        units = self.units
-        out: list[bytes] = []
-        for text, parts, later in zip(texts, split, parts_of, strict=True):
-            ids = [*map(units.__getitem__, later)]
-            if None in ids or not parts[0] or parts[0][-1].isspace() or any(x in parts[0] for x in OTHER_SPACE):
-                out.append(self._unsure(text))
-            else:
-                out.append(self._ids([parts[0]])[0] + b"".join(ids))
-        return out
+        if len(self.tails) > CACHED_UNITS // 10:
+            self.tails.clear()
+        for k, text in enumerate(texts):
+            flat = text.replace("\n", " ")
+            if not flat.isprintable() or "  " in flat or flat[:1] == " " or flat[-1:] == " ":
+                split[k] = []  # runs of white space, or another kind of it, or marks without width
+        heads = [parts.pop(0) if parts else "" for parts in split]
+        self._learn(list(set(chain.from_iterable(split)).difference(self.units)))
+        known = self.units.__getitem__
+        first = self._ids(heads)
+        return [ids + b"".join(map(known, parts)) if head else self._unsure(text) for text, head, ids, parts in zip(texts, heads, first, split, strict=True)]
 
     def _unsure(self, text: str) -> bytes:
-        """As texts(), for a text with runs of white space: the units beside an unsure cut stay together."""
+        """As texts(), for a text with runs of white space: the parts beside an unsure cut stay together."""
         parts = text.split(" ")
-        units, sure = [parts[0]], self._alone(f" {parts[0]}")
+        joined, sure = [parts[0]], self._alone(parts[0])
         for p in parts[1:]:
-            good = self._alone(f" {p}")
+            good = p[:1] != "\n" and self._alone(p)
             if good and sure:
-                units.append(f" {p}")
+                joined.append(p)
             else:
-                units[-1] += f" {p}"
+                joined[-1] += f" {p}"
             sure = good
         known = self.units
-        return b"".join(known.get(u) or self._ids([u])[0] for u in units)
+        return self._ids(joined[:1])[0] + b"".join(known.get(u) or self._ids([f" {u}"])[0] for u in joined[1:])
 
 
 _ENCODERS: dict[str, Encoder] = {}
@@ -121,6 +141,11 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def _name(chunk: bytes) -> bytes:
+    """128 bits of SHA-256."""
+    return hashlib.sha256(chunk).digest()[:16]
+
+
 def chunk_lengths(ids: np.ndarray) -> list[int]:
     """Lengths of the chunks of an id stream: a cut follows an id where the hash of the last CHUNK_WINDOW ids has its low
     bits zero, no chunk but the last is shorter than CHUNK_MIN, and none is longer than CHUNK_MAX."""
@@ -163,7 +188,7 @@ PACK = pa.schema([
 def _squeeze(data: bytes) -> bytes:
     import zstandard
 
-    return zstandard.ZstdCompressor(level=1).compress(data)
+    return zstandard.ZstdCompressor(level=3).compress(data)
 
 
 def _expand(data: bytes) -> bytes:
@@ -189,7 +214,7 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, bounds: list[int],
                 lengths = chunk_lengths(stream)
                 at, names = 0, []
                 for n in lengths:
-                    names.append(hashlib.sha256(data[at : at + n * enc.dtype.itemsize]).digest())
+                    names.append(_name(data[at : at + n * enc.dtype.itemsize]))
                     at += n * enc.dtype.itemsize
                 pack = 0 if i is None else int(np.searchsorted(edges, i, side="right"))
                 rows.append((pack, i, len(stream), lengths, names, _squeeze(data)))
@@ -238,7 +263,8 @@ def _write_pack(key: tuple, rows: pa.Table, plan: pa.Table) -> pa.Table:
             lent.append(owner[-1] == -1 and (s in first or repeated[s] > 1))
             at += length * width
         leaf = hashlib.sha256(b"".join(names)).digest()
-        out.append((pack, r["doc_id"], n, start, r["n_tokens"], names, r["chunk_len"], owner, lent, leaf, _squeeze(b"".join(own))))
+        stored = r["data"] if all(o == -1 for o in owner) else _squeeze(b"".join(own))
+        out.append((pack, r["doc_id"], n, start, r["n_tokens"], names, r["chunk_len"], owner, lent, leaf, stored))
         start += r["n_tokens"]
     columns = list(zip(*out, strict=True)) or [[] for _ in PACK]
     return pa.table([pa.array(list(c), type=f.type) for c, f in zip(columns, PACK, strict=True)], schema=PACK)
@@ -314,7 +340,7 @@ def _rebuild(rows: list[dict], borrowed: dict[bytes, bytes]) -> pa.RecordBatch:
             else:
                 parts.append(borrowed.get(s, b""))
                 width = width or len(parts[-1]) // n
-            good = good and hashlib.sha256(parts[-1]).digest() == s
+            good = good and _name(parts[-1]) == s
         good = good and hashlib.sha256(b"".join(r["chunk_sha"])).digest() == r["leaf"]
         ids = np.frombuffer(b"".join(parts), dtype="<u2" if width == 2 else "<u4").astype("<u4")
         out.append((r["doc_id"], r["start"], len(ids), zlib.crc32(ids.tobytes()), good and len(ids) == r["n_tokens"]))
