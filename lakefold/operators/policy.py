@@ -40,14 +40,14 @@ def alias_in_text(texts: DataFrame, aliases: DataFrame, text_id: str, text: str,
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     first = aliases.where("variant <> ''").withColumn("w", F.get(words(F.col("variant")), F.lit(0)))
     if whole_words:
-        said = texts.select(text_id, F.col(text).alias("t"), F.explode(F.array_distinct(words(F.col(text)))).alias("w"))
+        said = texts.select(text_id, F.col(text).alias("_text"), F.explode(F.array_distinct(words(F.col(text)))).alias("w"))
         padded = lambda c: F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))
-        met = said.join(first, "w").where(F.contains(padded(F.col("t")), padded(F.col("variant"))))
+        met = said.join(first, "w").where(F.contains(padded(F.col("_text")), padded(F.col("variant"))))
     else:
         # a variant may begin inside a word: its first word's first three letters must be in the text
         grams = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 2, F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(3)))
-        said = texts.select(text_id, F.col(text).alias("t"), F.explode(F.array_distinct(grams)).alias("w"))
-        met = said.join(first.withColumn("w", F.left("variant", F.lit(3))), "w").where(F.contains("t", "variant"))
+        said = texts.select(text_id, F.col(text).alias("_text"), F.explode(F.array_distinct(grams)).alias("w"))
+        met = said.join(first.withColumn("w", F.left("variant", F.lit(3))), "w").where(F.contains("_text", "variant"))
     ranked = met.select(text_id, "variant", "canonical").distinct().withColumn("n", F.length("variant")).withColumn("top", F.max("n").over(Window.partitionBy(text_id))).where("n = top")
     if whole_words:
         return ranked.groupBy(text_id).agg(F.when(F.count_distinct("canonical") == 1, F.first("canonical")).alias("canonical"))
