@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from lakefold.llm import textkit
 
 SAMPLE = 1000
-BUCKETS = 1 << 12
+BUCKET_BITS = 11
+BUCKETS = 1 << BUCKET_BITS
 WORD_ORDERS = (1, 2)
 CHAR_ORDERS = (1, 3, 4)
 GROUPS = len(WORD_ORDERS) + len(CHAR_ORDERS)
@@ -57,7 +58,7 @@ def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             values *= np.uint32(0x01000193)
             values += data[k : k + size]
         values *= np.uint32(0x9E3779B1)
-        buckets = (values >> np.uint32(20)).astype(np.int32)
+        buckets = (values >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
         yield buckets, np.minimum(at, size)
 
 
@@ -89,18 +90,20 @@ def features(texts: pa.Array) -> np.ndarray:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 200) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression by gradient steps with momentum; the step is set by the Lipschitz bound."""
-    weight, bias = np.zeros(x.shape[1], dtype=np.float64), 0.0
+    """L2-penalised logistic regression by gradient steps with momentum; the step is set by the Lipschitz bound. All in
+    x's precision, so that no step copies x."""
+    y = y.astype(x.dtype)
+    weight, bias = np.zeros(x.shape[1], dtype=x.dtype), 0.0
     speed, bias_speed = np.zeros_like(weight), 0.0
-    v = np.ones(x.shape[1])
+    v = np.ones(x.shape[1], dtype=x.dtype)
     for _ in range(8):
-        v = x.T @ (x @ v)
-        v /= np.linalg.norm(v) + 1e-12
+        v = (x @ v) @ x
+        v /= np.linalg.norm(v) + x.dtype.type(1e-12)
     top = float(np.linalg.norm(x @ v) ** 2) / len(x) / 4 + penalty + 0.25
     for _ in range(steps):
-        gap = 1 / (1 + np.exp(-np.clip(x @ weight + bias, -50, 50))) - y
-        speed = 0.9 * speed - (x.T @ gap / len(y) + penalty * weight) / top
-        bias_speed = 0.9 * bias_speed - gap.mean() / top
+        gap = 1 / (1 + np.exp(-np.clip(x @ weight + x.dtype.type(bias), -50, 50))) - y
+        speed = (0.9 * speed - (gap @ x / len(y) + penalty * weight) / top).astype(x.dtype)
+        bias_speed = 0.9 * bias_speed - float(gap.mean()) / top
         weight, bias = weight + speed, bias + bias_speed
     return weight, bias
 
@@ -109,16 +112,18 @@ def fit(texts: pa.Array, good: np.ndarray, share_good: float) -> Model | None:
     """share_good: of all labels, for the prior."""
     if len(good) < 10 or good.min() == good.max():
         return None
-    x = features(texts)
     held = np.arange(len(good)) % 5 == 4
     if good[held].min() == good[held].max() or good[~held].min() == good[~held].max():
         held[:] = False
-    train = ~held
-    scale = np.sqrt((x[train] ** 2).mean(axis=0)) + 1e-4
+    x = features(texts.filter(pa.array(~held)))
+    scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + np.float32(1e-4)
     x /= scale
-    weight, bias = _logistic(x[train], good[train], 1e-2)
-    margin = x[held if held.any() else train] @ weight + bias
-    y = good[held if held.any() else train]
+    weight, bias = _logistic(x, good[~held], 1e-2)
+    if held.any():
+        x, y = features(texts.filter(pa.array(held))) / scale, good[held]
+    else:
+        y = good
+    margin = x.astype(np.float64) @ weight + bias
     spread = float(np.abs(margin).mean()) or 1.0
     (slope,), offset = _logistic((margin / spread)[:, None], y, 1e-3, 2000)
     prior = np.log(share_good / (1 - share_good)) - np.log(y.mean() / (1 - y.mean()))
