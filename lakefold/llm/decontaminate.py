@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Words are those of the lower-cased text with ASCII punctuation read as space. Of the runs of
-SEED words of a test item that are in the corpus, those in no more documents than the median of them are its seeds; the rule is relative to the item, so an item
-that leaked often still has seeds, and none is capped. Where a document has a seed, the words around it are aligned with
-the item; the score is the best local alignment's as a share of a perfect one. Edited and paraphrased copies keep some
-seeds and lose some score.
+Words are those of the lower-cased text with ASCII punctuation read as space. Each run of SEED words of a test item is
+a seed, however many documents have it: which documents are reported does not depend on the other documents. Where a
+document has a seed, the words around it are aligned with the item, unless they have too few of its words for any
+alignment to pass; the score is the best local alignment's as a share of a perfect one. Edited and paraphrased copies
+keep some seeds and lose some score.
 
 The items are the query set: they go to the tasks as arrays in blocks of at most BLOCK_ITEMS items, each block a pass
 over all documents; documents are never grouped or moved.
@@ -16,7 +16,6 @@ alignments with equal scores the first place is reported. Extra columns are igno
 
 from __future__ import annotations
 
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -76,9 +75,6 @@ class Items:
         """Lengths of runs: SEED, and those of shorter items."""
         return sorted({min(SEED, len(w)) for w in self.words if len(w)})
 
-    def only(self, chosen: np.ndarray) -> Items:
-        return Items(self.ids, self.words, self.runs[chosen], self.of[chosen], self.place[chosen])
-
 
 class Finder:
     """Where a text has one of the runs."""
@@ -132,6 +128,13 @@ def align(item: np.ndarray, region: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+def may_pass(known: np.ndarray, length: int, region: np.ndarray, least: float) -> bool:
+    """False only where no alignment of an item of length words, known when sorted, has a score of least: each match
+    takes a word of the region that the item has."""
+    where = np.minimum(np.searchsorted(known, region), len(known) - 1)
+    return np.count_nonzero(known[where] == region) >= least * length - 1e-9
+
+
 FOUND_DDL = "doc_id bigint, item_id bigint, score double, word_start int, word_end int"
 
 
@@ -149,74 +152,54 @@ def _passes(items: DataFrame, item_id: str, text: str) -> Iterator[Items]:
         yield Items.of_texts(ids, texts)
 
 
-def document_counts(docs: DataFrame, items: Items) -> np.ndarray:
-    """For each of the items' distinct runs: how many documents have it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(items)
-        total = np.zeros(len(finder.distinct), dtype=np.int64)
-        for piece in textkit.pieces(batches, "text"):
-            words, hashes = word_hashes(textkit.column(piece, "text"))
-            for at, which in finder.find(words, hashes):
-                text = np.searchsorted(words.word_at, at, side="right")
-                seen = np.unique(text * len(total) + which)
-                total += np.bincount(seen % len(total), minlength=len(total))
-        some = np.flatnonzero(total)
-        yield pa.record_batch([pa.array(some), pa.array(total[some])], names=["run", "n"])
-
-    counts = np.zeros(len(np.unique(items.runs)), dtype=np.int64)
-    for r in docs.select("text").mapInArrow(run, "run bigint, n bigint").groupBy("run").agg(F.sum("n").alias("n")).collect():
-        counts[r.run] = r.n
-    return counts
-
-
-def seeds(items: Items, counts: np.ndarray) -> Items:
-    """Of each item's runs that some document has, those in no more documents than the median of these runs."""
-    items = items.only(counts[np.searchsorted(np.unique(items.runs), items.runs)] > 0)
-    if not len(items.runs):
-        return items
-    count = counts[counts > 0][np.searchsorted(np.unique(items.runs), items.runs)]
-    order = np.lexsort((count, items.of))
-    of, ordered = items.of[order], count[order]
-    first = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
-    last = np.concatenate((first[1:], [len(of)]))
-    median = np.zeros(len(items.ids))
-    median[of[first]] = (ordered[(first + last - 1) // 2] + ordered[(first + last) // 2]) / 2
-    return items.only(count <= median[items.of])
+def candidates(items: Items, finder: Finder, words: textkit.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Text, item and diagonal of each run of an item that a text has, each once, in this order."""
+    first = np.searchsorted(items.runs, finder.distinct)
+    many = np.searchsorted(items.runs, finder.distinct, side="right") - first
+    found = [np.zeros((0, 3), dtype=np.int64)]
+    for at, which in finder.find(words, hashes):
+        n = many[which]
+        entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(first[which], n)
+        at = np.repeat(at, n)
+        found.append(np.stack((np.searchsorted(words.word_at, at, side="right") - 1, items.of[entry], at - items.place[entry]), axis=1))
+    text, of, diagonal = np.concatenate(found).T
+    order = np.lexsort((diagonal, of, text))
+    text, of, diagonal = text[order], of[order], diagonal[order]
+    new = np.ones(len(text), dtype=bool)
+    new[1:] = (text[1:] != text[:-1]) | (of[1:] != of[:-1]) | (diagonal[1:] != diagonal[:-1])
+    return text[new], of[new], diagonal[new]
 
 
 def _search(items: Items, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(items)
-        first = np.searchsorted(items.runs, finder.distinct)
-        last = np.searchsorted(items.runs, finder.distinct, side="right")
+        size = np.array([len(w) for w in items.words], dtype=np.int64)
+        known: dict[int, np.ndarray] = {}
         for piece in textkit.pieces(batches, "text"):
             ids = textkit.column(piece, "doc_id").cast(pa.int64()).to_pylist()
             words, hashes = word_hashes(textkit.column(piece, "text"))
-            hits: dict[tuple[int, int], set[int]] = defaultdict(set)
-            for at, which in finder.find(words, hashes):
-                texts = (np.searchsorted(words.word_at, at, side="right") - 1).tolist()
-                for t, p, w in zip(texts, at.tolist(), which.tolist(), strict=True):
-                    for e in range(first[w], last[w]):
-                        hits[t, int(items.of[e])].add(p - int(items.place[e]))
-            rows = []
-            for (t, i), diagonals in sorted(hits.items()):
+            text, of, diagonal = candidates(items, finder, words, hashes)
+            cut = np.ones(len(text), dtype=bool)
+            cut[1:] = (text[1:] != text[:-1]) | (of[1:] != of[:-1]) | (np.diff(diagonal) > size[of[1:]])
+            begins = np.flatnonzero(cut)
+            ends = np.concatenate((begins[1:], [len(text)]))[: len(begins)] - 1
+            best: dict[tuple[int, int], tuple[int, int, int]] = {}
+            for t, i, low, high in zip(text[begins].tolist(), of[begins].tolist(), diagonal[begins].tolist(), diagonal[ends].tolist(), strict=True):
                 begin, end = int(words.word_at[t]), int(words.word_at[t + 1])
                 item = items.words[i]
-                best = (0, 0, 0)
-                group: list[int] = []
-                for d in [*sorted(diagonals), None]:
-                    if group and (d is None or d - group[-1] > len(item)):
-                        a, b = max(begin, group[0] - SLACK), min(end, group[-1] + len(item) + SLACK)
-                        s, x, y = align(item, hashes[a:b])
-                        if s > best[0]:
-                            best = (s, a + x - begin, a + y - begin)
-                        group = []
-                    if d is not None:
-                        group.append(d)
-                share = best[0] / (MATCH * len(item))
+                a, b = max(begin, low - SLACK), min(end, high + len(item) + SLACK)
+                if i not in known:
+                    known[i] = np.unique(item)
+                if not may_pass(known[i], len(item), hashes[a:b], least):
+                    continue
+                s, x, y = align(item, hashes[a:b])
+                if s > best.get((t, i), (0, 0, 0))[0]:
+                    best[t, i] = (s, a + x - begin, a + y - begin)
+            rows = []
+            for (t, i), (s, x, y) in best.items():
+                share = s / (MATCH * len(items.words[i]))
                 if share >= least:
-                    rows.append((ids[t], items.ids[i], share, best[1], best[2]))
+                    rows.append((ids[t], items.ids[i], share, x, y))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
             yield pa.record_batch([pa.array(list(c), type=k) for c, k in zip(columns, types, strict=True)], names=["doc_id", "item_id", "score", "word_start", "word_end"])
@@ -230,8 +213,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, doc_id:
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     found = None
     for block in _passes(items, item_id, item_text):
-        chosen = seeds(block, document_counts(docs, block))
-        part = docs.mapInArrow(_search(chosen, least), FOUND_DDL)
+        part = docs.mapInArrow(_search(block, least), FOUND_DDL)
         found = part if found is None else found.unionByName(part)
     return docs.sparkSession.createDataFrame([], FOUND_DDL) if found is None else found
 

@@ -176,3 +176,13 @@ def test_blocks_of_items(spark, monkeypatch):
     one = sorted(tuple(r) for r in decontaminate.find_leaks(d, b).collect())
     monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 15)
     assert sorted(tuple(r) for r in decontaminate.find_leaks(d, b).collect()) == one and one
+
+
+def test_an_edited_copy_is_found_beside_exact_ones(spark):
+    rng = random.Random(12)
+    items = [[f"w{rng.randint(0, 5000)}" for _ in range(n)] for n in (20, 40, 60)]
+    edited = [[f"new{j}" if j % 5 == 4 else w for j, w in enumerate(item)] for item in items]
+    docs = [(k, " ".join(["some", "words", *t, "and", "more"])) for k, t in enumerate([*edited, *items, *items])]
+    b = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id bigint, text string")
+    got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), b).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(k, k % 3) for k in range(9)}
