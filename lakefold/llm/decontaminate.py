@@ -2,7 +2,7 @@
 
 Words are those of the lower-cased text with ASCII punctuation read as space. Each run of SEED words of a test item is
 a seed, however many documents have it: which documents are reported does not depend on the other documents. Where a
-document has a seed, the words around it are aligned with the item, unless they have too few of its words for any
+document has a seed, the words around it, as far as the gaps of a passing score reach, are aligned with the item, unless they have too few of its words for any
 alignment to pass; the score is the best local alignment's as a share of a perfect one. Edited and paraphrased copies
 keep some seeds and lose some score.
 
@@ -16,6 +16,7 @@ alignments with equal scores the first place is reported. Extra columns are igno
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,7 +31,6 @@ from lakefold.llm import textkit
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
-SLACK = 12
 BLOCK_ITEMS = 100_000
 FILTER_BITS = 22
 #: ASCII punctuation becomes space.
@@ -135,6 +135,11 @@ def may_pass(known: np.ndarray, length: int, region: np.ndarray, least: float) -
     return np.count_nonzero(known[where] == region) >= least * length - 1e-9
 
 
+def gaps(length: int, least: float) -> int:
+    """Words that gaps of an alignment with a score of least can have: what a perfect score has to spare."""
+    return max(0, math.floor(length * MATCH * (1 - least) / -GAP + 1e-9))
+
+
 FOUND_DDL = "doc_id bigint, item_id bigint, score double, word_start int, word_end int"
 
 
@@ -187,7 +192,8 @@ def _search(items: Items, least: float):
             for t, i, low, high in zip(text[begins].tolist(), of[begins].tolist(), diagonal[begins].tolist(), diagonal[ends].tolist(), strict=True):
                 begin, end = int(words.word_at[t]), int(words.word_at[t + 1])
                 item = items.words[i]
-                a, b = max(begin, low - SLACK), min(end, high + len(item) + SLACK)
+                slack = gaps(len(item), least)
+                a, b = max(begin, low - slack), min(end, high + len(item) + slack)
                 if i not in known:
                     known[i] = np.unique(item)
                 if not may_pass(known[i], len(item), hashes[a:b], least):

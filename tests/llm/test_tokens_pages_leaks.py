@@ -5,6 +5,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +187,15 @@ def test_an_edited_copy_is_found_beside_exact_ones(spark):
     b = spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(items)], "item_id bigint, text string")
     got = decontaminate.find_leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), b).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(k, k % 3) for k in range(9)}
+
+
+@pytest.mark.parametrize("seedless", [range(160), range(140, 300)])
+def test_a_long_insertion_is_inside_the_region(spark, seedless):
+    item = [f"w{k}" for k in range(300)]
+    edited = [f"n{k}" if k in seedless and k % 3 == 1 else w for k, w in enumerate(item)]
+    at = 160 if 0 in seedless else 140
+    doc = ["x"] * 400 + edited[:at] + ["y"] * 120 + edited[at:] + ["z"] * 400
+    score, start, end = decontaminate.align(*(decontaminate.word_hashes(pa.array([" ".join(t)]))[1] for t in (item, doc)))
+    d = spark.createDataFrame([(1, " ".join(doc))], "doc_id bigint, text string")
+    got = decontaminate.find_leaks(d, spark.createDataFrame([(2, " ".join(item))], "item_id bigint, text string")).collect()
+    assert score >= 300 and [(r.score, r.word_start, r.word_end) for r in got] == [(score / 600, start, end)]
