@@ -3,21 +3,26 @@
 The model is linear in the shares of hashed word n-grams (1, 2) and character n-grams (1, 3, 4, over UTF-8 bytes) of a
 text, so a text is scored by gathering weights: no feature vector is made. It is trained on at most SAMPLE labelled
 rows of each class (those with the smallest hash of doc_id), calibrated on the fifth of them that training leaves out,
-and moved to the class shares of all labels. Batches are scored in Arrow against fixed thresholds.
+and moved to the class shares of all labels. A second model finds toxic texts by words that labelled toxic ones have more
+often: a few such words decide, however long the text, so the presence of words (and of their beginnings) counts, not their
+share. Batches are scored in Arrow against fixed thresholds.
 
 Nulls and ties: a null text has no words and fails the base rules; labels without a quality or a document are left out;
-a document with several labels has the lowest. Without labels of both classes every text that passes the base rules is
-kept. Repeated rows each get a row. Extra columns are ignored.
+a document with several labels has the lowest quality, and is toxic if one says so. Without quality labels of both
+classes every text that passes the base rules is kept; without toxic ones of both classes, or words that tell them apart, none is read as toxic. Repeated rows each get a row.
+Extra columns are ignored.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkit
@@ -29,10 +34,17 @@ WORD_ORDERS = (1, 2)
 CHAR_ORDERS = (1, 3, 4)
 GROUPS = len(WORD_ORDERS) + len(CHAR_ORDERS)
 KEEP_AT = 0.5
+TOXIC_AT = 0.5
+#: Standard errors by which a word has to be more frequent in toxic texts.
+LEAST_Z = 3.5
+PREFIX = 4
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 REPEAT_WINDOW = 5
 SYMBOLS = np.zeros(256, dtype=bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
+#: ASCII punctuation becomes space.
+PLAIN = np.arange(256, dtype=np.uint8)
+PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0x20
 
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -70,6 +82,7 @@ class Model:
     bias: float
     slope: float
     offset: float
+    toxic: Toxic | None = None
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         margin = np.full(len(texts), self.bias)
@@ -130,30 +143,110 @@ def fit(texts: pa.Array, good: np.ndarray, share_good: float) -> Model | None:
     return Model((weight / scale).reshape(GROUPS, BUCKETS).astype(np.float32), bias, slope / spread, offset + prior)
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE) -> Model | None:
-    """The model, from at most sample labelled rows of each class. The fit runs in one executor task over that sample."""
-    known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg((F.min(label) >= 1).alias("good"))
-    known = known.withColumn("order", F.xxhash64("doc_id"))
-    counts = {r.good: r.n for r in known.groupBy("good").agg(F.count("*").alias("n")).collect()}
-    if len(counts) < 2:
+@dataclass
+class Toxic:
+    """Words (hashes, sorted) that speak for toxicity, and their weights; a text's margin is the sum over its distinct ones."""
+
+    words: np.ndarray
+    weights: np.ndarray
+    slope: float
+    offset: float
+
+    def margins(self, texts: pa.Array) -> np.ndarray:
+        text, hashes = plain_words(texts)
+        where = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        at = np.flatnonzero(self.words[where] == hashes)
+        text, which = np.divmod(np.unique(text[at] * len(self.words) + where[at]), len(self.words))
+        return np.bincount(text, weights=self.weights[which], minlength=len(texts))
+
+    def probabilities(self, texts: pa.Array) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -50, 50)))
+
+
+def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased words without ASCII punctuation, and the first PREFIX bytes of those that are longer: text and hash of
+    each, as pairs."""
+    words = textkit.words_of(pc.utf8_lower(texts), PLAIN)
+    text = words.text_of_word()
+    longer = np.flatnonzero(words.ends - words.starts > PREFIX)
+    cut = textkit.Words(words.data, words.starts[longer], words.starts[longer] + PREFIX, words.word_at, words.text_at)
+    return np.concatenate((text, text[longer])), np.concatenate((words.hashes(), textkit.mix(cut.hashes())))
+
+
+def fit_toxic(texts: pa.Array, toxic: np.ndarray, share_toxic: float) -> Toxic | None:
+    """share_toxic: of all labels, for the prior. The words are those whose share of toxic texts is above that of the
+    others by LEAST_Z standard errors; weights are their log odds."""
+    if len(toxic) < 10 or toxic.min() == toxic.max():
+        return None
+    text, hashes = plain_words(texts)
+    known, which = np.unique(hashes, return_inverse=True)
+    if not len(known):
+        return None
+    text, which = np.divmod(np.unique(text * len(known) + which), len(known))
+
+    def learned(rows: np.ndarray) -> Toxic | None:
+        n = [int((rows & (toxic == v)).sum()) for v in (0, 1)]
+        has = [np.bincount(which[(rows & (toxic == v))[text]], minlength=len(known)) for v in (0, 1)]
+        p = (has[0] + has[1]) / max(1, sum(n))
+        z = (has[1] / max(1, n[1]) - has[0] / max(1, n[0])) / np.sqrt(p * (1 - p) * (1 / max(1, n[0]) + 1 / max(1, n[1])) + 1e-12)
+        speak = (z >= LEAST_Z) & (has[1] >= 2)
+        weight = [np.log((h + 0.5) / (k - h + 0.5)) for h, k in zip(has, n, strict=True)]
+        return Toxic(known[speak], (weight[1] - weight[0])[speak], 1.0, 0.0) if speak.any() else None
+
+    held = np.arange(len(toxic)) % 5 == 4
+    if toxic[held].min() == toxic[held].max() or toxic[~held].min() == toxic[~held].max():
+        held[:] = False
+    model, y = learned(~held), toxic[held] if held.any() else toxic
+    if model is None:
+        return None
+    margin = model.margins(texts.filter(pa.array(held)) if held.any() else texts)
+    spread = float(np.abs(margin).mean()) or 1.0
+    (slope,), offset = _logistic((margin / spread)[:, None], y, 1e-3, 2000)
+    prior = np.log(share_toxic / (1 - share_toxic)) - np.log(y.mean() / (1 - y.mean()))
+    return Toxic(model.words, model.weights, slope / spread, offset + prior)
+
+
+QUALITY, TOXIC = 0, 1
+TRAINED_DDL = "kind int, weights binary, words binary, bias double, slope double, offset double"
+
+
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, toxic: str = "toxic") -> Model | None:
+    """The model, from at most sample labelled rows of each class; of toxicity too where labels have that column. Each fit
+    runs in one executor task over its sample."""
+
+    def known(name: str, value: Column) -> DataFrame:
+        found = labels.where(F.col(name).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(value.alias("yes"))
+        return found.withColumn("order", F.xxhash64("doc_id"))
+
+    tables = {QUALITY: known(label, F.min(label) >= 1)}
+    if toxic in labels.columns:
+        tables[TOXIC] = known(toxic, F.max(toxic) >= 1)
+    shares, parts = {}, []
+    for kind, found in tables.items():
+        counts = {r.yes: r.n for r in found.groupBy("yes").agg(F.count("*").alias("n")).collect()}
+        if len(counts) == 2:
+            shares[kind] = counts[True] / sum(counts.values())
+            parts += [found.where(F.col("yes") == v).orderBy("order", "doc_id").limit(sample).withColumn("kind", F.lit(kind)) for v in (True, False)]
+    if QUALITY not in shares:
         return None
-    share = counts[True] / sum(counts.values())
-    parts = [known.where(F.col("good") == v).orderBy("order", "doc_id").limit(sample) for v in (True, False)]
-    chosen = F.broadcast(parts[0].unionByName(parts[1]))
+    chosen = F.broadcast(reduce(DataFrame.unionByName, parts))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "doc_id")
 
     def one(table: pa.Table) -> pa.Table:
-        table = table.drop_columns(["all"]).sort_by([("order", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
-        model = fit(table["text"].combine_chunks(), np.asarray(table["good"]).astype(np.float64), share)
-        if model is None:
-            return pa.table({"weights": pa.array([], pa.binary()), "bias": pa.array([], pa.float64()), "slope": pa.array([], pa.float64()), "offset": pa.array([], pa.float64())})
-        return pa.table({"weights": [model.weights.tobytes()], "bias": [float(model.bias)], "slope": [float(model.slope)], "offset": [float(model.offset)]})
-
-    found = rows.withColumn("all", F.expr("pmod(order, 1)")).groupBy("all").applyInArrow(one, "weights binary, bias double, slope double, offset double").collect()
-    if not found:
+        table = table.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        kind, texts, yes = table["kind"][0].as_py(), table["text"].combine_chunks(), np.asarray(table["yes"]).astype(np.float64)
+        model = (fit if kind == QUALITY else fit_toxic)(texts, yes, shares[kind])
+        row = {} if model is None else {"kind": kind, "weights": model.weights.tobytes(), "words": b"" if kind == QUALITY else model.words.tobytes()}
+        row |= {} if model is None else {"bias": float(model.bias) if kind == QUALITY else 0.0, "slope": float(model.slope), "offset": float(model.offset)}
+        types = {"kind": pa.int32(), "weights": pa.binary(), "words": pa.binary(), "bias": pa.float64(), "slope": pa.float64(), "offset": pa.float64()}
+        return pa.table({k: pa.array([row[k]] if row else [], t) for k, t in types.items()})
+
+    found = {r.kind: r for r in rows.groupBy("kind").applyInArrow(one, TRAINED_DDL).collect()}
+    if QUALITY not in found:
         return None
-    (r,) = found
-    return Model(np.frombuffer(r.weights, dtype=np.float32).reshape(GROUPS, BUCKETS), r.bias, r.slope, r.offset)
+    r, t = found[QUALITY], found.get(TOXIC)
+    words = Toxic(np.frombuffer(t.words, dtype=np.uint64), np.frombuffer(t.weights), t.slope, t.offset) if t else None
+    return Model(np.frombuffer(r.weights, dtype=np.float32).reshape(GROUPS, BUCKETS), r.bias, r.slope, r.offset, words)
 
 
 def repeated_words(words: textkit.Words, n: int = REPEAT_WINDOW) -> np.ndarray:
@@ -200,9 +293,9 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
 
 def score(docs: DataFrame, model: Model | None, text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """docs with the statistics, base_failed, p_good and kept added; columns of those names are replaced."""
-    added = [*STATS, "base_failed", "p_good", "kept"]
+    added = [*STATS, "base_failed", "p_good", "p_toxic", "kept"]
     docs = docs.drop(*[a for a in added if a != text])
-    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{s} bigint" for s in STATS), "base_failed boolean", "p_good double", "kept boolean"])
+    ddl = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema), *(f"{s} bigint" for s in STATS), "base_failed boolean", "p_good double", "p_toxic double", "kept boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in textkit.pieces(batches, text):
@@ -210,7 +303,9 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep_at: flo
             stats = statistics(texts)
             failed = (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > MAX_REPEATED_PERCENT * stats["n_words"])
             good = model.probabilities(texts) if model else np.ones(len(texts))
-            columns = [*piece.columns, *(pa.array(stats[s]) for s in STATS), pa.array(failed), pa.array(good), pa.array(~failed & (good >= keep_at))]
+            toxic = model.toxic.probabilities(texts) if model and model.toxic else np.zeros(len(texts))
+            kept = ~failed & (good >= keep_at) & (toxic < TOXIC_AT)
+            columns = [*piece.columns, *(pa.array(stats[s]) for s in STATS), pa.array(failed), pa.array(good), pa.array(toxic), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names, *added])
 
     return docs.mapInArrow(run, ddl)
@@ -218,5 +313,5 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep_at: flo
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality", "toxic")
     return score(docs, train(docs, labels)).drop("text")

@@ -86,6 +86,15 @@ def test_quality_held_out_accuracy(spark):
     assert quality.train(docs.limit(0), labels.limit(0)) is None
 
 
+def test_toxic_documents_are_rejected(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels.where("doc_id % 3 <> 0"))
+    known = labels.where("doc_id % 3 = 0").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    scored = quality.score(docs.join(known, "doc_id").select("doc_id", "text", "quality", "toxic"), model).where("NOT base_failed").toPandas()
+    toxic, clean = scored[scored.toxic == 1], scored[(scored.toxic == 0) & (scored.quality == 1)]
+    assert (~toxic.kept).mean() >= 0.75 and clean.kept.mean() >= 0.97
+
+
 def test_substring_dedup(spark):
     rng = random.Random(6)
     words = [f"w{k}" for k in range(400)]
