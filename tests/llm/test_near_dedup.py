@@ -104,3 +104,13 @@ def test_components(spark):
                 todo += near[x]
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
     assert got == {k: v for k, v in want.items() if near[k] - {k}}
+
+
+def test_components_of_a_long_shuffled_path(spark):
+    ids = list(range(1000))
+    random.Random(3).shuffle(ids)
+    edges = spark.createDataFrame(list(zip(ids, ids[1:], strict=False)), "a bigint, b bigint")
+    got = components(edges).collect()
+    assert len(got) == 1000 and {r.label for r in got} == {0}
+    with pytest.raises(RuntimeError):
+        components(edges, limit=2)
