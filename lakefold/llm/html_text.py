@@ -3,7 +3,8 @@
 A page becomes a sequence of tags and words. Elements that never hold main text (scripts, menus, adverts, comments...)
 are left out first. What remains is scored: words positive, tags negative, by the place where they stand (inside an
 article, beside one, in a link, in a list, or in plain flow); the weights are log odds counted on the labelled pages
-below. One linear scan finds the region with the highest sum, and its blocks are the text.
+below. One linear scan finds the region with the highest sum, and its blocks are the text. Where article or main elements
+outside those left out have words, each of them is a region, and the text is all of theirs.
 
 Nulls and ties: null html gives an empty text; of regions with the same score the first, then the longest, is taken;
 repeated pages each get a row. Broken markup (unclosed tags, a page cut short) is read as browsers do: a new paragraph
@@ -49,6 +50,7 @@ LABELLED = (
     "<body><div>Home News Sport</div><ul><li><a>One</a></li><li><a>Two</a></li></ul><article><!--main--><h1>A title here</h1><p>Some words of a story that goes on.</p><p>And <b>more</b> of it.</p><!--/main--></article><div>Terms of use</div></body>",
     "<body><div>Welcome to the site</div><main><!--main--><h2>Short</h2><p>One line of text.</p><!--/main--></main><div>All rights reserved here</div></body>",
     "<body><ul><li><a>Start</a></li><li><a>About us</a></li></ul><!--main--><h1>No article tag</h1><p>Flowing words make a paragraph of plain text, and it goes on for a while.</p><p>A second one, with <a>a link</a> in it, also goes on.</p><ul><li>point one of the list</li></ul><p>The end comes with a last paragraph.</p><!--/main--><ul><li><a>Next</a></li><li><a>Older posts</a></li></ul><div><a>Privacy</a> <a>Imprint</a></div></body>",
+    "<body><ul><li><a>Front</a></li></ul><div><!--main--><h1>Cards at the side</h1><p>The text stands in plain elements and goes on for some words.</p><p>It ends here.</p><!--/main--></div><aside><article><p>Another story</p></article></aside><ul><li><a>Back</a></li></ul></body>",
     "<body><table><tr><td><a>Left</a></td><td><!--main--><p>Tables were used for layout in those days, and the text stood in a cell.</p><p>More text follows in the same cell.</p><!--/main--></td><td><a>Right</a></td></tr></table></body>",
 )
 
@@ -60,15 +62,18 @@ def tokens(page: str) -> list[Token]:
     out: list[Token] = []
     open_tags: list[str] = []
     dropped_at: int | None = None  # depth at which an element is left out
-    holds = bool(re.search(r"<(?:article|main)[\s>]", page, re.IGNORECASE))
     at = 0
 
     def place() -> str:
-        if holds:
-            return "article" if any(t in HOLDS_MAIN for t in open_tags) else "beside"
-        if "a" in open_tags:
-            return "link"
-        return "list" if "li" in open_tags else "plain"
+        flow = "link" if "a" in open_tags else "list" if "li" in open_tags else "plain"
+        return f"{flow} article" if any(t in HOLDS_MAIN for t in open_tags) else flow
+
+    def placed() -> list[Token]:
+        """Articles count where one has words outside the elements left out; else all is flow."""
+        holds = any(where.endswith("article") and kind == "text" and value.split() for where, kind, value in out)
+        names = {"": ""} | {f: "beside" if holds else f for f in ("link", "list", "plain")}
+        names |= {f"{f} article": "article" if holds else f for f in ("link", "list", "plain")}
+        return [(names[where], kind, value) for where, kind, value in out]
 
     while True:
         found = TOKEN.search(page, at)
@@ -76,7 +81,7 @@ def tokens(page: str) -> list[Token]:
         if text and dropped_at is None:
             out.append((place(), "text", html.unescape(text)))
         if not found:
-            return out
+            return placed()
         at = found.end()
         if not found[2]:
             if found[0] in ("<!--main-->", "<!--/main-->"):
@@ -145,7 +150,11 @@ def main_text(page: str | None) -> str:
     found = tokens(page)
     best = (0.0, 0, 0)
     total, begin = 0.0, 0
-    for k, (place, kind, value) in enumerate(found):
+    if any(place == "article" for place, _, _ in found):
+        # Every article's region: a word in one is above zero, its tags are next to nothing, all beside is below zero.
+        best = (0.0, 0, len(found))
+        found = [t if t[0] in ("article", "") else ("beside", "tag", "div") for t in found]
+    for k, (place, kind, value) in enumerate(found if not best[2] else ()):
         if kind == "mark":
             continue
         if total <= 0:

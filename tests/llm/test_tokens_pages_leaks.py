@@ -125,6 +125,25 @@ def test_main_text(page, text):
     assert html_text.main_text(page) == text
 
 
+STORY = "<div><p>The first words of the story stand here in plain flow.</p><p>And it goes on with more.</p></div>"
+STORY_TEXT = "The first words of the story stand here in plain flow.\n\nAnd it goes on with more."
+
+
+@pytest.mark.parametrize("beside", [
+    "<aside><article><p>Related card</p></article></aside>", "<section class='comments'><article><p>A reader says so</p></article></section>",
+    "<script>var a = '<article >';</script>", "<!-- <main> -->", "<article> </article>", "<template><main>x</main></template>",
+])
+def test_articles_that_are_left_out_do_not_count(beside):
+    assert html_text.main_text(STORY + beside) == html_text.main_text(beside + STORY) == STORY_TEXT
+
+
+def test_every_article_is_kept():
+    long, short = ("word " * 40).strip(), "a short one"
+    between = "<div>" + "beside " * 30 + "</div>"
+    page = f"<article><p>{long}</p></article>{between}<article><p>{short}</p></article>"
+    assert html_text.main_text(page) == f"{long}\n\n{short}"
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "<article>é🙂</article>", "clash"), (2, None, None)], "page_id bigint, html string, text string")
     assert sorted(tuple(r) for r in html_text.extract(df).collect()) == [(1, "é🙂", 2), (2, "", 0)]
