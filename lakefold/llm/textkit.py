@@ -15,7 +15,7 @@ import pyarrow as pa
 
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _STEPS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 _TABLES = [np.random.default_rng(s).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for s in (11, 12)]
@@ -36,7 +36,7 @@ def _powers(which: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2**64, at least n of each."""
     have = _POWERS.get(which)
     if have is None or len(have[0]) < n:
-        size = max(n, PIECE_BYTES + 1)
+        size = max(n, PIECE_BYTES + (PIECE_BYTES >> 4))
         base = _BASES[which]
         pair = []
         for b in (base, pow(base, -1, 1 << 64)):
@@ -67,12 +67,45 @@ class Words:
         return np.repeat(np.arange(len(self.word_at) - 1), self.counts)
 
     def hashes(self, which: int = 0) -> np.ndarray:
-        power, inverse = _powers(which, len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, dtype=np.uint64)
-        np.cumsum(_TABLES[which][self.data] * power[: len(self.data)], out=sums[1:])
-        h = (sums[self.ends] - sums[self.starts]) * inverse[self.starts]
-        h += (self.ends - self.starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
-        return mix(h)
+        return span_hashes(self.data, self.starts, self.ends, which)
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
+    """A hash of each run of bytes data[starts[i]:ends[i]]; starts and ends ascend. Work arrays are as long as a few
+    PIECE_BYTES, however long the data."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    done = 0
+    while done < len(starts):
+        base = int(starts[done])
+        stop = max(done + 1, int(np.searchsorted(ends, base + 2 * PIECE_BYTES, side="right")))
+        size = int(ends[stop - 1]) - base
+        if size > 2 * PIECE_BYTES:  # one long run
+            power, _ = _powers(which, PIECE_BYTES)
+            step, factor, total = int(power[PIECE_BYTES - 1]) * _BASES[which] % (1 << 64), 1, 0
+            for a in range(base, base + size, PIECE_BYTES):
+                part = data[a : min(a + PIECE_BYTES, base + size)]
+                total += factor * int((_TABLES[which][part] * power[: len(part)]).sum(dtype=np.uint64))
+                factor = factor * step % (1 << 64)
+            out[done] = np.uint64(total % (1 << 64))
+        else:
+            power, inverse = _powers(which, size + 1)
+            sums = np.zeros(size + 1, dtype=np.uint64)
+            np.multiply(_TABLES[which][data[base : base + size]], power[:size], out=sums[1:])
+            np.cumsum(sums, out=sums)
+            a = starts[done:stop] - base
+            out[done:stop] = (sums[ends[done:stop] - base] - sums[a]) * inverse[a]
+        done = stop
+    out += (ends - starts).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+    return mix(out)
+
+
+def first_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each run, as a number; shorter ones are padded with zeros."""
+    out = np.zeros(len(starts), dtype=np.uint64)
+    for k in range(8):
+        at = starts + k
+        out |= np.where(at < ends, data[np.minimum(at, len(data) - 1)], 0).astype(np.uint64) << np.uint64(8 * k)
+    return out
 
 
 def windows(hashes: np.ndarray, n: int, which: int = 0) -> np.ndarray:

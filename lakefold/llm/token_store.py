@@ -17,10 +17,8 @@ by their ids. An empty table gives a store without packs.
 from __future__ import annotations
 
 import hashlib
-import os
 import zlib
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,117 +26,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkit
+from lakefold.llm.unit_encoder import encoder
 from lakefold.session import scratch_path, shuffle_partitions
 
 CHUNK_MIN, CHUNK_MASK, CHUNK_MAX, CHUNK_WINDOW = 64, 255, 4096, 8
-CACHED_UNITS = 700_000
-#: White space that str.isspace() does not count.
-OTHER_SPACE = ("\u180e", "\u200b", "\ufeff")
-#: ASCII punctuation; a piece never goes on from a letter to one of these (the apostrophe may).
-PUNCTUATION = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
-
-
-class Encoder:
-    """The tokenizers library over whole texts.
-
-    A text is cut before a space or a line feed that stands between two characters that are not white space: the
-    byte-level pre-tokenizer always begins a piece there, so the units between cuts can be encoded, and kept, alone.
-    Units not met before go to the library together, each after a line feed, whose id shows where it begins.
-    """
-
-    def __init__(self, path: str):
-        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.dtype = np.dtype("<u2") if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else np.dtype("<u4")
-        (self.feed,) = self.tokenizer.encode("\n", add_special_tokens=False).ids
-        self.units: dict[str, bytes] = {}
-        self.tails: dict[str, bytes] = {}
-
-    def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, dtype=self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    @staticmethod
-    def _alone(unit: str) -> bool:
-        """unit: without its space, but with its line feed. False: white space at an end, so the cuts beside it are not sure."""
-        body = unit[1:] if unit[:1] == "\n" else unit
-        if not body or body[0].isspace() or body[-1].isspace() or "\n" in body:
-            return False
-        return body.isascii() or not any(x in body for x in OTHER_SPACE)
-
-    def _learn(self, new: list[str]) -> None:
-        """Units without white space but for a leading line feed. Punctuation after a last letter is encoded apart."""
-        units, tails, good, ends = self.units, self.tails, [], []
-        for u in new:
-            body = u.rstrip(PUNCTUATION)
-            if len(body) < len(u) and body[-1:].isalpha() and "<|" not in u:
-                ends.append((u, body, u[len(body) :]))
-                if body not in units:
-                    good.append(body)
-            else:
-                good.append(u)
-        self._encode_units(list(dict.fromkeys(good)))
-        for unit, body, tail in ends:
-            found = tails.get(tail)
-            if found is None:
-                found = tails[tail] = self._ids([tail])[0]
-            units[unit] = units[body] + found
-
-    def _encode_units(self, good: list[str]) -> None:
-        size = self.dtype.itemsize
-        for at in range(0, len(good), 20_000):
-            part = good[at : at + 20_000]
-            marked = [u if u[0] == "\n" else f"\n {u}" for u in part]
-            lines = ["".join(marked[k : k + 100]) for k in range(0, len(part), 100)]
-            ids = np.fromiter(chain.from_iterable([e.ids for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)]), dtype=self.dtype)
-            begins = np.flatnonzero(ids == self.feed)
-            if len(begins) != len(part):
-                self.units.update(zip(part, self._ids([m if m[0:2] != "\n " else m[1:] for m in marked]), strict=True))
-                continue
-            raw, edges = ids.tobytes(), [*(begins * size).tolist(), len(ids) * size]
-            self.units.update((u, raw[edges[k] + (0 if u[0] == "\n" else size) : edges[k + 1]]) for k, u in enumerate(part))
-
-    def texts(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as bytes of self.dtype."""
-        split = [t.replace("\n", " \n").split(" ") for t in texts]
-        if len(self.units) > CACHED_UNITS:
-            self.units = dict(list(self.units.items())[: CACHED_UNITS // 2])
-        if len(self.tails) > CACHED_UNITS // 10:
-            self.tails.clear()
-        for k, text in enumerate(texts):
-            flat = text.replace("\n", " ")
-            if not flat.isprintable() or "  " in flat or flat[:1] == " " or flat[-1:] == " ":
-                split[k] = []  # runs of white space, or another kind of it, or marks without width
-        heads = [parts.pop(0) if parts else "" for parts in split]
-        self._learn(list(set(chain.from_iterable(split)).difference(self.units)))
-        known = self.units.__getitem__
-        first = self._ids(heads)
-        return [ids + b"".join(map(known, parts)) if head else self._unsure(text) for text, head, ids, parts in zip(texts, heads, first, split, strict=True)]
-
-    def _unsure(self, text: str) -> bytes:
-        """As texts(), for a text with runs of white space: the parts beside an unsure cut stay together."""
-        parts = text.split(" ")
-        joined, sure = [parts[0]], self._alone(parts[0])
-        for p in parts[1:]:
-            good = p[:1] != "\n" and self._alone(p)
-            if good and sure:
-                joined.append(p)
-            else:
-                joined[-1] += f" {p}"
-            sure = good
-        known = self.units
-        return self._ids(joined[:1])[0] + b"".join(known.get(u) or self._ids([f" {u}"])[0] for u in joined[1:])
-
-
-_ENCODERS: dict[str, Encoder] = {}
-
-
-def encoder(path: str) -> Encoder:
-    """One for each worker process."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
 
 
 def _name(chunk: bytes) -> bytes:
@@ -215,22 +106,23 @@ def encode_documents(docs: DataFrame, path: str, end_id: int, bounds: list[int],
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
-        end = np.asarray([end_id], dtype=enc.dtype).tobytes()
         edges = np.asarray(bounds, dtype=np.int64)
         for piece in textkit.pieces(batches, "text"):
-            texts = [t or "" for t in textkit.column(piece, "text").to_pylist()]
+            stream, at = enc.encode(textkit.column(piece, "text"))
+            stream = np.insert(stream, at[1:], enc.dtype.type(end_id))
+            at = at + np.arange(len(at))
             ids = textkit.column(piece, "doc_id").cast(pa.int64()).to_pylist()
             rows = []
-            for i, raw in zip(ids, enc.texts(texts), strict=True):
-                data = raw + end
-                stream = np.frombuffer(data, dtype=enc.dtype)
-                lengths = chunk_lengths(stream)
+            for i, begin, stop in zip(ids, at[:-1].tolist(), at[1:].tolist(), strict=True):
+                own = stream[begin:stop]
+                data = own.tobytes()
+                lengths = chunk_lengths(own)
                 at, names = 0, []
                 for n in lengths:
                     names.append(_name(data[at : at + n * enc.dtype.itemsize]))
                     at += n * enc.dtype.itemsize
                 pack = 0 if i is None else int(np.searchsorted(edges, i, side="right"))
-                rows.append((pack, i, len(stream), lengths, names, _squeeze(data)))
+                rows.append((pack, i, len(own), lengths, names, _squeeze(data)))
             yield pa.record_batch([pa.array(list(c), type=f.type) for c, f in zip(zip(*rows, strict=True), STAGED, strict=True)], schema=STAGED)
 
     return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, STAGED_DDL)

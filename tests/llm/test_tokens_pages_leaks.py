@@ -9,10 +9,10 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lakefold.llm import decontaminate, html_text, token_store, viterbi_count
+from lakefold.llm import decontaminate, html_text, textkit, token_store, unit_encoder, viterbi_count
 
 BPE, PIECES = public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")
-PARTS = [" ", "  ", "\n", "\n\n", "\t", "a", "Ab", "é", " x", ".", "!", "12", "\x1c", "\x85", "'s", "'", "<|endoftext|>", "日本", "​", "\r\n", "᠎", "word", "\x0b", "x<|", "|>", "b***", "▁", "🙂"]
+PARTS = [" ", "  ", "\n", "\n\n", "\t", "a", "Ab", "é", " x", ".", "!", "12", "\x1c", "\x85", "'s", "'", "<|endoftext|>", "日本", "​", "\r\n", "᠎", "word", "\x0b", "x<|", "|>", "b***", "▁", "🙂", "×", "Ж", "\u3000", "\xa0", "—", "don't", "\u0661", "\u2009", "\u0301"]
 
 
 def odd_texts(n, seed):
@@ -21,12 +21,22 @@ def odd_texts(n, seed):
 
 
 def test_units_give_the_librarys_ids(monkeypatch):
-    enc = token_store.Encoder(BPE)
-    monkeypatch.setattr(token_store, "CACHED_UNITS", 300)
-    texts = odd_texts(3000, 1)
+    enc = unit_encoder.Encoder(BPE)
+    monkeypatch.setattr(unit_encoder, "CACHED_UNITS", 300)
+    texts = odd_texts(6000, 1)
     for at in range(0, len(texts), 50):
-        for text, raw in zip(texts[at : at + 50], enc.texts(texts[at : at + 50]), strict=True):
-            assert raw == np.asarray(enc.tokenizer.encode(text, add_special_tokens=False).ids, dtype=enc.dtype).tobytes()
+        ids, offsets = enc.encode(pa.array(texts[at : at + 50]))
+        for k, text in enumerate(texts[at : at + 50]):
+            assert ids[offsets[k] : offsets[k + 1]].tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert [x.tolist() for x in enc.encode(pa.array([None, ""], pa.string()))] == [[], [0, 0, 0]]
+
+
+def test_long_runs_hash_as_short_ones(monkeypatch):
+    data = np.frombuffer(random.Random(4).randbytes(5000), dtype=np.uint8)
+    starts, ends = np.array([0, 10, 700, 4000]), np.array([10, 600, 3900, 4001])
+    want = [textkit.span_hashes(data, starts, ends, w) for w in (0, 1)]
+    monkeypatch.setattr(textkit, "PIECE_BYTES", 64)
+    assert [textkit.span_hashes(data, starts, ends, w).tolist() for w in (0, 1)] == [w.tolist() for w in want]
 
 
 def test_chunks_follow_content():
@@ -46,8 +56,8 @@ def test_store_round_trip(spark, tmp_path):
     df = spark.createDataFrame([(i, t, 1) for i, t in texts], "doc_id bigint, text string, pack int")
     token_store.write_store(df, str(tmp_path / "s"), BPE, 2, packs=5)
     got = token_store.read_store(spark, str(tmp_path / "s")).orderBy("start").collect()
-    enc = token_store.Encoder(BPE)
-    want = sorted((i is not None, i or 0, [*np.frombuffer(enc.texts([t or ""])[0], dtype=enc.dtype).tolist(), 2]) for i, t in texts)
+    library = unit_encoder.Encoder(BPE).tokenizer
+    want = sorted((i is not None, i or 0, [*library.encode(t or "", add_special_tokens=False).ids, 2]) for i, t in texts)
     start = 0
     assert [r.doc_id or 0 for r in got] == [w[1] for w in want]
     expected = set()
