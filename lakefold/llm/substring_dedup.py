@@ -31,7 +31,7 @@ from lakefold.llm import textkit
 from lakefold.session import shuffle_partitions
 
 WINDOW = 13
-FLUSH = 1_000_000
+FLUSH = 1 << 19
 LOW = np.uint64(0xFFFFFFFF)
 PART, REST = "_part", ("n_words", "n_removed", "removed", "kept_text")
 BLOBS_DDL = "bucket int, kind int, docs binary, counts binary, keys binary"
@@ -48,12 +48,16 @@ def part_column(doc_id: str, parts: int) -> Column:
     return F.coalesce(F.pmod(c.bitwiseXOR(F.shiftrightunsigned(c, 17)), F.lit(parts)), F.lit(0)).cast("int")
 
 
-def _blobs(bucket: np.ndarray, docs: np.ndarray, keys: np.ndarray, kind: int, schema: pa.Schema = BLOBS) -> Iterator[tuple]:
-    """Rows (bucket, kind, documents, how many keys each has, keys)."""
+def _blobs(bucket: np.ndarray, docs: np.ndarray, keys: np.ndarray, kind: int, grouped: bool = False) -> Iterator[tuple]:
+    """Rows (bucket, kind, documents, how many keys each has, keys). grouped: the keys of a document stand together."""
     if not len(bucket):
         return
-    order = np.lexsort((docs, bucket))
+    if grouped:
+        order = np.argsort(bucket.astype(np.uint16) if int(bucket.max()) < 1 << 16 else bucket, kind="stable")
+    else:
+        order = np.lexsort((docs, bucket))
     bucket, docs, keys = bucket[order], docs[order], keys[order]
+    del order
     new = np.flatnonzero(np.concatenate(([True], (docs[1:] != docs[:-1]) | (bucket[1:] != bucket[:-1]))))
     counts = np.diff(np.concatenate((new, [len(docs)]))).astype(np.uint32)
     run_bucket, run_docs = bucket[new], docs[new]
@@ -89,15 +93,17 @@ def _probe(block: int, buckets: int):
     """Aligned blocks (kind 0) and the other rolling windows (kind 1) of each document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 1: []}
+        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {0: [], 1: []}  # buckets, documents, keys
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
             for kind, found in held.items():
                 if found:
-                    codes, docs = (np.concatenate([f[i] for f in found]) for i in (0, 1))
-                    yield _batch(list(_blobs((codes >> np.uint64(32)).astype(np.int32), docs, (codes & LOW).astype("<u4"), kind)))
-                found.clear()
+                    joined = [np.concatenate([f[i] for f in found]) for i in range(3)]
+                    found.clear()
+                    rows = _batch(list(_blobs(*joined, kind, grouped=True)))
+                    del joined
+                    yield rows
 
         for piece in textkit.pieces(batches, "text"):
             words = textkit.words_of(textkit.column(piece, "text"))
@@ -110,7 +116,8 @@ def _probe(block: int, buckets: int):
             codes = _block_codes(words, block, buckets)[starts] if len(starts) else np.zeros(0, dtype=np.uint64)
             aligned = (starts - words.word_at[owner]) % block == 0
             for kind, chosen in ((0, aligned), (1, ~aligned)):
-                held[kind].append((codes[chosen], ids[owner[chosen]]))
+                found = codes[chosen]
+                held[kind].append(((found >> np.uint64(32)).astype(np.int32), ids[owner[chosen]], (found & LOW).astype("<u4")))
             size += len(starts)
             if size >= FLUSH:
                 yield from flush()
