@@ -8,8 +8,9 @@ Of any N consecutive words of a document, some aligned block of (N + 1) // 2 wor
 
 Hashes travel as arrays of fixed-width integers, a row per bucket of hashes and batch, not as a row per window; the
 text passes the network once (both readers share that exchange). Buckets are as many as shuffle partitions, so a bucket
-holds a fixed share of the words. Block hits are only candidates; repeats are decided by a hash of 64 bits within a
-bucket that other bits choose.
+holds a fixed share of the words. What a task can decide among its own windows it does not send, so a passage that very
+many documents share is a few rows from each task. Block hits are only candidates; repeats are decided by a hash of 64
+bits within a bucket that other bits choose: right but for a chance of collision of 1 in 2**64 for each pair of windows.
 
 Nulls and ties: null text has no words; rows with a null doc_id are returned whole and never serve as the earlier
 document; rows with equal doc_id are no earlier documents of one another; repeated rows stay. Extra columns stay;
@@ -89,21 +90,46 @@ def _block_codes(words: textkit.Words, block: int, buckets: int) -> np.ndarray:
     return (((h >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (h & LOW)
 
 
-def _probe(block: int, buckets: int):
-    """Aligned blocks (kind 0) and the other rolling windows (kind 1) of each document."""
+def _met_here(codes: np.ndarray, docs: np.ndarray, aligned: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which windows are hits among these already, and which have to meet those of other tasks: of a code's aligned blocks
+    the one of the smallest document, and no window of a later document. So a code that many documents share sends a few
+    windows from a task, not one for each of them."""
+    order = np.lexsort((~aligned, docs, codes))
+    code, doc, block = codes[order], docs[order], aligned[order]
+    first = np.concatenate(([True], code[1:] != code[:-1])) if len(code) else np.zeros(0, dtype=bool)
+    run = np.cumsum(first) - 1
+    leads = np.flatnonzero(block)
+    leads = leads[np.concatenate(([True], run[leads][1:] != run[leads][:-1]))] if len(leads) else leads
+    least = np.full(int(first.sum()), np.iinfo(np.int64).max)
+    least[run[leads]] = doc[leads]
+    later = doc > least[run]
+    shared = np.zeros(len(least), dtype=bool)
+    shared[run[later]] = True
+    hit, sent = np.empty(len(codes), dtype=bool), np.empty(len(codes), dtype=bool)
+    hit[order] = later | (block & shared[run])
+    lead = np.zeros(len(codes), dtype=bool)
+    lead[leads] = True
+    sent[order] = np.where(block, lead, ~later)
+    return hit, sent
+
+
+def _probe(block: int, buckets: int, parts: int):
+    """Aligned blocks (kind 0) and the other rolling windows (kind 1) of each document, by bucket; hits among the windows
+    of one task (kind 2), by part, which go through the same exchange."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list[tuple[np.ndarray, np.ndarray, np.ndarray]]] = {0: [], 1: []}  # buckets, documents, keys
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # codes, documents, whether aligned
         size = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            for kind, found in held.items():
-                if found:
-                    joined = [np.concatenate([f[i] for f in found]) for i in range(3)]
-                    found.clear()
-                    rows = _batch(list(_blobs(*joined, kind, grouped=True)))
-                    del joined
-                    yield rows
+            codes, docs, aligned = (np.concatenate([h[i] for h in held]) for i in range(3))
+            held.clear()
+            hit, sent = _met_here(codes, docs, aligned)
+            rows = list(_blobs(_part(docs[hit], parts).astype(np.int32), docs[hit], codes[hit].astype("<u8"), 2, grouped=True))
+            for kind, chosen in ((0, sent & aligned), (1, sent & ~aligned)):
+                found = codes[chosen]
+                rows += _blobs((found >> np.uint64(32)).astype(np.int32), docs[chosen], (found & LOW).astype("<u4"), kind, grouped=True)
+            yield _batch(rows)
 
         for piece in textkit.pieces(batches, "text"):
             words = textkit.words_of(textkit.column(piece, "text"))
@@ -114,15 +140,13 @@ def _probe(block: int, buckets: int):
             owner = words.text_of_word()[starts]
             starts, owner = starts[known[owner]], owner[known[owner]]
             codes = _block_codes(words, block, buckets)[starts] if len(starts) else np.zeros(0, dtype=np.uint64)
-            aligned = (starts - words.word_at[owner]) % block == 0
-            for kind, chosen in ((0, aligned), (1, ~aligned)):
-                found = codes[chosen]
-                held[kind].append(((found >> np.uint64(32)).astype(np.int32), ids[owner[chosen]], (found & LOW).astype("<u4")))
+            held.append((codes, ids[owner], (starts - words.word_at[owner]) % block == 0))
             size += len(starts)
             if size >= FLUSH:
                 yield from flush()
                 size = 0
-        yield from flush()
+        if size:
+            yield from flush()
 
     return run
 
@@ -143,6 +167,12 @@ def _find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.nda
     return at, sorted_keys[at] == keys
 
 
+def _with(table: pa.Table, kind: int, rows: list[tuple]) -> pa.Table:
+    """rows, and those of the table that are of this kind."""
+    passed = table.filter(pa.compute.equal(table["kind"], kind)).select(BLOBS.names).cast(BLOBS)
+    return pa.concat_tables([passed, pa.Table.from_batches([_batch(rows)])])
+
+
 def _hits(parts: int):
     """Of one bucket: the codes that two documents share, sent to the parts of both."""
 
@@ -161,7 +191,7 @@ def _hits(parts: int):
         shared = live[own] if len(keys) else np.zeros(0, dtype=bool)
         codes = (bucket << np.uint64(32)) | np.concatenate((probes[hit], index[shared])).astype(np.uint64)
         docs = np.concatenate((probe_docs[hit], index_docs[shared]))
-        return pa.Table.from_batches([_batch(list(_blobs(_part(docs, parts).astype(np.int32), docs, codes.astype("<u8"), 2)))])
+        return _with(table, 2, list(_blobs(_part(docs, parts).astype(np.int32), docs, codes.astype("<u8"), 2)))
 
     return run
 
@@ -174,7 +204,7 @@ def _repeats(parts: int):
         known, smallest = _smallest(keys, docs)
         at, _ = _find(known, keys)
         later = docs > smallest[at] if len(known) else np.zeros(0, dtype=bool)
-        return pa.Table.from_batches([_batch(list(_blobs(_part(docs[later], parts).astype(np.int32), docs[later], keys[later], 4)))])
+        return _with(table, 4, list(_blobs(_part(docs[later], parts).astype(np.int32), docs[later], keys[later], 4)))
 
     return run
 
@@ -200,12 +230,14 @@ def _marked(piece: pa.RecordBatch, words: textkit.Words, n: int, codes: np.ndarr
     return starts[there]
 
 
-def _extend(n: int, block: int, buckets: int):
-    """The N-word windows around the hits of each document of a part."""
+def _extend(n: int, block: int, buckets: int, parts: int):
+    """The N-word windows around the hits of each document of a part, by bucket (kind 3): of equal ones, those of the
+    smallest document; the others are repeats already (kind 4)."""
 
     def run(_key: tuple, docs: pa.Table, hits: pa.Table) -> pa.Table:
         codes, of = _read(hits, 2, "<u8")
         rows: list[tuple] = []
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         if len(codes):
             docs = docs.filter(pa.compute.is_in(docs["doc_id"], value_set=pa.array(np.unique(of))))
             wanted = np.unique(_keyed(codes, of))
@@ -220,7 +252,16 @@ def _extend(n: int, block: int, buckets: int):
                 if len(starts):
                     first, second = _window_codes(words, n)
                     bucket = (second[starts] % np.uint64(buckets)).astype(np.int32)
-                    rows += _blobs(bucket, _ids(piece)[words.text_of_word()[starts]], first[starts].astype("<u8"), 3)
+                    found.append((bucket, _ids(piece)[words.text_of_word()[starts]], first[starts].astype("<u8")))
+        if found:
+            bucket, of, codes = (np.concatenate([f[i] for f in found]) for i in range(3))
+            found.clear()
+            order = np.lexsort((of, codes, bucket))
+            bucket, of, codes = bucket[order], of[order], codes[order]
+            first = np.concatenate(([True], (codes[1:] != codes[:-1]) | (bucket[1:] != bucket[:-1])))
+            later = of > of[first][np.cumsum(first) - 1]
+            rows += _blobs(bucket[first], of[first], codes[first], 3)
+            rows += _blobs(_part(of[later], parts).astype(np.int32), of[later], codes[later], 4)
         return pa.Table.from_batches([_batch(rows)])
 
     return run
@@ -281,9 +322,9 @@ def find_repeats(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text:
         docs = docs.drop(*({"doc_id", "text"} - {doc_id, text})).withColumnsRenamed({doc_id: "doc_id", text: "text"})
     docs = docs.drop(*REST, PART).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     dealt = docs.withColumn(PART, part_column("doc_id", parts))
-    probes = docs.select("doc_id", "text").mapInArrow(_probe(block, buckets), BLOBS_DDL)
+    probes = docs.select("doc_id", "text").mapInArrow(_probe(block, buckets, parts), BLOBS_DDL)
     hits = probes.groupBy("bucket").applyInArrow(_hits(parts), BLOBS_DDL).withColumnRenamed("bucket", PART)
-    windows = dealt.groupBy(PART).cogroup(hits.groupBy(PART)).applyInArrow(_extend(n, block, buckets), BLOBS_DDL)
+    windows = dealt.groupBy(PART).cogroup(hits.groupBy(PART)).applyInArrow(_extend(n, block, buckets, parts), BLOBS_DDL)
     repeats = windows.groupBy("bucket").applyInArrow(_repeats(parts), BLOBS_DDL).withColumnRenamed("bucket", PART)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
