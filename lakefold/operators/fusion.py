@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 #: Score bounds of each source.
 BOUNDS = {"text": (0.0, 100.0), "photo": (-1.0, 1.0), "class": (-1.0, 1.0)}
@@ -46,59 +46,59 @@ def evidence_errors(evidence: DataFrame, items: DataFrame) -> DataFrame:
     )
 
 
-def _within_budget(limit: int):
-    """Whole families join the candidates in order of their key while the total stays within the limit."""
+def _within_budget(total: Column, families: Column, limit: int) -> Column:
+    """Whole families join the candidates in order of their key while the total stays within the limit: keys of those that
+    do. families: array of (family, extra), extra being the members that are no candidates yet."""
+    start = F.struct(total.cast("bigint").alias("n"), F.array().cast("array<string>").alias("taken"))
 
-    @F.udf(S.ArrayType(S.StringType()))
-    def chosen(selected: list[str], family_rows: list) -> list[str]:
-        out = set(selected)
-        for row in sorted(family_rows, key=lambda r: r["family"]):
-            if len(out | set(row["members"])) <= limit:
-                out |= set(row["members"])
-        return sorted(out)
+    def step(have: Column, f: Column) -> Column:
+        more = F.struct((have["n"] + f["extra"]).alias("n"), F.concat(have["taken"], F.array(f["family"])).alias("taken"))
+        return F.when(have["n"] + f["extra"] <= limit, more).otherwise(have)
 
-    return chosen
+    return F.aggregate(F.sort_array(families), start, step, lambda have: have["taken"])
 
 
 def fuse(evidence: DataFrame, items: DataFrame, config: FusionConfig = FusionConfig(), attribute_score: DataFrame | None = None) -> DataFrame:
     """evidence: query_id, source, slug, score, rank. items: slug, family. attribute_score: query_id, slug, bonus.
 
     Returns query_id, slug, rank, blend_score, display_score, attribute_score, family, family_size. A missing text hit is
-    one below the floor; a missing photo or class reference is neutral.
+    one below the floor; a missing photo or class reference is neutral. Scores that agree in nine places are ties.
     """
     order = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), F.asc("slug"))
     ranked = evidence.withColumn("position", F.row_number().over(order))
     whole = Window.partitionBy("query_id", "source")
     ranked = ranked.withColumn("best", F.max("score").over(whole)).withColumn("n", F.count("*").over(whole))
     tau = F.create_map(*(F.lit(x) for kv in config.tau.items() for x in kv))
-    weight = F.create_map(*(F.lit(x) for kv in config.weights.items() for x in kv))
     at_floor = F.max(F.when(F.col("position") == F.least(F.lit(config.top_k), F.col("n")), F.col("score")))
     sources = ranked.groupBy("query_id", "source").agg(F.max("best").alias("best"), at_floor.alias("floor_score"))
-    members = items.groupBy("family").agg(F.sort_array(F.collect_set("slug")).alias("members"), F.count("*").alias("family_size"))
+    sizes = items.groupBy("family").agg(F.count("*").alias("family_size"))
     selected = ranked.where(F.col("position") <= config.top_k).select("query_id", "slug").distinct().join(items.select("slug", "family"), "slug")
-    sets = selected.join(members, "family").groupBy("query_id").agg(F.collect_set("slug").alias("selected"), F.collect_set(F.struct("family", "members")).alias("families"))
-    expanded = sets.select("query_id", F.explode(_within_budget(config.max_candidates)("selected", "families")).alias("slug"))
+    own = selected.groupBy("query_id", "family").agg(F.count("*").alias("n")).join(sizes, "family")
+    sets = own.groupBy("query_id").agg(F.sum("n").alias("n"), F.collect_list(F.struct(F.col("family").cast("string").alias("family"), (F.col("family_size") - F.col("n")).alias("extra"))).alias("families"))
+    taken = sets.select("query_id", F.explode(_within_budget(F.col("n"), F.col("families"), config.max_candidates)).alias("family"))
+    expanded = selected.select("query_id", "slug").unionByName(taken.join(items.select("slug", "family"), "family").select("query_id", "slug")).distinct()
     best_position = ranked.groupBy("query_id", "slug").agg(F.min("position").alias("first"))
     trimmed = expanded.join(best_position, ["query_id", "slug"], "left").withColumn("cut", F.row_number().over(Window.partitionBy("query_id").orderBy(F.coalesce("first", F.lit(10**9)), "slug")))
     candidates = trimmed.where(F.col("cut") <= config.max_candidates).select("query_id", "slug")
     scored = candidates.join(sources, "query_id").join(ranked.select("query_id", "source", "slug", "score", F.col("rank").alias("given")), ["query_id", "source", "slug"], "left")
     scale = F.element_at(tau, F.col("source"))
     gap = F.when(F.col("score").isNotNull(), (F.col("score") - F.col("best")) / scale).when(F.col("source") == "text", (F.col("floor_score") - F.col("best")) / scale - 1).otherwise(0.0)
+    in_order = lambda values: reduce(Column.__add__, (F.coalesce(F.max(F.when(F.col("source") == s, v)), F.lit(0.0)) for s, v in values.items()))  # noqa: E731  the same sum whatever the order of rows
     if config.mode == "gap":
-        part = F.element_at(weight, F.col("source")) * gap
-        member = F.sum(F.when(F.col("source") == "photo", config.member_photo * F.col("gap")).when(F.col("source") == "text", config.member_text * F.col("gap")).otherwise(0.0))
+        part = {s: config.weights[s] * F.col("gap") for s in BOUNDS}
+        member = in_order({"photo": config.member_photo * F.col("gap"), "text": config.member_text * F.col("gap")})
     else:
-        part = F.when(F.col("given") <= config.top_k, F.element_at(weight, F.col("source")) * config.rrf_k / (config.rrf_k + F.col("given"))).otherwise(0.0)
+        part = {s: F.when(F.col("given") <= config.top_k, config.weights[s] * config.rrf_k / (config.rrf_k + F.col("given"))) for s in BOUNDS}
         member = F.lit(0.0)
-    base = scored.withColumn("gap", gap).withColumn("part", part).groupBy("query_id", "slug").agg(F.sum("part").alias("base"), member.alias("member"), F.max((F.col("source") == "photo") & F.col("score").isNotNull()).alias("has_photo"))
-    base = base.join(items.select("slug", "family"), "slug").join(members.select("family", "family_size"), "family")
+    base = scored.withColumn("gap", gap).groupBy("query_id", "slug").agg(in_order(part).alias("base"), member.alias("member"), F.max((F.col("source") == "photo") & F.col("score").isNotNull()).alias("has_photo"))
+    base = base.join(items.select("slug", "family"), "slug").join(sizes, "family")
     base = base.withColumn("family_score", F.max("base").over(Window.partitionBy("query_id", "family")))
     if attribute_score is not None:
         base = base.join(attribute_score.select("query_id", "slug", "bonus"), ["query_id", "slug"], "left")
     else:
         base = base.withColumn("bonus", F.lit(0.0))
     base = base.withColumn("attribute_score", F.coalesce("bonus", F.lit(0.0))).withColumn("blend_score", F.col("family_score") + F.col("member") + F.col("attribute_score"))
-    final = Window.partitionBy("query_id").orderBy(F.desc("blend_score"), F.col("slug").rlike("-[12]$"), ~F.col("has_photo"), "slug")
+    final = Window.partitionBy("query_id").orderBy(F.desc(F.round("blend_score", 9)), F.col("slug").rlike("-[12]$"), ~F.col("has_photo"), "slug")
     out = base.withColumn("rank", F.row_number().over(final)).withColumn("top", F.max("blend_score").over(Window.partitionBy("query_id")))
     display = F.greatest(F.lit(0.0), 100 + 10 * (F.col("blend_score") - F.col("top")))
     return out.select("query_id", "slug", "rank", "blend_score", F.round(display, 2).alias("display_score"), "attribute_score", "family", "family_size")

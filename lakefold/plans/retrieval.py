@@ -110,32 +110,42 @@ ev0 AS (SELECT query_id, 'text' AS source, slug, (k * 7919 % 1000) / 10.0::DOUBL
   UNION ALL SELECT query_id, 'photo', slug, (k * 104729 % 1000) / 1000.0::DOUBLE FROM base WHERE p_size > 12
   UNION ALL SELECT query_id, 'class', slug, (k * 1299709 % 1000) / 1000.0::DOUBLE FROM base),
 ev AS (SELECT *, row_number() OVER (PARTITION BY query_id, source ORDER BY score DESC, slug) AS rank FROM ev0)"""
-SQL_FUSE = f"""WITH {SQL_EVIDENCE},
+def _sql_fuse(limit: int) -> str:
+    """Candidates: the first five of each source, whole families in order of their key while they fit into limit, then a cut at limit."""
+    return f"""WITH RECURSIVE {SQL_EVIDENCE},
 src AS (SELECT query_id, source, max(score) AS best, max(score) FILTER (rank = 5) AS floor_score FROM ev GROUP BY ALL),
 fam AS (SELECT CAST(p_partkey AS VARCHAR) AS slug, p_brand || '/' || p_size AS family, count(*) OVER (PARTITION BY p_brand, p_size) AS family_size FROM part),
-sel AS (SELECT DISTINCT query_id, family FROM ev JOIN fam USING (slug) WHERE rank <= 5),
-cand AS (SELECT query_id, slug, family, family_size FROM sel JOIN fam USING (family)),
+sel AS (SELECT DISTINCT query_id, slug, family, family_size FROM ev JOIN fam USING (slug) WHERE rank <= 5),
+own AS (SELECT query_id, family, any_value(family_size) - count(*) AS extra, row_number() OVER (PARTITION BY query_id ORDER BY family) AS i FROM sel GROUP BY query_id, family),
+fold AS (SELECT query_id, 0::BIGINT AS i, count(*)::BIGINT AS total, NULL::VARCHAR AS taken FROM sel GROUP BY query_id
+  UNION ALL SELECT f.query_id, o.i, CASE WHEN total + extra <= {limit} THEN total + extra ELSE total END, CASE WHEN total + extra <= {limit} THEN family END FROM fold f JOIN own o ON o.query_id = f.query_id AND o.i = f.i + 1),
+pool AS (SELECT query_id, slug FROM sel UNION SELECT query_id, slug FROM fold JOIN fam ON family = taken),
+firsts AS (SELECT query_id, slug, min(rank) AS first FROM ev GROUP BY ALL),
+cand AS (SELECT query_id, slug, family, family_size FROM pool JOIN fam USING (slug) LEFT JOIN firsts USING (query_id, slug)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY coalesce(first, 1000000000), slug) <= {limit}),
 scored AS (SELECT c.*, s.source, e.score, e.rank AS given,
   CASE WHEN e.score IS NOT NULL THEN (e.score - best) / tau WHEN s.source = 'text' THEN (floor_score - best) / tau - 1 ELSE 0 END AS gap, weight
   FROM cand c JOIN src s USING (query_id) JOIN (VALUES ('photo', 0.05::DOUBLE, 1.0::DOUBLE), ('class', 0.05, 0.3), ('text', 10.0, 0.7)) w(source, tau, weight) USING (source)
   LEFT JOIN ev e ON e.query_id = c.query_id AND e.source = s.source AND e.slug = c.slug)"""
 
 
-@BOOK.add(f"""{SQL_FUSE}, b AS (SELECT query_id, slug, family, family_size, sum(weight * gap) AS base, sum(CASE source WHEN 'photo' THEN 0.2 * gap WHEN 'text' THEN 0.1 * gap ELSE 0 END) AS member,
+@BOOK.add(f"""{_sql_fuse(18)}, b AS (SELECT query_id, slug, family, family_size, sum(weight * gap) AS base, sum(CASE source WHEN 'photo' THEN 0.2 * gap WHEN 'text' THEN 0.1 * gap ELSE 0 END) AS member,
   bool_or(source = 'photo' AND score IS NOT NULL) AS photo FROM scored GROUP BY ALL),
 f AS (SELECT *, max(base) OVER (PARTITION BY query_id, family) + member AS blend FROM b)
 SELECT query_id, slug, row_number() OVER (PARTITION BY query_id ORDER BY round(blend, 6) DESC, NOT photo, slug) AS rank, round(blend, 4) AS blend_score, family_size FROM f""")
 def fusion_gap(t: Tables) -> DataFrame:
-    out = fusion.fuse(evidence(t), families(t), fusion.FusionConfig(top_k=5, max_candidates=100_000))
+    """Some families fit into the 18 candidates, others do not."""
+    out = fusion.fuse(evidence(t), families(t), fusion.FusionConfig(top_k=5, max_candidates=18))
     return out.select("query_id", "slug", "rank", F.round("blend_score", 4).alias("blend_score"), "family_size")
 
 
-@BOOK.add(f"""{SQL_FUSE}, b AS (SELECT query_id, slug, family, family_size, sum(CASE WHEN given <= 5 THEN weight * 60 / (60 + given) ELSE 0 END) AS base,
+@BOOK.add(f"""{_sql_fuse(12)}, b AS (SELECT query_id, slug, family, family_size, sum(CASE WHEN given <= 5 THEN weight * 60 / (60 + given) ELSE 0 END) AS base,
   bool_or(source = 'photo' AND score IS NOT NULL) AS photo FROM scored GROUP BY ALL),
 f AS (SELECT *, max(base) OVER (PARTITION BY query_id, family) AS blend FROM b)
 SELECT query_id, slug, row_number() OVER (PARTITION BY query_id ORDER BY round(blend, 9) DESC, NOT photo, slug) AS rank, round(blend, 6) AS blend_score, family_size FROM f""")
 def fusion_rrf(t: Tables) -> DataFrame:
-    out = fusion.fuse(evidence(t), families(t), fusion.FusionConfig(mode="rrf", top_k=5, max_candidates=100_000))
+    """The three sources' first five are more than the 12 candidates, so the pool is cut."""
+    out = fusion.fuse(evidence(t), families(t), fusion.FusionConfig(mode="rrf", top_k=5, max_candidates=12))
     return out.select("query_id", "slug", "rank", F.round("blend_score", 6).alias("blend_score"), "family_size")
 
 
