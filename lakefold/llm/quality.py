@@ -1,15 +1,16 @@
 """Quality rules: plain text statistics, and a hashed n-gram logistic regression with calibrated probabilities.
 
-The model is linear in the shares of hashed word n-grams (1, 2) and character n-grams (1, 3, 4, over UTF-8 bytes) of a
-text, so a text is scored by gathering weights: no feature vector is made. It is trained on at most SAMPLE labelled
-rows of each class (those with the smallest hash of doc_id), calibrated on the fifth of them that training leaves out,
-and moved to the class shares of all labels. A second model finds toxic texts by words that labelled toxic ones have more
-often: a few such words decide, however long the text, so the presence of words (and of their beginnings) counts, not their
-share. Batches are scored in Arrow against fixed thresholds.
-
-Nulls and ties: a null text has no words and fails the base rules; labels without a quality or a document are left out;
-a document with several labels has the lowest quality, and is toxic if one says so. Without quality labels of both
-classes every text that passes the base rules is kept; without toxic ones of both classes, or words that tell them apart, none is read as toxic. Repeated rows each get a row.
+The model is linear in the shares of hashed word n-grams (1, 2) and character n-grams (1, 3, 4) of a text, so a text is
+scored by gathering weights: no feature vector is made, and a score depends on its text alone, to the last bit. It is
+trained on at most SAMPLE labelled rows of each class (those with the smallest hash of doc_id) as sparse rows, calibrated
+on the fifth of them that training leaves out, and moved to the class shares of all labels. A second model finds toxic
+texts by words that labelled toxic ones have more often: a few such words decide, however long the text, so the presence
+of words (and of their beginnings) counts, not their share. Batches are scored in Arrow against fixed thresholds.
+
+Nulls and ties: a null text has no words and fails the base rules; labels without a quality or a document are left out; a
+document with several labels has the lowest quality, and is toxic if one says so; of documents with the same id the one
+with the smallest text is learnt. Without quality labels of both classes every text that passes the base rules is kept;
+without toxic ones of both classes, or words that tell them apart, none is read as toxic. Repeated rows each get a row.
 Extra columns are ignored.
 """
 
@@ -28,11 +29,12 @@ from pyspark.sql import functions as F
 from lakefold.llm import textkit
 
 SAMPLE = 1000
-BUCKET_BITS = 11
+BUCKET_BITS = 12
 BUCKETS = 1 << BUCKET_BITS
 WORD_ORDERS = (1, 2)
 CHAR_ORDERS = (1, 3, 4)
 GROUPS = len(WORD_ORDERS) + len(CHAR_ORDERS)
+UNIT = 1 << 20
 KEEP_AT = 0.5
 TOXIC_AT = 0.5
 #: Standard errors by which a word has to be more frequent in toxic texts.
@@ -49,34 +51,35 @@ PLAIN[[b for b in range(33, 127) if not chr(b).isalnum()]] = 0x20
 
 def _sums(values: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Sums of values[at[i]:at[i + 1]]."""
-    total = np.zeros(len(values) + 1, dtype=np.float64 if values.dtype.kind == "f" else np.int64)
-    np.cumsum(values, out=total[1:])
-    return total[at[1:]] - total[at[:-1]]
+    return textkit.segment_sums(values, at[:-1], at[1:])
 
 
-def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each group of features: bucket of each n-gram, and where those of each text begin."""
+def grams(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each group of features: bucket of each n-gram, and where those of each text begin and end. An n-gram never
+    reaches into the next text."""
     words = textkit.words_of(texts)
     hashes = words.hashes()
     for n in WORD_ORDERS:
         starts = textkit.window_starts(words, n)
         values = textkit.windows(hashes, n)[starts] if len(starts) else np.zeros(0, dtype=np.uint64)
-        yield (values & np.uint64(BUCKETS - 1)).astype(np.int32), np.searchsorted(starts, words.word_at)
-    data, at = words.data.astype(np.uint32), words.text_at
+        at = np.searchsorted(starts, words.word_at)
+        yield (values & np.uint64(BUCKETS - 1)).astype(np.int32), at[:-1], at[1:]
+    characters, at = textkit.characters(words.data, words.text_at)
     for n in CHAR_ORDERS:
-        size = max(0, len(data) - n + 1)
+        size = max(0, len(characters) - n + 1)
         values = np.zeros(size, dtype=np.uint32)
         for k in range(n):
             values *= np.uint32(0x01000193)
-            values += data[k : k + size]
+            values += characters[k : k + size]
+        values ^= values >> np.uint32(15)
         values *= np.uint32(0x9E3779B1)
-        buckets = (values >> np.uint32(32 - BUCKET_BITS)).astype(np.int32)
-        yield buckets, np.minimum(at, size)
+        yield (values >> np.uint32(32 - BUCKET_BITS)).astype(np.int32), at[:-1], np.maximum(at[:-1], at[1:] - n + 1)
 
 
 @dataclass
 class Model:
-    """weights: GROUPS x BUCKETS, of shares; probability = 1 / (1 + exp(-(slope * margin + offset)))."""
+    """weights: GROUPS x BUCKETS, of shares, in units of 1 / UNIT, so that sums over a text are exact in any order;
+    probability = 1 / (1 + exp(-(slope * margin + offset)))."""
 
     weights: np.ndarray
     bias: float
@@ -86,41 +89,75 @@ class Model:
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         margin = np.full(len(texts), self.bias)
-        for table, (buckets, at) in zip(self.weights, grams(texts), strict=True):
-            margin += _sums(table[buckets], at) / np.maximum(1, np.diff(at))
+        for table, (buckets, begins, ends) in zip(self.weights, grams(texts), strict=True):
+            margin += textkit.segment_sums(table[buckets], begins, ends) / (UNIT * np.maximum(1.0, ends - begins))
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.offset, -50, 50)))
 
 
-def features(texts: pa.Array) -> np.ndarray:
-    """Shares of each bucket, a row per text. For training only."""
-    out = np.zeros((len(texts), GROUPS * BUCKETS), dtype=np.float32)
-    for g, (buckets, at) in enumerate(grams(texts)):
-        for i in range(len(texts)):
-            part = buckets[at[i] : at[i + 1]]
-            if len(part):
-                out[i, g * BUCKETS : (g + 1) * BUCKETS] = np.bincount(part, minlength=BUCKETS) / len(part)
-    return out
-
-
-def _logistic(x: np.ndarray, y: np.ndarray, penalty: float, steps: int = 200) -> tuple[np.ndarray, float]:
-    """L2-penalised logistic regression by gradient steps with momentum; the step is set by the Lipschitz bound. All in
-    x's precision, so that no step copies x."""
-    y = y.astype(x.dtype)
-    weight, bias = np.zeros(x.shape[1], dtype=x.dtype), 0.0
-    speed, bias_speed = np.zeros_like(weight), 0.0
-    v = np.ones(x.shape[1], dtype=x.dtype)
+@dataclass
+class Rows:
+    """Shares of each bucket that a text has, a sparse row per text: rows ascend."""
+
+    row: np.ndarray
+    column: np.ndarray
+    value: np.ndarray
+    n: int
+
+    def times(self, weight: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=self.value * weight[self.column], minlength=self.n)
+
+    def back(self, gap: np.ndarray) -> np.ndarray:
+        return np.bincount(self.column, weights=self.value * gap[self.row], minlength=GROUPS * BUCKETS)
+
+    def scaled(self, scale: np.ndarray) -> Rows:
+        return Rows(self.row, self.column, self.value / scale[self.column], self.n)
+
+    def only(self, chosen: np.ndarray) -> Rows:
+        keep = chosen[self.row]
+        return Rows((np.cumsum(chosen) - 1)[self.row[keep]].astype(np.int32), self.column[keep], self.value[keep], int(chosen.sum()))
+
+
+def features(texts: pa.Array) -> Rows:
+    """For training: a text at a time, so only the texts' own buckets are held."""
+    rows, columns, values = [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.int32)], [np.zeros(0, dtype=np.float32)]
+    for i in range(len(texts)):
+        for g, (buckets, _, _) in enumerate(grams(texts.slice(i, 1))):
+            found, n = np.unique(buckets, return_counts=True)
+            rows.append(np.full(len(found), i, dtype=np.int32))
+            columns.append((found + g * BUCKETS).astype(np.int32))
+            values.append((n / max(1, len(buckets))).astype(np.float32))
+    return Rows(np.concatenate(rows), np.concatenate(columns), np.concatenate(values), len(texts))
+
+
+def _logistic(x: Rows | np.ndarray, y: np.ndarray, penalty: float, steps: int = 200) -> tuple[np.ndarray, float]:
+    """L2-penalised logistic regression by gradient steps with momentum; the step is set by the Lipschitz bound. x: rows,
+    or one column."""
+    sparse = isinstance(x, Rows)
+    times = x.times if sparse else lambda w: x * w[0]
+    back = x.back if sparse else lambda g: np.array([x @ g])
+    width = GROUPS * BUCKETS if sparse else 1
+    weight, bias = np.zeros(width), 0.0
+    speed, bias_speed = np.zeros(width), 0.0
+    v = np.ones(width)
     for _ in range(8):
-        v = (x @ v) @ x
-        v /= np.linalg.norm(v) + x.dtype.type(1e-12)
-    top = float(np.linalg.norm(x @ v) ** 2) / len(x) / 4 + penalty + 0.25
+        v = back(times(v))
+        v /= np.linalg.norm(v) + 1e-12
+    top = float(np.linalg.norm(times(v)) ** 2) / len(y) / 4 + penalty + 0.25
     for _ in range(steps):
-        gap = 1 / (1 + np.exp(-np.clip(x @ weight + x.dtype.type(bias), -50, 50))) - y
-        speed = (0.9 * speed - (gap @ x / len(y) + penalty * weight) / top).astype(x.dtype)
+        gap = 1 / (1 + np.exp(-np.clip(times(weight) + bias, -50, 50))) - y
+        speed = 0.9 * speed - (back(gap) / len(y) + penalty * weight) / top
         bias_speed = 0.9 * bias_speed - float(gap.mean()) / top
         weight, bias = weight + speed, bias + bias_speed
     return weight, bias
 
 
+def _calibrated(margin: np.ndarray, y: np.ndarray, share: float) -> tuple[float, float]:
+    """Slope and offset of the probability, for a class that has this share of all labels."""
+    spread = float(np.abs(margin).mean()) or 1.0
+    (slope,), offset = _logistic(margin / spread, y, 1e-3, 2000)
+    return slope / spread, offset + np.log(share / (1 - share)) - np.log(y.mean() / (1 - y.mean()))
+
+
 def fit(texts: pa.Array, good: np.ndarray, share_good: float) -> Model | None:
     """share_good: of all labels, for the prior."""
     if len(good) < 10 or good.min() == good.max():
@@ -128,19 +165,13 @@ def fit(texts: pa.Array, good: np.ndarray, share_good: float) -> Model | None:
     held = np.arange(len(good)) % 5 == 4
     if good[held].min() == good[held].max() or good[~held].min() == good[~held].max():
         held[:] = False
-    x = features(texts.filter(pa.array(~held)))
-    scale = np.sqrt(np.einsum("ij,ij->j", x, x) / len(x)) + np.float32(1e-4)
-    x /= scale
-    weight, bias = _logistic(x, good[~held], 1e-2)
-    if held.any():
-        x, y = features(texts.filter(pa.array(held))) / scale, good[held]
-    else:
-        y = good
-    margin = x.astype(np.float64) @ weight + bias
-    spread = float(np.abs(margin).mean()) or 1.0
-    (slope,), offset = _logistic((margin / spread)[:, None], y, 1e-3, 2000)
-    prior = np.log(share_good / (1 - share_good)) - np.log(y.mean() / (1 - y.mean()))
-    return Model((weight / scale).reshape(GROUPS, BUCKETS).astype(np.float32), bias, slope / spread, offset + prior)
+    x = features(texts)
+    learns = x.only(~held)
+    scale = np.sqrt(np.bincount(learns.column, weights=learns.value.astype(np.float64) ** 2, minlength=GROUPS * BUCKETS) / learns.n) + 1e-4
+    weight, bias = _logistic(learns.scaled(scale), good[~held], 1e-2)
+    whole = np.rint(weight / scale * UNIT).astype(np.int64)
+    margin, y = (x.times(whole / UNIT) + bias)[held if held.any() else ~held], good[held if held.any() else ~held]
+    return Model(whole.reshape(GROUPS, BUCKETS), bias, *_calibrated(margin, y, share_good))
 
 
 @dataclass
@@ -200,10 +231,7 @@ def fit_toxic(texts: pa.Array, toxic: np.ndarray, share_toxic: float) -> Toxic |
     if model is None:
         return None
     margin = model.margins(texts.filter(pa.array(held)) if held.any() else texts)
-    spread = float(np.abs(margin).mean()) or 1.0
-    (slope,), offset = _logistic((margin / spread)[:, None], y, 1e-3, 2000)
-    prior = np.log(share_toxic / (1 - share_toxic)) - np.log(y.mean() / (1 - y.mean()))
-    return Toxic(model.words, model.weights, slope / spread, offset + prior)
+    return Toxic(model.words, model.weights, *_calibrated(margin, y, share_toxic))
 
 
 QUALITY, TOXIC = 0, 1
@@ -231,6 +259,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return None
     chosen = F.broadcast(reduce(DataFrame.unionByName, parts))
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(chosen, "doc_id")
+    rows = rows.groupBy("kind", "order", "doc_id", "yes").agg(F.min("text").alias("text"))  # a row for each label, however often its id stands in docs
 
     def one(table: pa.Table) -> pa.Table:
         table = table.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
@@ -246,7 +275,7 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         return None
     r, t = found[QUALITY], found.get(TOXIC)
     words = Toxic(np.frombuffer(t.words, dtype=np.uint64), np.frombuffer(t.weights), t.slope, t.offset) if t else None
-    return Model(np.frombuffer(r.weights, dtype=np.float32).reshape(GROUPS, BUCKETS), r.bias, r.slope, r.offset, words)
+    return Model(np.frombuffer(r.weights, dtype=np.int64).reshape(GROUPS, BUCKETS), r.bias, r.slope, r.offset, words)
 
 
 def repeated_words(words: textkit.Words, n: int = REPEAT_WINDOW) -> np.ndarray:

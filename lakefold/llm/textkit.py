@@ -172,10 +172,34 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str, size: int = PIECE_BYT
             start = stop
 
 
+def characters(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A number for each character (its UTF-8 bytes), and the offsets of the texts among them."""
+    begins = (data & 0xC0) != 0x80
+    first = np.flatnonzero(begins)
+    sizes = np.diff(np.append(first, len(data)))
+    out = data[first].astype(np.uint32)
+    for k in (1, 2, 3):
+        longer = np.flatnonzero(sizes > k)
+        if len(longer):
+            out[longer] = (out[longer] << np.uint32(8)) | data[first[longer] + k]
+    return out, np.searchsorted(first, at)
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 
 
+def segment_sums(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Sums of values[begins[i]:ends[i]]; each depends on its own values alone, to the last bit. Segments ascend and do
+    not overlap; an end before its begin is an empty segment."""
+    out = np.zeros(len(begins), dtype=values.dtype if values.dtype.kind == "f" else np.int64)
+    full = np.flatnonzero(ends > begins)
+    if len(full):
+        edges = np.stack((begins[full], ends[full]), axis=1).ravel()
+        out[full] = np.add.reduceat(np.append(values, values.dtype.type(0)), edges, dtype=out.dtype)[::2]
+    return out
+
+
 def runs(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """The concatenation of starts[i] + 0 .. lengths[i] - 1."""
     total = int(lengths.sum())

@@ -86,6 +86,29 @@ def test_quality_held_out_accuracy(spark):
     assert quality.train(docs.limit(0), labels.limit(0)) is None
 
 
+def test_quality_depends_on_the_text_alone(spark):
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    model = quality.train(docs, labels)
+    columns = ["doc_id", "n_words", "n_repeat_words", "p_good", "p_toxic", "kept"]
+    whole, dealt = (sorted(map(tuple, quality.score(d.select("doc_id", "text"), model).select(columns).collect())) for d in (docs.coalesce(1), docs.repartition(17, F.rand(3))))
+    assert whole == dealt
+    import pyarrow as pa
+
+    alone = [quality.features(pa.array([t])) for t in ("one two", "zwei drei")]
+    both = quality.features(pa.array(["one two", "zwei drei"]))
+    assert both.column.tolist() == [*alone[0].column.tolist(), *alone[1].column.tolist()]
+    assert model.probabilities(pa.array(["ab cé", "x"]))[0] == model.probabilities(pa.array(["ab cé"]))[0]
+
+
+def test_quality_learns_each_label_once(spark):
+    docs, labels = (spark.read.parquet(f"{SF_DIR}/{t}.parquet") for t in ("documents", "labels"))
+    some = labels.orderBy("doc_id").limit(1).select("doc_id")
+    copies = docs.join(some, "doc_id").select("doc_id", F.lit("zzzz ").alias("text")).crossJoin(spark.range(300).select())
+    more = labels.unionByName(spark.createDataFrame([(10**9, 1, 0)], labels.schema))
+    a, b = (quality.train(d, x) for d, x in ((docs, labels), (docs.select("doc_id", "text").unionByName(copies), more)))
+    assert np.array_equal(a.weights, b.weights) and a.bias == b.bias and a.offset != b.offset
+
+
 def test_toxic_documents_are_rejected(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(docs, labels.where("doc_id % 3 <> 0"))
