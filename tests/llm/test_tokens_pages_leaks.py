@@ -154,6 +154,77 @@ def test_every_article_is_kept():
     assert html_text.main_text(page) == f"{long}\n\n{short}"
 
 
+@pytest.mark.parametrize("page, text", [
+    ("<div class='page has-sidebar'><article><p>The story.</p></article></div>", "The story."),
+    ("<article><p>One</p><div class='search-tips'>tips</div><div class=related>more</div></article>", "One\n\ntips\n\nmore"),
+    ("<p data-x=it's>first words here</p><p>second para it's</p>", "first words here\n\nsecond para it's"),
+    ("<div class=sidebar><article>only story</article></div>", "only story"), ("<div class=banner><p>all words here</p></div>", "all words here"),
+    ("<div class=sidebar><article>card</article></div><article>story</article>", "story"), ("<article>a<div id='ads'>buy</div>b</article>", "a\n\nb"),
+    ("<p>x <a href='u'>y</a> z</p>", "x y z"), ("<article>a</article><article>a</article>", "a\n\na"), ("<p>cut <a href='", "cut"),
+])
+def test_names_and_quotes_lose_no_article(page, text):
+    assert html_text.main_text(page) == text
+
+
+def recursive_regions(values, begin=0, end=None):
+    """By definition: the best contiguous region (the first of the shortest best ones), then those to its left and right."""
+    end = len(values) if end is None else end
+    best = max(((sum(values[i:j]), i - j, -i, j) for i in range(begin, end) for j in range(i + 1, end + 1)), default=(0,))
+    if best[0] <= 0:
+        return []
+    i, j = -best[2], best[3]
+    return [*recursive_regions(values, begin, i), (best[0], i, j), *recursive_regions(values, j, end)]
+
+
+def test_maximal_regions():
+    rng = random.Random(7)
+    for _ in range(400):
+        values = [rng.choice([-5, -3, -1, 1, 2, 4, 0]) + k / 1024 for k in rng.sample(range(64), rng.randint(0, 14))]
+        got = html_text.maximal_regions(values)
+        assert [r[1:] for r in got] == [r[1:] for r in recursive_regions(values)]
+        assert max((r[0] for r in got), default=0) == max((sum(values[i:j]) for i in range(len(values)) for j in range(i, len(values) + 1)), default=0)
+
+
+def test_all_pages_against_a_plain_parser(spark):
+    from html.parser import HTMLParser
+
+    class Articles(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            self.blocks += [[]] if tag in html_text.BLOCK else []
+            self.blocks[-1] += [" "] if tag == "br" and self.inside else []
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            self.blocks += [[]] if tag in html_text.BLOCK else []
+
+        def handle_data(self, data):
+            self.blocks[-1] += [data] if self.inside else []
+
+    want = []
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        parser = Articles()
+        parser.feed(r.html or "")
+        parser.close()
+        text = "\n\n".join(t for t in (" ".join("".join(b).split()) for b in parser.blocks) if t)
+        want.append((r.page_id, r.url, text, len(text)))
+    got = html_text.op8_html_text(spark, "/root/testdata/sf0.01")
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("page", ["<div>" * 60_000 + "w", "<p>" * 60_000 + "w", "<a x='" * 50_001 + "w", '<a x="' * 50_000, "<" * 60_000, "<!--" * 60_000, "<script>" * 60_000, "<a" + "=" * 100_000, "<nav><article>w" * 20_000])
+def test_time_is_linear(page):
+    import time
+
+    began = time.process_time()
+    html_text.main_text(page)
+    assert time.process_time() - began < 5
+
+
 def test_pages(spark):
     df = spark.createDataFrame([(1, "<article>é🙂</article>", "clash"), (2, None, None)], "page_id bigint, html string, text string")
     assert sorted(tuple(r) for r in html_text.extract(df).collect()) == [(1, "é🙂", 2), (2, "", 0)]
