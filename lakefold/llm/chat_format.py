@@ -6,7 +6,7 @@ reversibly, so parse() gives the turns back.
 
 Nulls and ties: null text is empty and a null role is an empty role; a null conv_id is a conversation of its own; rows
 with equal turn are ordered by role, then text; repeated rows stay. Null turns come first. Extra columns are ignored.
-The work for a conversation is linear in its turns.
+The work for a conversation is linear in its text, but for running sums within GROUP turns and over its groups.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 START, TURN, END = "<|im_start|>", "<|turn|>", "<|im_end|>"
 MARK = "␛"
+GROUP = 64
 #: What is escaped, and the code after MARK. MARK itself comes first; it is undone last.
 ESCAPES = ((MARK, "0"), ("<|", "1"), ("|>", "2"), ("<s>", "3"), ("</s>", "4"), ("[INST]", "5"), ("[/INST]", "6"), ("<<SYS>>", "7"), ("<</SYS>>", "8"))
 
@@ -92,8 +93,35 @@ def parse(formatted: Column) -> Column:
     return F.flatten(F.transform(blocks, turns))
 
 
+def _starts(lengths: Column) -> Column:
+    """Running sums of an array before each of its elements."""
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    step = lambda have, n: F.struct((have["at"] + n).alias("at"), F.concat(have["starts"], F.array(have["at"])).alias("starts"))
+    return F.aggregate(lengths, none, step, lambda have: have["starts"])
+
+
+def with_loss_text(formatted: DataFrame, name: str = "loss_text") -> DataFrame:
+    """format_chat()'s rows with the text under their loss mask, each run cut out of formatted by its place and unescaped.
+
+    Runs go in groups of GROUP: the text is cut into groups first, then each group into its runs, so that running sums and
+    cuts stay short however many turns there are.
+    """
+    last = F.greatest(F.ceil(F.size("loss_runs") / GROUP).cast("int") - 1, F.lit(0))
+    cut = formatted.withColumn("_runs", F.transform(F.sequence(F.lit(0), last), lambda k: F.slice("loss_runs", k * GROUP + 1, GROUP)))
+    cut = cut.withColumn("_sizes", F.transform("_runs", lambda g: F.aggregate(g, F.lit(0), lambda n, r: n + r["chars"])))
+    cut = cut.withColumn("_groups", F.arrays_zip("_runs", "_sizes", _starts(F.col("_sizes")).alias("_at")))
+    cut = cut.withColumn("_groups", F.transform("_groups", lambda g: F.struct(g["_runs"].alias("runs"), F.substring(F.col("formatted"), g["_at"] + 1, g["_sizes"]).alias("part"))))
+
+    def under(g: Column) -> Column:
+        placed = F.arrays_zip(g["runs"].alias("run"), _starts(F.transform(g["runs"], lambda r: r["chars"])).alias("at"))
+        wanted = F.filter(placed, lambda x: x["run"]["loss"])
+        return F.array_join(F.transform(wanted, lambda x: unescape(F.substring(g["part"], x["at"] + 1, x["run"]["chars"]))), "")
+
+    return cut.withColumn(name, F.array_join(F.transform("_groups", under), "")).drop("_runs", "_sizes", "_groups")
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All conversations and conversation -7, formatted; digests are of what parse() reads from the output."""
+    """All conversations and conversation -7, formatted; digests are of what parse() and the loss mask read from the output."""
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
     extra = spark.range(2).select(
@@ -102,9 +130,8 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
         F.lit(said).alias("text"),
     )
-    read = format_chat(rows.unionByName(extra)).withColumn("turns", parse(F.col("formatted")))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
-    return read.withColumn("loss", loss).select(
+    read = with_loss_text(format_chat(rows.unionByName(extra)).withColumn("turns", parse(F.col("formatted"))), "loss")
+    return read.select(
         "conv_id",
         F.size("turns").cast("bigint").alias("n_turns"),
         F.sha2(F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), ""), 256).alias("turns_sha256"),

@@ -46,6 +46,16 @@ def test_chat_round_trip(spark):
     assert chat_format.format_chat(df.limit(0)).collect() == []
 
 
+def test_loss_text_is_read_through_the_mask(spark):
+    turns = [(c, t, "assistant" if t % 3 else "user", f"é<|{t}|>␛" * (t % 4)) for c, n in ((1, 400), (2, 1), (3, 64), (4, 65), (5, 2)) for t in range(n)] + [(6, 0, "user", "x" * 300_000), (6, 1, "assistant", "y" * 300_000)]
+    df = spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string")
+    made = chat_format.format_chat(df)
+    want = {c: "".join(x for k, t, r, x in turns if k == c and r == "assistant") for c, *_ in turns}
+    assert {r.conv_id: r.loss_text for r in chat_format.with_loss_text(made).collect()} == want
+    wrong = made.withColumn("loss_runs", F.transform("loss_runs", lambda r: F.struct(r["chars"].alias("chars"), (~r["loss"]).alias("loss"))))
+    assert all(r.loss_text != want[r.conv_id] for r in chat_format.with_loss_text(wrong).collect())
+
+
 def test_chat_is_native(spark):
     plan = registry.QUERIES["op3_chat_format"](spark, SF_DIR)._jdf.queryExecution().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
