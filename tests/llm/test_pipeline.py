@@ -3,8 +3,11 @@
 import re
 
 import corpus_pipeline
+import numpy as np
+import public_tokenizers
 from lakefold.llm import near_dedup, quality
 from tests.llm.test_near_dedup import brute
+from tokenizers import Tokenizer
 
 SF_DIR = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,10 +42,12 @@ def test_stages(spark):
             left[i] = [x for j, x in enumerate(w) if j not in gone]
     assert {i: WORD.findall(t) for i, t in zip(cut.doc_id, cut.text, strict=True)} == left
     assert (cut.n_chars == cut.text.str.len()).all() and set(clean.doc_id) <= set(cut.doc_id)
-    assert packed.groupby("doc_id").n_tokens.sum().to_dict() == {i: len(WORD.findall(t)) + 1 for i, t in zip(clean.doc_id, clean.text, strict=True)}
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    got = {i: b"".join(part.sort_values("segment").ids) for i, part in packed.groupby("doc_id")}
+    assert got == {i: np.array([*library.encode(t, add_special_tokens=False).ids, 2], dtype="<u2").tobytes() for i, t in zip(clean.doc_id, clean.text, strict=True)}
 
 
 def test_run_writes_each_stage(spark):
     out = corpus_pipeline.run(spark, SF_DIR)
-    assert out.columns == ["doc_id", "segment", "n_tokens", "bucket_length", "batch", "slot"] and out.count() > 0
+    assert out.columns == ["doc_id", "segment", "n_tokens", "ids", "bucket_length", "batch", "slot"] and out.count() > 0
     assert near_dedup.SIMILARITY == 0.8 and near_dedup.RUN == 5

@@ -174,14 +174,38 @@ def test_bucket_lengths_are_optimal():
 def test_packing(spark):
     data = [(i, (i * 37) % 500) for i in range(400)] + [(1000, 50_000), (1001, None), (1002, 0), (7, 259), (None, 3)]
     df = spark.createDataFrame([(i, n, "x") for i, n in data], "doc_id bigint, n int, batch string")
-    got = packing.pack(df, "doc_id", F.col("n"), max_length=256, budget=1024, buckets=5).toPandas()
+    got = packing.pack(packing.segments(df, "doc_id", F.col("n"), 256), budget=1024, buckets=5).toPandas()
     assert sorted(got.groupby(got.doc_id.fillna(-1)).n_tokens.sum().items()) == sorted(Counter({-1: 3} | {}).items() | {(i, sum(n or 0 for j, n in data if j == i)) for i, _ in data if i is not None})
     assert (got.n_tokens <= got.bucket_length).all() and got.bucket_length.nunique() <= 5
     assert not got.duplicated(["bucket_length", "batch", "slot"]).any()
     for length, part in got.groupby("bucket_length"):
         capacity = max(1, 1024 // length)
         assert part.groupby("batch").size().max() <= capacity and part.batch.nunique() == -(-len(part) // capacity)
-    assert packing.pack(df.limit(0), "doc_id", F.col("n")).collect() == []
+    assert packing.pack(packing.segments(df.limit(0), "doc_id", F.col("n"))).collect() == []
+
+
+def test_packed_sequences_are_the_documents(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = [(1, "one two"), (1, "one two"), (2, None), (3, ""), (None, "no id"), (4, "é x " * 300), (5, "a b c")]
+    df = spark.createDataFrame([(i, t, b"x", "clash") for i, t in texts], "doc_id bigint, text string, ids binary, slot string")
+    got = packing.pack_texts(df, max_length=64).toPandas()
+    want = Counter((i, tuple([*library.encode(t or "", add_special_tokens=False).ids, 2])) for i, t in texts)
+    read, held = Counter(), {}
+    for r in got.itertuples():
+        ids = np.frombuffer(r.ids, dtype="<u2").tolist()
+        assert len(ids) == r.n_tokens <= r.bucket_length
+        held.setdefault((None if r.doc_id != r.doc_id else r.doc_id, r.segment), []).append(ids)
+    for (i, k), parts in held.items():
+        if k == 0:
+            for ids in parts:
+                read[i, tuple(ids + [x for n in range(1, 99) for p in held.get((i, n), []) for x in p])] += 1
+    assert read == want
+    cost = lambda lengths: sum(min(b for b in lengths if b >= n) - n for n in got.n_tokens)
+    assert cost(got.bucket_length.unique()) == 0  # as many lengths as buckets
+    assert packing.pack_texts(df.limit(0)).collect() == []
 
 
 def test_digest_of_kept_words(spark):
