@@ -41,7 +41,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, "doc_id", packing.token_count(F.col("text")))
+    """The token ids of what is left, in batches."""
+    return packing.pack_texts(docs)
 
 
 STAGES = [
