@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -23,14 +26,20 @@ def local_session(cpus: int = 8, partitions: int | None = None, app: str = "lake
     )
 
 
+_MADE: list[str] = []  # scratch paths of this process, oldest first
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, set here only where it is unset, which a cluster
+    does not allow: its executors would write to their own disks."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     context = spark.sparkContext
     if not folder:
         current = context.getCheckpointDir()
         if current:
             return current
+        if not re.match(r"local(\[|$)", context.master):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
         folder = tempfile.mkdtemp(prefix="lakefold-checkpoint-")
     if not context.getCheckpointDir():
         context.setCheckpointDir(folder)
@@ -39,7 +48,26 @@ def shared_dir(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes at its end the scratch paths made inside it, but for those that the given list then has."""
+    before, kept = len(_MADE), []
+    try:
+        yield kept
+    finally:
+        for path in _MADE[before:]:
+            if path not in kept:
+                delete(spark, path)
+        _MADE[before:] = kept
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
