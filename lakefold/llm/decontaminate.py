@@ -55,6 +55,16 @@ class Items:
     of: np.ndarray
     place: np.ndarray
 
+    def __post_init__(self) -> None:
+        self.word_counts = np.array([len(w) for w in self.words], dtype=np.int64)
+        self._known: dict[int, np.ndarray] = {}
+
+    def known(self, i: int) -> np.ndarray:
+        """An item's distinct words, ascending."""
+        if i not in self._known:
+            self._known[i] = np.unique(self.words[i])
+        return self._known[i]
+
     @classmethod
     def of_texts(cls, ids: list[int | None], texts: list[str | None]) -> Items:
         words, hashes = word_hashes(pa.array(texts, pa.string()))
@@ -175,37 +185,36 @@ def candidates(items: Items, finder: Finder, words: textkit.Words, hashes: np.nd
     return text[new], of[new], diagonal[new]
 
 
+def _best(items: Items, finder: Finder, least: float, texts: pa.Array) -> list[tuple[int, int, float, int, int]]:
+    """Text, item, score and place (words of the text) of the best alignment of each text and item that reaches least."""
+    words, hashes = word_hashes(texts)
+    text, of, diagonal = candidates(items, finder, words, hashes)
+    size = items.word_counts
+    cut = np.ones(len(text), dtype=bool)
+    cut[1:] = (text[1:] != text[:-1]) | (of[1:] != of[:-1]) | (np.diff(diagonal) > size[of[1:]])
+    begins = np.flatnonzero(cut)
+    ends = np.concatenate((begins[1:], [len(text)]))[: len(begins)] - 1
+    best: dict[tuple[int, int], tuple[int, int, int]] = {}
+    for t, i, low, high in zip(text[begins].tolist(), of[begins].tolist(), diagonal[begins].tolist(), diagonal[ends].tolist(), strict=True):
+        begin, end = int(words.word_at[t]), int(words.word_at[t + 1])
+        item = items.words[i]
+        slack = gaps(len(item), least)
+        a, b = max(begin, low - slack), min(end, high + len(item) + slack)
+        if not may_pass(items.known(i), len(item), hashes[a:b], least):
+            continue
+        s, x, y = align(item, hashes[a:b])
+        if s > best.get((t, i), (0, 0, 0))[0]:
+            best[t, i] = (s, a + x - begin, a + y - begin)
+    shares = ((t, i, s / (MATCH * len(items.words[i])), x, y) for (t, i), (s, x, y) in best.items())
+    return [r for r in shares if r[2] >= least]
+
+
 def _search(items: Items, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         finder = Finder(items)
-        size = np.array([len(w) for w in items.words], dtype=np.int64)
-        known: dict[int, np.ndarray] = {}
         for piece in textkit.pieces(batches, "text"):
             ids = textkit.column(piece, "doc_id").cast(pa.int64()).to_pylist()
-            words, hashes = word_hashes(textkit.column(piece, "text"))
-            text, of, diagonal = candidates(items, finder, words, hashes)
-            cut = np.ones(len(text), dtype=bool)
-            cut[1:] = (text[1:] != text[:-1]) | (of[1:] != of[:-1]) | (np.diff(diagonal) > size[of[1:]])
-            begins = np.flatnonzero(cut)
-            ends = np.concatenate((begins[1:], [len(text)]))[: len(begins)] - 1
-            best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for t, i, low, high in zip(text[begins].tolist(), of[begins].tolist(), diagonal[begins].tolist(), diagonal[ends].tolist(), strict=True):
-                begin, end = int(words.word_at[t]), int(words.word_at[t + 1])
-                item = items.words[i]
-                slack = gaps(len(item), least)
-                a, b = max(begin, low - slack), min(end, high + len(item) + slack)
-                if i not in known:
-                    known[i] = np.unique(item)
-                if not may_pass(known[i], len(item), hashes[a:b], least):
-                    continue
-                s, x, y = align(item, hashes[a:b])
-                if s > best.get((t, i), (0, 0, 0))[0]:
-                    best[t, i] = (s, a + x - begin, a + y - begin)
-            rows = []
-            for (t, i), (s, x, y) in best.items():
-                share = s / (MATCH * len(items.words[i]))
-                if share >= least:
-                    rows.append((ids[t], items.ids[i], share, x, y))
+            rows = [(ids[t], items.ids[i], share, x, y) for t, i, share, x, y in _best(items, finder, least, textkit.column(piece, "text"))]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             types = (pa.int64(), pa.int64(), pa.float64(), pa.int32(), pa.int32())
             yield pa.record_batch([pa.array(list(c), type=k) for c, k in zip(columns, types, strict=True)], names=["doc_id", "item_id", "score", "word_start", "word_end"])
@@ -213,6 +222,25 @@ def _search(items: Items, least: float):
     return run
 
 
+def _without(items: Items, least: float, text: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        finder = Finder(items)
+        for piece in textkit.pieces(batches, text):
+            clean = np.ones(piece.num_rows, dtype=bool)
+            clean[[r[0] for r in _best(items, finder, least, textkit.column(piece, text))]] = False
+            yield piece.filter(pa.array(clean))
+
+    return run
+
+
+def clean(docs: DataFrame, items: DataFrame, least: float = LEAST, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs in which no item is found, with all their columns. Each row is judged by its own text, whatever
+    its id; no row is moved."""
+    for block in _passes(items, item_id, item_text):
+        docs = docs.mapInArrow(_without(block, least, text), docs.schema)
+    return docs
+
+
 def find_leaks(docs: DataFrame, items: DataFrame, least: float = LEAST, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item with a score of least or more: doc_id, item_id, score, and the words [word_start,
     word_end) of the document that the best alignment covers."""

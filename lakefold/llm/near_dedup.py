@@ -98,7 +98,7 @@ def band_hashes(signature: np.ndarray) -> np.ndarray:
     return textkit.mix(h + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x2545F4914F6CDD1D))
 
 
-SIGNED_DDL = "doc_id bigint, k1 bigint, k2 bigint, n_words bigint, bands binary"
+SIGNED_DDL = "doc_id bigint, text_key bigint, k1 bigint, k2 bigint, n_words bigint, bands binary"
 
 
 def sign(docs: DataFrame) -> DataFrame:
@@ -116,11 +116,11 @@ def sign(docs: DataFrame) -> DataFrame:
             hashes = band_hashes(signatures(piece.num_rows, *bag(words)))
             bands = [b.tobytes() if n else None for b, n in zip(hashes, words.counts, strict=True)]
             yield pa.record_batch(
-                [textkit.column(piece, "doc_id").cast(pa.int64()), *map(pa.array, keys), pa.array(words.counts, pa.int64()), pa.array(bands, pa.binary())],
-                names=["doc_id", "k1", "k2", "n_words", "bands"],
+                [textkit.column(piece, "doc_id").cast(pa.int64()), textkit.column(piece, "text_key"), *map(pa.array, keys), pa.array(words.counts, pa.int64()), pa.array(bands, pa.binary())],
+                names=["doc_id", "text_key", "k1", "k2", "n_words", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, SIGNED_DDL)
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("text_key")).mapInArrow(run, SIGNED_DDL)
 
 
 def _deal(buckets: int):
@@ -216,13 +216,14 @@ def _verify(least: float):
 
 
 def near_classes(docs: DataFrame, least: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per document: doc_id, class_id, n_words."""
+    """A row per document: doc_id, class_id, n_words, text_key (which tells texts of the same doc_id apart) and first: whether
+    the row stands for its class, that is for its words, and its id names the class."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     buckets = max(4, shuffle_partitions(spark))
     signed = written(sign(docs), "signed")
     known = signed.where("doc_id IS NOT NULL")
-    groups = written(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "n_words", "bands")).alias("r")).select("k1", "k2", "r.*"), "representatives")
+    groups = written(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key", "n_words", "bands")).alias("r")).select("k1", "k2", "r.*"), "representatives")
     met = groups.where("bands IS NOT NULL").select("doc_id", "bands").mapInArrow(_deal(buckets), BLOBS_DDL).groupBy("bucket").applyInArrow(_meet(buckets), BLOBS_DDL)
     met = met.groupBy("bucket").applyInArrow(_contract, EDGES_DDL)
     clusters = components(met).join(groups.select(F.col("doc_id").alias("node"), "n_words"), "node")
@@ -234,10 +235,23 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, doc_id: str = "doc_
     pairs = pairs.select("doc_id", "text", "label", F.least("block", "other").alias("b1"), F.greatest("block", "other").alias("b2"))
     links = pairs.groupBy("label", "b1", "b2").applyInArrow(_verify(least), EDGES_DDL)
     classes = components(links).toDF("rep", "class")
-    named = groups.select("k1", "k2", F.col("doc_id").alias("rep")).join(classes, "rep", "left").select("k1", "k2", F.coalesce("class", "rep").alias("class_id"))
+    named = groups.select("k1", "k2", F.col("doc_id").alias("rep"), F.col("text_key").alias("rep_key")).join(classes, "rep", "left")
+    named = named.select("k1", "k2", F.coalesce("class", "rep").alias("class_id"), "rep_key")
     out = signed.join(named.hint("merge"), ["k1", "k2"], "left")
-    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_words")
+    first = F.coalesce((F.col("doc_id") == F.col("class_id")) & (F.col("text_key") == F.col("rep_key")), F.lit(False))
+    return out.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id"), "n_words", "text_key", first.alias("first"))
+
+
+def representatives(docs: DataFrame, least: float = SIMILARITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The document of each class that has the smallest id, with all its columns: of rows that agree in id and words, one
+    (that with the smallest text_key, else any); where other texts have this id too, they stay unless they are copies of a
+    smaller id's. Rows with a null id all stay."""
+    first = near_classes(docs, least, doc_id, text).where("first").select("doc_id", "text_key")
+    id_name, key_name = "_near_dedup_id", "_near_dedup_key"
+    keyed = docs.withColumn(id_name, F.col(doc_id).cast("bigint")).withColumn(key_name, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    kept = keyed.join(first.toDF(id_name, key_name).hint("merge"), [id_name, key_name], "left_semi").dropDuplicates([id_name, key_name])
+    return kept.unionByName(keyed.where(F.col(doc_id).isNull())).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return near_classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("text_key", "first")

@@ -320,6 +320,25 @@ def statistics(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
+def verdicts(texts: pa.Array, model: Model | None, keep_at: float) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Statistics, base_failed, p_good, p_toxic and kept of each text."""
+    stats = statistics(texts)
+    failed = (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > MAX_REPEATED_PERCENT * stats["n_words"])
+    good = model.probabilities(texts) if model else np.ones(len(texts))
+    toxic = model.toxic.probabilities(texts) if model and model.toxic else np.zeros(len(texts))
+    return stats, failed, good, toxic, ~failed & (good >= keep_at) & (toxic < TOXIC_AT)
+
+
+def keep(docs: DataFrame, model: Model | None, text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
+    """The rows of docs that are kept, with all their columns, whatever their names."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in textkit.pieces(batches, text):
+            yield piece.filter(pa.array(verdicts(textkit.column(piece, text), model, keep_at)[-1]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model | None, text: str = "text", keep_at: float = KEEP_AT) -> DataFrame:
     """docs with the statistics, base_failed, p_good and kept added; columns of those names are replaced."""
     added = [*STATS, "base_failed", "p_good", "p_toxic", "kept"]
@@ -328,12 +347,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", keep_at: flo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in textkit.pieces(batches, text):
-            texts = textkit.column(piece, text)
-            stats = statistics(texts)
-            failed = (stats["n_words"] < MIN_WORDS) | (100 * stats["n_repeat_words"] > MAX_REPEATED_PERCENT * stats["n_words"])
-            good = model.probabilities(texts) if model else np.ones(len(texts))
-            toxic = model.toxic.probabilities(texts) if model and model.toxic else np.zeros(len(texts))
-            kept = ~failed & (good >= keep_at) & (toxic < TOXIC_AT)
+            stats, failed, good, toxic, kept = verdicts(textkit.column(piece, text), model, keep_at)
             columns = [*piece.columns, *(pa.array(stats[s]) for s in STATS), pa.array(failed), pa.array(good), pa.array(toxic), pa.array(kept)]
             yield pa.RecordBatch.from_arrays(columns, names=[*piece.schema.names, *added])
 

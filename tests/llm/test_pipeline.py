@@ -51,3 +51,37 @@ def test_run_writes_each_stage(spark):
     out = corpus_pipeline.run(spark, SF_DIR)
     assert out.columns == ["doc_id", "segment", "n_tokens", "ids", "bucket_length", "batch", "slot"] and out.count() > 0
     assert near_dedup.SIMILARITY == 0.8 and near_dedup.RUN == 5
+
+
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, kept int, n_words int, _part string, removed string, k1 int"
+FILL = [f"w{k}" for k in range(4000)]
+
+
+def rows_of(texts):
+    return [(i, t, "en", f"s{n}", len(t or ""), n, n, "p", "r", n) for n, (i, t) in enumerate(texts)]
+
+
+def test_stages_judge_rows_by_their_texts(spark, monkeypatch):
+    """Null and repeated ids, null and empty texts, ties, columns that clash with the stages' own."""
+    text = lambda a, n: " ".join(FILL[a : a + n])
+    leak = spark.read.parquet(f"{SF_DIR}/benchmark.parquet").orderBy("item_id").first().text
+    texts = [(1, text(0, 60)), (1, text(100, 60)), (1, text(0, 60)), (2, text(0, 60)), (3, text(100, 59)), (4, text(200, 30) + " " + text(0, 30)), (None, text(0, 60)), (None, None)]
+    texts += [(5, None), (5, ""), (6, leak), (6, text(300, 40)), (None, leak), (7, "")]
+    df = spark.createDataFrame(rows_of(texts), SCHEMA).repartition(3)
+    names = lambda d: sorted(r.k1 for r in d.collect())  # noqa: E731  k1 is the row's number
+    monkeypatch.setattr(quality, "train", lambda docs, labels: None)
+    assert names(corpus_pipeline.quality_rules(spark, df, SF_DIR)) == [n for n, (_, t) in enumerate(texts) if t and len(t.split()) >= 10]
+    got = corpus_pipeline.near_duplicates(spark, df, SF_DIR)
+    assert got.columns == df.columns
+    kept = names(got)
+    assert [n for n in kept if n > 3] == [5, 6, 7, *([8] if 8 in kept else [9]), 10, 11, 12]  # the empty texts are one class, whose smallest id is 5
+    assert [n for n in kept if n < 5 and n not in (0, 2)] == [1] and len(kept) == 9
+    cut = {r.k1: r for r in corpus_pipeline.substring_duplicates(spark, df, SF_DIR).collect()}
+    assert set(cut) == set(range(14)) - {3, 4}
+    assert cut[5].text.split() == FILL[200:230] and cut[5].n_chars == len(cut[5].text) and cut[6].text == texts[6][1] and cut[2].text == texts[2][1]
+    assert cut[5][5:] == rows_of(texts)[5][5:]
+    assert names(corpus_pipeline.decontamination(spark, df, SF_DIR)) == [n for n in range(14) if n not in (10, 12)]
+    packed = corpus_pipeline.packed(spark, df, SF_DIR)
+    assert packed.count() == 14 and packed.where("doc_id IS NULL").count() == 3
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, df.limit(0), SF_DIR).collect() == []
