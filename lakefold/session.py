@@ -70,12 +70,16 @@ def scratch(spark: SparkSession) -> Iterator[list[str]]:
         _MADE[before:] = kept
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table written to the shared folder and read back: its lineage is cut, and lost executors cost nothing."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, str]:
+    """df as a table written to the shared folder and read back (its lineage is cut, and lost executors cost nothing), and
+    the table's path."""
+    path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    return stored(df, name)[0]
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
