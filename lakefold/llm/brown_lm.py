@@ -1,20 +1,26 @@
 """Brown class-based bigram language model.
 
 P(text) is the product over its tokens (lower-cased words, then one end) of P(class | class before) P(word | class).
-Exchange clustering gives the classes: the TOP most frequent training words move one by one, and all other words, seen or
-not, in TAILS groups by their last bytes, so every word has a class that a bounded table tells. Word counts, class
-transitions and the numbers of words of each class come from all training texts.
-
-Transitions are counts interpolated with class frequencies; a word's share of its class is its training count plus ADD,
-over the class's tokens plus ADD for each of its words and one more for all unseen words together.
-
-A word is its 64-bit hash, whose low bits are its tail group. Counts of the words with at least some count (so many that
-at most LOCAL words have it) go to every task; the others are rare, so no single one is a hot key, and meet the texts that
-have them bucket by bucket, as arrays.
+Classes come in three steps, all from counts over all training texts:
+1. exchange clustering: the TOP most frequent words and TAILS groups of all others (by their last bytes) move one by one
+   to the class that makes the likelihood greatest, until none moves;
+2. every other word of the local table with LEAST_COUNT or more goes to the class that makes the likelihood of its own
+   neighbours greatest, given step 1;
+3. the rest, seen or not, have the class of their tail group.
+So the number of words with a class of their own grows with the vocabulary, up to the local table's bound.
+
+Transitions are counts between the final classes interpolated with class frequencies; a word's share of its class is its
+training count plus ADD, over the class's tokens plus ADD for each of its words and one more for all unseen words together.
+
+A word is its 64-bit hash, whose low bits are its tail group: N, V and all counts are exact but for two words with the
+same 55 other bits and the same group. Counts of the words with at least some count (so many that at most LOCAL words have
+it) go to every task; the others are rare, so no single one is a hot key, and meet the texts that have them bucket by
+bucket, as arrays. Neighbour counts are rows of (code, count) that Spark sums before and after the exchange; there are at
+most ITEMS ** 2 or LOCAL x 2 (CLASSES + 1) codes, whatever the corpus.
 
 Nulls and ties: a null text is empty, and its only token is the end; a row with a null id is in the training part.
-Repeated rows each get a row and each count. Equal frequencies are ordered by hash. Without training rows N and V are 0
-and every token is unseen. Extra columns are ignored.
+Repeated rows each get a row and each count. Equal frequencies are ordered by hash, equal classes by number. Without
+training rows N and V are 0 and every token is unseen. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +37,11 @@ from pyspark.sql import functions as F
 from lakefold.llm import textkit
 from lakefold.session import shuffle_partitions, written
 
-TOP, TAILS, CLASSES, ROUNDS = 1024, 512, 48, 6
-LOCAL = 1 << 17
+TOP, TAILS, CLASSES = 1024, 512, 48
+#: A bound for safety: every move raises the likelihood, so exchange ends by itself.
+ROUNDS = 200
+LOCAL, LEAST_COUNT = 1 << 18, 2
+CODES_FLUSH = 4_000_000
 ADD, TRANSITION = 0.4, 20.0
 FLUSH = 3_000_000
 TAIL_MASK = np.uint64(TAILS - 1)
@@ -126,15 +135,24 @@ class Vocabulary:
     texts: int
     keys: np.ndarray  # ascending, with at least the count that makes them local
     counts: np.ndarray
-    top_keys: np.ndarray  # ascending
+    top: np.ndarray  # of each key: its item, or -1
     tail_tokens: np.ndarray  # of words that are not top, by tail group
     tail_words: np.ndarray
 
+    def find(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place of each key, and whether it is there."""
+        if not len(self.keys):
+            return np.zeros(len(keys), dtype=np.int64), np.zeros(len(keys), dtype=bool)
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        return at, self.keys[at] == keys
+
     def items(self, keys: np.ndarray) -> np.ndarray:
+        """TOP words have items of their own, all others those of their tail groups."""
         out = TOP + (keys & TAIL_MASK).astype(np.int64)
-        if len(self.top_keys):
-            at = np.minimum(np.searchsorted(self.top_keys, keys), len(self.top_keys) - 1)
-            out = np.where(self.top_keys[at] == keys, at, out)
+        at, found = self.find(keys)
+        if len(self.keys):
+            own = self.top[at]
+            out = np.where(found & (own >= 0), own, out)
         return out
 
 
@@ -174,11 +192,13 @@ def vocabulary(counts: DataFrame, texts: int, local: int = LOCAL, top: int = TOP
     order = np.argsort(keys)
     keys, n = keys[order], n[order]
     first = np.sort(np.lexsort((keys, -n))[:top])
+    item = np.full(len(keys), -1, dtype=np.int64)
+    item[first] = np.arange(len(first))
     tail = (keys[first] & TAIL_MASK).astype(np.int64)
     tail_tokens -= np.bincount(tail, weights=n[first], minlength=TAILS)
     tail_words -= np.bincount(tail, minlength=TAILS)
     total = sum(v * k for v, k in seen.items())
-    return Vocabulary(total + texts, sum(seen.values()) + (texts > 0), texts, keys, n, keys[first], tail_tokens, tail_words)
+    return Vocabulary(total + texts, sum(seen.values()) + (texts > 0), texts, keys, n, item, tail_tokens, tail_words)
 
 
 def stream(words: textkit.Words, items: np.ndarray, use: np.ndarray) -> np.ndarray:
@@ -190,31 +210,47 @@ def stream(words: textkit.Words, items: np.ndarray, use: np.ndarray) -> np.ndarr
     return out
 
 
-def item_bigrams(docs: DataFrame, known: Vocabulary, blocks: int = 16) -> np.ndarray:
-    """ITEMS x ITEMS counts of neighbouring items over the training texts. Tasks send dense blocks, which are summed."""
-    size = -(-ITEMS * ITEMS // blocks)
+def _code_counts(docs: DataFrame, codes_of) -> DataFrame:
+    """code, n: how often each of the codes that codes_of(words, keys) gives occurs in docs (text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size * blocks, dtype=np.int64)
+        held: list[np.ndarray] = []
+        size = 0
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            codes, n = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            for at in range(0, len(codes), 1 << 18):
+                yield pa.record_batch([pa.array(codes[at : at + (1 << 18)], pa.int64()), pa.array(n[at : at + (1 << 18)], pa.int64())], names=["code", "n"])
+
         for piece in textkit.pieces(batches, "text"):
-            words, keys = tokens(textkit.column(piece, "text"))
-            seq = stream(words, known.items(keys), np.ones(piece.num_rows, dtype=bool))
-            codes, n = np.unique(seq[:-1] * ITEMS + seq[1:], return_counts=True)
-            total[codes] += n
-        if total.any():
-            yield _batch([(b, total[b * size : (b + 1) * size].tobytes()) for b in range(blocks)], ["block", "counts"], [pa.int32(), pa.binary()])
+            held.append(codes_of(*tokens(textkit.column(piece, "text"))))
+            size += len(held[-1])
+            if size >= CODES_FLUSH:
+                yield from flush()
+                size = 0
+        if held:
+            yield from flush()
+
+    return docs.select("text").mapInArrow(run, "code bigint, n bigint").groupBy("code").agg(F.sum("n").alias("n"))
+
+
+def _square(counts: DataFrame, size: int) -> np.ndarray:
+    """The summed counts as a size x size matrix; the code is row * size + column."""
+    found = counts.toArrow()
+    out = np.zeros(size * size)
+    out[found["code"].to_numpy()] = found["n"].to_numpy()
+    return out.reshape(size, size)
+
+
+def item_bigrams(docs: DataFrame, known: Vocabulary) -> np.ndarray:
+    """ITEMS x ITEMS counts of neighbouring items over the training texts."""
 
-    def add(key: tuple, table: pa.Table) -> pa.Table:
-        total = np.zeros(size, dtype=np.int64)
-        for b in table["counts"]:
-            total += np.frombuffer(b.as_buffer(), dtype=np.int64)
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "counts": pa.array([total.tobytes()], pa.binary())})
+    def codes(words: textkit.Words, keys: np.ndarray) -> np.ndarray:
+        seq = stream(words, known.items(keys), np.ones(len(words.counts), dtype=bool))
+        return seq[:-1] * ITEMS + seq[1:]
 
-    out = np.zeros(size * blocks, dtype=np.int64)
-    ddl = "block int, counts binary"
-    for r in docs.select("text").mapInArrow(run, ddl).groupBy("block").applyInArrow(add, ddl).toLocalIterator():
-        out[r.block * size : (r.block + 1) * size] = np.frombuffer(r.counts, dtype=np.int64)
-    return out[: ITEMS * ITEMS].reshape(ITEMS, ITEMS)
+    return _square(_code_counts(docs, codes), ITEMS)
 
 
 def _xlogx(x: np.ndarray) -> np.ndarray:
@@ -223,7 +259,7 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS) -> np.ndarray:
     """The class of each item. END is alone in the last class. In turn, most frequent first, each item moves to the class
-    that makes the training likelihood greatest; ends when a round moves none, or after rounds."""
+    that makes the training likelihood greatest, until a round moves none."""
     n = len(bigrams)
     m = bigrams.astype(np.float64)
     frequency = m.sum(axis=1) + m.sum(axis=0)
@@ -271,51 +307,111 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, rounds: int = ROUNDS)
     return of
 
 
+def _smoothed(table: np.ndarray) -> np.ndarray:
+    """log10 transitions: counts interpolated with the frequencies of the class that follows."""
+    into = table.sum(axis=0)
+    share = (into + 1) / (into.sum() + len(table))
+    return np.log10((table + TRANSITION * share) / (table.sum(axis=1, keepdims=True) + TRANSITION))
+
+
+def word_classes(docs: DataFrame, known: Vocabulary, of: np.ndarray, table: np.ndarray, buckets: int) -> np.ndarray:
+    """The class of each local word, given those of the items (of) and the counts between them (table): for words that are
+    no items and have LEAST_COUNT, the class under which the classes before and after the word, and the word, are most
+    likely; for others that of their item."""
+    k = CLASSES + 1
+    move = _smoothed(table)
+    emit = -np.log10(table.sum(axis=0) + ADD)  # a word's share of a class, but for its own count
+    own = known.top < 0
+    own &= known.counts >= LEAST_COUNT
+
+    def codes(words: textkit.Words, keys: np.ndarray) -> np.ndarray:
+        used = np.ones(len(words.counts), dtype=bool)
+        seq = of[stream(words, known.items(keys), used)]
+        at, found = known.find(keys)
+        chosen = np.flatnonzero(found & own[at]) if len(known.keys) else np.zeros(0, dtype=np.int64)
+        place = chosen + words.text_of_word()[chosen] + 1  # in seq
+        return np.concatenate((at[chosen] * (2 * k) + seq[place - 1], at[chosen] * (2 * k) + k + seq[place + 1]))
+
+    def choose(_key: tuple, rows: pa.Table) -> pa.Table:
+        code, n = rows["code"].to_numpy(), rows["n"].to_numpy()
+        word, which = np.unique(code // (2 * k), return_inverse=True)
+        context = np.zeros((len(word), 2 * k))
+        context[which, code % (2 * k)] = n
+        before, after = context[:, :k], context[:, k:]
+        likely = before @ move + after @ move.T + before.sum(axis=1, keepdims=True) * emit
+        likely[:, CLASSES] = -np.inf
+        return pa.table({"word": pa.array(word, pa.int64()), "class": pa.array(likely.argmax(axis=1), pa.int32())})
+
+    counts = _code_counts(docs, codes).withColumn("bucket", F.pmod(F.floor(F.col("code") / (2 * k)), F.lit(buckets)))
+    found = counts.groupBy("bucket").applyInArrow(choose, "word bigint, class int").toArrow()
+    out = of[known.items(known.keys)]
+    out[found["word"].to_numpy()] = found["class"].to_numpy()
+    return out
+
+
 @dataclass
 class Model:
     known: Vocabulary
-    classes: np.ndarray  # of items
+    items: np.ndarray  # class of each item
+    words: np.ndarray  # class of each local word
     transition: np.ndarray  # log10, from a class to a class
     share: np.ndarray  # log10 of what a class's word counts are divided by
 
+    def classes(self, keys: np.ndarray, at: np.ndarray, found: np.ndarray) -> np.ndarray:
+        out = self.items[TOP + (keys & TAIL_MASK).astype(np.int64)]
+        return np.where(found, self.words[at], out) if len(self.words) else out
+
     def scores(self, words: textkit.Words, keys: np.ndarray) -> tuple[np.ndarray, ...]:
         """Per text, without its rare words' counts: known tokens, base, score; and which words are rare."""
         known = self.known
         texts = len(words.word_at) - 1
-        item = known.items(keys)
-        seq = self.classes[stream(words, item, np.ones(texts, dtype=bool))]
+        at, found = known.find(keys)
+        seq = class_stream(words, self.classes(keys, at, found))
         step = self.transition[seq[:-1], seq[1:]] - self.share[seq[1:]]
-        at = np.minimum(np.searchsorted(known.keys, keys), max(0, len(known.keys) - 1))
-        found = known.keys[at] == keys if len(known.keys) else np.zeros(len(keys), dtype=bool)
         count = known.counts[at] if len(known.keys) else np.zeros(len(keys), dtype=np.int64)
         base, emit = np.where(found, np.log10(count + 1.0), 0.0), np.where(found, np.log10(count + ADD), 0.0)
-        sums = []
-        for values in (found.astype(np.float64), base, emit):
-            total = np.concatenate(([0.0], np.cumsum(values)))
-            sums.append(total[words.word_at[1:]] - total[words.word_at[:-1]])
+        begins, ends = words.word_at[:-1], words.word_at[1:]
+        sums = [textkit.segment_sums(v, begins, ends) for v in (found.astype(np.float64), base, emit)]
         n = words.counts + 1
-        ends = np.cumsum(n)
-        total = np.concatenate(([0.0], np.cumsum(step)))
+        last = np.cumsum(n)
         n_known = sums[0] + (known.texts > 0)
         base = sums[1] + np.log10(known.texts + 1.0) - n * np.log10(known.tokens + known.distinct + 1.0)
-        return n_known, base, sums[2] + total[ends] - total[ends - n], ~found
+        return n_known, base, sums[2] + textkit.segment_sums(step, last - n, last), ~found
 
 
-def fit(bigrams: np.ndarray, known: Vocabulary) -> Model:
-    of = exchange(bigrams)
+def class_stream(words: textkit.Words, classes: np.ndarray) -> np.ndarray:
+    """The end's class, then for each text its words' classes and the end's."""
+    out = np.full(len(classes) + len(words.counts) + 1, CLASSES, dtype=np.int64)
+    out[1 + np.arange(len(classes)) + words.text_of_word()] = classes
+    return out
+
+
+def fit(docs: DataFrame, known: Vocabulary, buckets: int) -> Model:
+    """docs: text, of training rows."""
     k = CLASSES + 1
+    bigrams = item_bigrams(docs, known)
+    of = exchange(bigrams)
     member = np.zeros((ITEMS, k))
     member[np.arange(ITEMS), of] = 1
-    table = member.T @ bigrams @ member
-    into = table.sum(axis=0)
-    class_share = (into + 1) / (into.sum() + k)
-    transition = (table + TRANSITION * class_share) / (table.sum(axis=1, keepdims=True) + TRANSITION)
-    item_words = np.concatenate((np.ones(len(known.top_keys)), np.zeros(TOP - len(known.top_keys)), known.tail_words, [0.0]))
-    at = np.searchsorted(known.keys, known.top_keys)
-    item_tokens = np.concatenate((known.counts[at], np.zeros(TOP - len(known.top_keys)), known.tail_tokens, [0.0]))
-    share = np.log10(np.bincount(of, weights=item_tokens, minlength=k) + ADD * (np.bincount(of, weights=item_words, minlength=k) + 1))
-    share[CLASSES] = 0.0  # the end is its class's only token
-    return Model(known, of, np.log10(transition), share)
+    words = word_classes(docs, known, of, member.T @ bigrams @ member, buckets)
+    model = Model(known, of, words, np.zeros((k, k)), np.zeros(k))
+
+    def codes(texts: textkit.Words, keys: np.ndarray) -> np.ndarray:
+        seq = class_stream(texts, model.classes(keys, *known.find(keys)))
+        return seq[:-1] * k + seq[1:]
+
+    model.transition = _smoothed(_square(_code_counts(docs, codes), k))
+    # tail groups hold what is not local
+    tail = (known.keys & TAIL_MASK).astype(np.int64)
+    rest = known.top < 0
+    tokens = known.tail_tokens - np.bincount(tail[rest], weights=known.counts[rest], minlength=TAILS)
+    many = known.tail_words - np.bincount(tail[rest], minlength=TAILS)
+    groups = of[TOP : TOP + TAILS]
+    total = np.bincount(words, weights=known.counts, minlength=k) + np.bincount(groups, weights=tokens, minlength=k)
+    distinct = np.bincount(words, minlength=k) + np.bincount(groups, weights=many, minlength=k)
+    model.share = np.log10(total + ADD * (distinct + 1))
+    model.share[CLASSES] = 0.0  # the end is its class's only token
+    return model
 
 
 PARTS_DDL = "bucket int, kind int, rows binary, counts binary, keys binary"
@@ -420,7 +516,7 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     training = docs.where("NOT held_out").select("text")
     counts = written(word_counts(training, buckets), "word-counts")
     known = vocabulary(counts, training.count())
-    model = fit(item_bigrams(training, known), known)
+    model = fit(training, known, buckets)
     flags = F.col("held_out").cast("bigint") + F.when(F.col("doc_id").isNull(), 2).otherwise(0)
     placed = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("bigint").alias("doc_id"), flags.alias("flags"), "text")
     parts = placed.mapInArrow(_parts(model, buckets), PARTS_DDL)

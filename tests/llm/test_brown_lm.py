@@ -5,11 +5,14 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from lakefold.llm import brown_lm as B
 
 WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
 def held():
     return F.crc32(F.col("doc_id").cast("string")) % 7 == 2
 
@@ -46,14 +49,60 @@ def test_probabilities_sum_to_one(spark):
     docs = rows(spark, [(i, f"a b c{i % 5} d{i % 3} e", 1) for i in range(50)])
     counts = B.word_counts(docs, 4).persist()
     known = B.vocabulary(counts, docs.count())
-    model = B.fit(B.item_bigrams(docs, known), known)
+    model = B.fit(docs, known, 3)
     assert np.allclose((10**model.transition).sum(axis=1), 1)
-    of = model.classes[known.items(known.keys)]
+    of = model.words
     for c in range(B.CLASSES):
         mass = (known.counts[of == c] + B.ADD).sum() + B.ADD
         assert np.isclose(mass, 10 ** model.share[c])
 
 
+@pytest.mark.parametrize("local", [1 << 18, 4])
+def test_scores_from_the_classes(spark, monkeypatch, local):
+    """All but the classes themselves, again in plain Python; with most words rare too."""
+    whole, kept = B.vocabulary, []
+    monkeypatch.setattr(B, "vocabulary", lambda counts, n: whole(counts, n, local=local, top=min(6, local)))
+    real = B.fit
+    monkeypatch.setattr(B, "fit", lambda *a: kept.append(real(*a)) or kept[-1])
+    texts = [(i, " ".join(f"w{(i * k) % 11}" + "ab"[k % 2] for k in range(1, 4 + i % 9)), 1) for i in range(80)] + [(80, None, 1), (81, "new words only", 1)]
+    got = {r.doc_id: r.score for r in B.score_texts(rows(spark, texts).repartition(3), held()).collect()}
+    model = kept[0]
+    training = [i for i, _, _ in texts if zlib.crc32(str(i).encode()) % 7 != 2]
+
+    def read(text):
+        words, keys = B.tokens(pa.array([text or ""]))
+        return keys.tolist(), model.classes(keys, *model.known.find(keys)).tolist()
+
+    c, of, steps, k = Counter(), {}, Counter(), B.CLASSES
+    for i in training:
+        keys, classes = read(texts[i][1])
+        c.update(keys)
+        of.update(zip(keys, classes, strict=True))
+        steps.update(zip([k, *classes], [*classes, k], strict=True))
+    into, out = Counter(), Counter()
+    for (a, b), n in steps.items():
+        into[b] += n
+        out[a] += n
+    share = {b: (into[b] + 1) / (sum(into.values()) + k + 1) for b in range(k + 1)}
+    mass = {b: sum(n for w, n in c.items() if of[w] == b) + B.ADD * (sum(of[w] == b for w in c) + 1) for b in range(k)}
+    for i, text, _ in texts:
+        keys, classes = read(text)
+        want = sum(math.log10((steps[a, b] + B.TRANSITION * share[b]) / (out[a] + B.TRANSITION)) for a, b in zip([k, *classes], [*classes, k], strict=True))
+        want += sum(math.log10((c[w] + B.ADD) / mass[b]) for w, b in zip(keys, classes, strict=True))
+        assert math.isclose(got[i], want, rel_tol=1e-9)
+
+
+def test_words_beyond_the_exchanged_ones_have_classes(spark):
+    """Words in the contexts of one planted class share a class, though their last bytes differ."""
+    texts = [(i, f"left noun{i % 9}{'xyz'[i % 3]} right verb{i % 7}{'pq'[i % 2]}", 1) for i in range(600)]
+    docs = rows(spark, texts)
+    known = B.vocabulary(B.word_counts(docs, 3), 600, top=4)
+    model = B.fit(docs, known, 3)
+    classes = lambda names: set(model.words[known.find(B.tokens(pa.array([" ".join(names)]))[1])[0]].tolist())
+    nouns, verbs = classes({t.split()[1] for _, t, _ in texts}), classes({t.split()[3] for _, t, _ in texts})
+    assert len(nouns) < 9 and len(verbs) < 9 and not nouns & verbs
+
+
 def objective(m, of):
     k = of.max() + 1
     member = np.eye(k)[of]
