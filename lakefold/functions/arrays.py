@@ -30,9 +30,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def sign_bits(vector: Column, bits: int = 63) -> Column:
-    """A hash of the signs of a vector's first components."""
+    """A hash of the signs of a vector's first components, up to 64."""
     chosen = F.slice(vector, 1, bits)
-    return F.aggregate(chosen, F.lit(0).cast("bigint"), lambda h, x: h * 2 + F.when(x > 0, 1).otherwise(0))
+    return F.aggregate(chosen, F.lit(0).cast("bigint"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:

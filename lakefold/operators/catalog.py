@@ -90,14 +90,15 @@ def shared_keys(df: DataFrame, key: str, owner: str) -> DataFrame:
     return df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(owner).alias("n_owners")).where("n_owners > 1")
 
 
-def aliases(lines: DataFrame, fold: T.Fold = T.exact_fold) -> DataFrame:
+def aliases(lines: DataFrame, fold: T.Fold = T.exact_fold, positions: bool = False) -> DataFrame:
     """variant, canonical: of lines (line_no, value) "name, variant, variant..."; blank lines, # comments and single fields
-    are skipped, and a later line wins a variant."""
+    are skipped, and a later line wins a variant. positions: where the variant stands first, for alias_in_text()."""
     parts = F.filter(F.transform(F.split("value", ","), F.trim), lambda p: p != "")
     good = lines.where(~F.trim("value").startswith("#")).withColumn("parts", parts).where(F.size("parts") >= 2)
     each = good.select("line_no", F.get("parts", F.lit(0)).alias("c"), F.posexplode("parts").alias("pos", "v"))
     keyed = each.select("line_no", "pos", T.canonical(F.col("v"), fold).alias("variant"), T.canonical(F.col("c"), fold).alias("canonical"))
-    return keyed.groupBy("variant").agg(F.max_by("canonical", F.struct("line_no", "pos")).alias("canonical"))
+    out = keyed.groupBy("variant").agg(F.max_by("canonical", F.struct("line_no", "pos")).alias("canonical"), F.min(F.struct("line_no", "pos")).alias("position"))
+    return out if positions else out.drop("position")
 
 
 def resolve_aliases(df: DataFrame, key: str, alias_table: DataFrame) -> DataFrame:

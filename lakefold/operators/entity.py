@@ -32,20 +32,56 @@ def cluster_records(df: DataFrame, row_id: str, name: str, exact: str, least: fl
     return df.select(row_id, name, exact).groupBy(exact).applyInPandas(assign, f"{row_id} {kind}, cluster {kind}")
 
 
+def _similar_values(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
+    """a, b, similarity: of the distinct values of two one-column tables, those with a similarity_ratio of least or more.
+
+    The ratio is twice the characters that match over both lengths, so two such values share at least the characters that
+    least asks for, counted with multiplicity, and the longer is at most 2 / least - 1 times as long. With the characters
+    of each value in one order, the rarest first, both have one of their first few in common: an equi join on these finds
+    every pair, and counts of shared characters leave few for the ratio itself.
+    """
+
+    def signs(df: DataFrame) -> DataFrame:
+        value = df.toDF("value").where("value <> ''").distinct()
+        letters = F.array_sort(F.split(F.lower("value"), ""))
+        numbered = F.transform(letters, lambda c, i: F.struct(c.alias("c"), (i - F.array_position(letters, c) + 1).alias("k")))
+        return value.withColumn("signs", F.transform(numbered, lambda x: F.concat_ws("#", x["c"], x["k"].cast("string"))))
+
+    a, b = signs(left), signs(right)
+    often = b.select(F.explode("signs").alias("sign")).groupBy("sign").agg(F.count("*").alias("n"))
+
+    def first_signs(df: DataFrame, name: str) -> DataFrame:
+        each = df.select("value", F.explode("signs").alias("sign")).join(often, "sign", "left")
+        ordered = each.groupBy("value").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sign"))).alias("o"))
+        # shared signs >= least / 2 * (own + other) and other >= own * least / (2 - least)
+        shared = F.ceil(F.size("o") * (least / (2 - least)) - 1e-9)
+        return ordered.select(F.col("value").alias(name), F.explode(F.slice(F.transform("o", lambda x: x["sign"]), 1, F.size("o") - shared.cast("int") + 1)).alias("sign"))
+
+    met = first_signs(a, "a").join(first_signs(b, "b"), "sign").select("a", "b").distinct()
+    both = met.join(a.toDF("a", "sa"), "a").join(b.toDF("b", "sb"), "b")
+    enough = F.size(F.array_intersect("sa", "sb")) * 2 >= least * (F.size("sa") + F.size("sb")) - 1e-9
+    return both.where(enough).select("a", "b", T.similarity_ratio(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+
+
 def resolve(records: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
-    """record_id, item_id, score: the best item of those that share a name token with the record (0.6 producer + 0.4 name
-    similarity, halved where both years are known and differ), null below least; of equals the smaller id.
-    Both: id, producer, name, year."""
-    token = lambda d, i: d.select(F.col(i), F.explode(F.array_distinct(T.words(F.lower(F.concat_ws(" ", "producer", "name"))))).alias("token"))
-    met = token(records, "record_id").join(token(items, "item_id"), "token").select("record_id", "item_id").distinct()
+    """record_id, item_id, score: the best of all items (0.6 producer + 0.4 name similarity, halved where both years are
+    known and differ) where it reaches least, which is over 0.6; else null, with score 0. Of equals the smaller id wins.
+    Both: id, producer, name, year.
+
+    A score of least needs a producer's similarity of (least - 0.4) / 0.6 and a name's of (least - 0.6) / 0.4, and no
+    year against it, so items are met through the distinct producers that are so similar.
+    """
     side = lambda d, i, p: d.select(i, *(F.col(c).alias(f"{p}_{c}") for c in ("producer", "name", "year")))
-    both = met.join(side(records, "record_id", "r"), "record_id").join(side(items, "item_id", "i"), "item_id")
-    score = 0.6 * T.similarity_ratio(F.col("r_producer"), F.col("i_producer")) + 0.4 * T.similarity_ratio(F.col("r_name"), F.col("i_name"))
+    near = _similar_values(records.select("producer"), items.select("producer"), (least - 0.4) / 0.6).toDF("r_producer", "i_producer", "producers")
+    both = side(records, "record_id", "r").join(near, "r_producer").join(side(items, "item_id", "i"), "i_producer")
     conflict = F.col("r_year").isNotNull() & F.col("i_year").isNotNull() & (F.col("r_year") != F.col("i_year"))
-    scored = both.withColumn("score", score).withColumn("score", F.when(conflict, F.col("score") * 0.5).otherwise(F.col("score")))
+    # the names' ratio is at most twice the shorter over both lengths
+    short, total = F.least(F.length("r_name"), F.length("i_name")), F.length("r_name") + F.length("i_name")
+    possible = both.where(~conflict).where(F.col("producers") * 0.6 + F.coalesce(F.try_divide(0.8 * short, total), F.lit(0.0)) >= least - 1e-9)
+    names = possible.select("r_name", "i_name").distinct().withColumn("names", T.similarity_ratio(F.col("r_name"), F.col("i_name")))
+    scored = possible.join(names, ["r_name", "i_name"]).withColumn("score", 0.6 * F.col("producers") + 0.4 * F.col("names")).where(F.col("score") >= least)
     best = scored.groupBy("record_id").agg(F.min_by(F.struct("item_id", "score"), F.struct((-F.col("score")).alias("s"), F.col("item_id").alias("i"))).alias("b"))
-    out = records.select("record_id").join(best, "record_id", "left")
-    return out.select("record_id", F.when(F.col("b.score") >= least, F.col("b.item_id")).alias("item_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
+    return records.select("record_id").join(best, "record_id", "left").select("record_id", F.col("b.item_id").alias("item_id"), F.coalesce("b.score", F.lit(0.0)).alias("score"))
 
 
 def merge_fields(lookups: DataFrame) -> DataFrame:

@@ -73,6 +73,34 @@ def best_references(scores: DataFrame, query_id: str, owner: str, role: str, ass
     return scores.groupBy(query_id, owner, role).agg(F.max(cosine).alias("best"), best.alias("asset"), F.count("*").alias("n_references"))
 
 
+def best_per_owner(queries: DataFrame, gallery: DataFrame, query_id: str, item_id: str, owner: str, vector: str) -> DataFrame:
+    """query_id, owner, best, asset, n_references over all references: as best_references() of every query with every
+    item, but each task scores the query set against its share of the gallery and sends a row for each owner."""
+    asked = queries.where(F.col(vector).isNotNull()).select(query_id, vector)
+    if asked.limit(BLOCK_QUERIES + 1).count() > BLOCK_QUERIES:
+        raise ValueError(f"the query set has more than {BLOCK_QUERIES} vectors: give it in blocks")
+    table = asked.toArrow()
+    ids, matrix = table.column(0).combine_chunks(), np.asarray(table.column(1).combine_chunks().flatten(), dtype=np.float64).reshape(table.num_rows, -1)
+    kind = {c: d.schema[c].dataType.simpleString() for d, c in ((queries, query_id), (gallery, item_id), (gallery, owner))}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners = batch.column(1).to_pylist()
+            for value in dict.fromkeys(owners):
+                mine = np.array([i for i, o in enumerate(owners) if o == value])
+                mine = mine[np.argsort(np.asarray(batch.column(0).take(pa.array(mine)).to_pylist(), dtype=object), kind="stable")]
+                part = batch.take(pa.array(mine))
+                vectors = np.asarray(part.column(2).flatten(), dtype=np.float64).reshape(len(mine), -1)
+                scores = np.clip(matrix @ vectors.T, -1.0, 1.0)
+                top = scores.argmax(axis=1)
+                yield pa.record_batch([ids, part.column(1).take(pa.array(np.zeros(len(ids), dtype=np.int64))), pa.array(scores[np.arange(len(ids)), top]), part.column(0).take(pa.array(top)), pa.array(np.full(len(ids), len(mine)), pa.int64())], names=[query_id, owner, "cosine", item_id, "n"])
+
+    ddl = f"{query_id} {kind[query_id]}, {owner} {kind[owner]}, cosine double, {item_id} {kind[item_id]}, n bigint"
+    each = gallery.where(F.col(vector).isNotNull()).select(item_id, owner, vector).mapInArrow(run, ddl)
+    best = F.min_by(item_id, F.struct((-F.col("cosine")).alias("c"), F.col(item_id).alias("i")))
+    return each.groupBy(query_id, owner).agg(F.max("cosine").alias("best"), best.alias("asset"), F.sum("n").alias("n_references"))
+
+
 def over_views(scores: DataFrame, query_id: str, item_id: str, view: str, cosine: str) -> DataFrame:
     """The highest score over a query's views, and the view (the smaller name of equals)."""
     return scores.groupBy(query_id, item_id).agg(F.max(cosine).alias("best"), F.min_by(view, F.struct((-F.col(cosine)).alias("c"), F.col(view).alias("v"))).alias("best_view"))

@@ -29,12 +29,13 @@ def last_events(df: DataFrame, keys: list[str], time: str, tie: str) -> DataFram
     return df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(time, tie)).alias("r")).select(*keys, "r.*")
 
 
-def temporal_split(df: DataFrame, user: str, time: str, tie: str, n_train: int, n_test: int) -> DataFrame:
-    """df with role: each user's first n_train events are train, the next n_test are test; users with fewer are left out."""
+def temporal_split(df: DataFrame, user: str, time: str, tie: str, n_train: int, min_test: int) -> DataFrame:
+    """df with role: each user's first n_train events are train, all later ones test; users with fewer than min_test of
+    these are left out."""
     w = Window.partitionBy(user)
     ranked = df.withColumn("_n", F.count("*").over(w)).withColumn("_place", F.row_number().over(w.orderBy(time, tie)))
-    role = F.when(F.col("_place") <= n_train, "train").when(F.col("_place") <= n_train + n_test, "test")
-    return ranked.where(F.col("_n") >= n_train + n_test).withColumn("role", role).where("role IS NOT NULL").drop("_n", "_place")
+    role = F.when(F.col("_place") <= n_train, "train").otherwise("test")
+    return ranked.where(F.col("_n") >= n_train + min_test).withColumn("role", role).drop("_n", "_place")
 
 
 def after_cutoff(df: DataFrame, user: str, time: str, support: Column) -> DataFrame:

@@ -172,7 +172,7 @@ def last_events(t: Tables) -> DataFrame:
 
 
 @BOOK.add("""WITH r AS (SELECT event_id, user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM events)
-SELECT event_id, user_id, CASE WHEN i <= 5 THEN 'train' ELSE 'test' END AS role FROM r WHERE n >= 8 AND i <= 8""")
+SELECT event_id, user_id, CASE WHEN i <= 5 THEN 'train' ELSE 'test' END AS role FROM r WHERE n >= 8""")
 def temporal_split(t: Tables) -> DataFrame:
     return splits.temporal_split(t.events, "user_id", "ts", "event_id", 5, 3).select("event_id", "user_id", "role")
 
