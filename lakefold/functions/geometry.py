@@ -22,8 +22,9 @@ class Box(NamedTuple):
     def parsed(cls, text: Column) -> Box:
         """Of "x0,y0,x1,y1"; nulls where it is not four whole numbers."""
         parts = F.split(text, ",")
-        good = F.when(F.size(parts) == 4, parts)
-        return cls(*(F.try_to_number(F.trim(F.get(good, F.lit(i))), F.lit("S999999999")).cast("int") for i in range(4)))
+        numbers = F.transform(parts, lambda p: F.try_to_number(F.trim(p), F.lit("S999999999")).cast("int"))
+        good = F.when((F.size(parts) == 4) & F.forall(numbers, lambda n: n.isNotNull()), numbers)
+        return cls(*(F.get(good, F.lit(i)) for i in range(4)))
 
     def valid(self) -> Column:
         return (self.x0 >= 0) & (self.y0 >= 0) & (self.x1 > self.x0) & (self.y1 > self.y0)

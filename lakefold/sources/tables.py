@@ -49,11 +49,12 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*", recursive: bo
 
 
 def write_new(df: DataFrame, path: str, kind: str = "json", allow_empty: bool = True) -> None:
-    """Write to a path that must not exist; an empty table is an error unless allowed."""
+    """Write to a path that must not exist; an empty table is an error unless allowed. Quotes in CSV are doubled, as
+    read_catalog() reads them."""
     if not allow_empty and df.isEmpty():
         raise ValueError("nothing to write")
     writer = df.write.mode("errorifexists")
-    (writer.option("header", True) if kind == "csv" else writer).format(kind).save(path)
+    (writer.option("header", True).option("escape", '"') if kind == "csv" else writer).format(kind).save(path)
 
 
 def predictions(df: DataFrame) -> DataFrame:

@@ -126,3 +126,36 @@ def test_recommenders():
     assert recommend.expected_improvement(np.array([1.0]), np.array([0.0]), 0.5) == pytest.approx(0.5)
     p = np.exp(recommend.ordinal_log_likelihood(np.zeros(3), np.array([0, 1, 2]), np.array([-1.0, 1.0])))
     assert p.sum() == pytest.approx(1)
+
+
+def test_resolve_finds_every_pair_that_reaches_the_bar(spark):
+    import difflib
+    import random
+
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdeé xy") for _ in range(rng.randint(0, 9))).strip()
+    items = [(i, word(), word(), rng.choice([None, 1990, 2000])) for i in range(120)] + [(800, "chateau", "margaux", None), (801, None, "x", None)]
+    records = [(i, f"{p}a" if p and i % 2 else p, (n or "")[1:], y) for i, p, n, y in items] + [(900, "Chateaux", "Margeaux", None), (901, None, None, None)]
+    same = lambda a, b: difflib.SequenceMatcher(None, a.casefold(), b.casefold()).ratio() if a and b else 0.0
+    want = {}
+    for k, p, n, y in records:
+        best = max(((0.6 * same(p, q) + 0.4 * same(n, m)) * (0.5 if y and z and y != z else 1), -i) for i, q, m, z in items)
+        want[k] = (-best[1], round(best[0], 9)) if best[0] >= 0.8 else (None, 0.0)
+    d = lambda rows, i: spark.createDataFrame(rows, f"{i} int, producer string, name string, year int")
+    out = {r.record_id: (r.item_id, round(r.score, 9)) for r in entity.resolve(d(records, "record_id"), d(items, "item_id")).collect()}
+    assert out == want and out[900][0] == 800 and sum(v[0] is not None for v in out.values()) > 40
+
+
+def test_short_and_listed_aliases(spark):
+    from lakefold.operators import policy
+
+    lines = spark.createDataFrame([(1, "Zeta, xy, abc"), (2, "Alpha, abd, q")], "line_no int, value string")
+    table = catalog.aliases(lines, positions=True)
+    texts = spark.createDataFrame([(1, "the xy wine"), (2, "abd abc"), (3, "iq"), (4, "none"), (5, "")], "id int, t string")
+    assert sorted(tuple(r) for r in policy.alias_in_text(texts, table, "id", "t", False).collect()) == [(1, "zeta"), (2, "zeta"), (3, "alpha")]
+
+
+def test_temporal_split_keeps_the_whole_suffix(spark):
+    df = spark.createDataFrame([(u, k, k) for u, n in ((1, 9), (2, 4), (3, 5)) for k in range(n)], "user int, ts int, id int")
+    out = splits.temporal_split(df, "user", "ts", "id", 3, 2).groupBy("user", "role").count()
+    assert got(out) == [(1, "test", 6), (1, "train", 3), (3, "test", 2), (3, "train", 3)]
