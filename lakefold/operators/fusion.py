@@ -58,12 +58,9 @@ def _within_budget(total: Column, families: Column, limit: int) -> Column:
     return F.aggregate(F.sort_array(families), start, step, lambda have: have["taken"])
 
 
-def fuse(evidence: DataFrame, items: DataFrame, config: FusionConfig = FusionConfig(), attribute_score: DataFrame | None = None) -> DataFrame:
-    """evidence: query_id, source, slug, score, rank. items: slug, family. attribute_score: query_id, slug, bonus.
-
-    Returns query_id, slug, rank, blend_score, display_score, attribute_score, family, family_size. A missing text hit is
-    one below the floor; a missing photo or class reference is neutral. Scores that agree in nine places are ties.
-    """
+def observed(evidence: DataFrame, items: DataFrame, config: FusionConfig) -> DataFrame:
+    """The candidates of each query: query_id, slug, family, family_size, has_photo and, of each source, gap (to its best,
+    in its scale) and given (rank)."""
     order = Window.partitionBy("query_id", "source").orderBy(F.desc("score"), F.asc("slug"))
     ranked = evidence.withColumn("position", F.row_number().over(order))
     whole = Window.partitionBy("query_id", "source")
@@ -83,27 +80,61 @@ def fuse(evidence: DataFrame, items: DataFrame, config: FusionConfig = FusionCon
     scored = candidates.join(sources, "query_id").join(ranked.select("query_id", "source", "slug", "score", F.col("rank").alias("given")), ["query_id", "source", "slug"], "left")
     scale = F.element_at(tau, F.col("source"))
     gap = F.when(F.col("score").isNotNull(), (F.col("score") - F.col("best")) / scale).when(F.col("source") == "text", (F.col("floor_score") - F.col("best")) / scale - 1).otherwise(0.0)
-    in_order = lambda values: reduce(Column.__add__, (F.coalesce(F.max(F.when(F.col("source") == s, v)), F.lit(0.0)) for s, v in values.items()))  # noqa: E731  the same sum whatever the order of rows
-    if config.mode == "gap":
-        part = {s: config.weights[s] * F.col("gap") for s in BOUNDS}
-        member = in_order({"photo": config.member_photo * F.col("gap"), "text": config.member_text * F.col("gap")})
-    else:
-        part = {s: F.when(F.col("given") <= config.top_k, config.weights[s] * config.rrf_k / (config.rrf_k + F.col("given"))) for s in BOUNDS}
-        member = F.lit(0.0)
-    base = scored.withColumn("gap", gap).groupBy("query_id", "slug").agg(in_order(part).alias("base"), member.alias("member"), F.max((F.col("source") == "photo") & F.col("score").isNotNull()).alias("has_photo"))
-    base = base.join(items.select("slug", "family"), "slug").join(sizes, "family")
-    base = base.withColumn("family_score", F.max("base").over(Window.partitionBy("query_id", "family")))
-    if attribute_score is not None:
-        base = base.join(attribute_score.select("query_id", "slug", "bonus"), ["query_id", "slug"], "left")
-    else:
-        base = base.withColumn("bonus", F.lit(0.0))
-    base = base.withColumn("attribute_score", F.coalesce("bonus", F.lit(0.0))).withColumn("blend_score", F.col("family_score") + F.col("member") + F.col("attribute_score"))
-    final = Window.partitionBy("query_id").orderBy(F.desc(F.round("blend_score", 9)), F.col("slug").rlike("-[12]$"), ~F.col("has_photo"), "slug")
-    out = base.withColumn("rank", F.row_number().over(final)).withColumn("top", F.max("blend_score").over(Window.partitionBy("query_id")))
+    of = lambda source, c: F.max(F.when(F.col("source") == source, F.col(c)))
+    facts = [of(s, c).alias(f"{s}_{c}") for s in BOUNDS for c in ("gap", "given")]
+    has_photo = F.max((F.col("source") == "photo") & F.col("score").isNotNull()).alias("has_photo")
+    seen = scored.withColumn("gap", gap).groupBy("query_id", "slug").agg(*facts, has_photo)
+    return seen.join(items.select("slug", "family"), "slug").join(sizes, "family")
+
+
+def _in_order(values: list[Column]) -> Column:
+    """The sum in this order, whatever the order of rows; a source that is not there adds nothing."""
+    return reduce(Column.__add__, (F.coalesce(v, F.lit(0.0)) for v in values))
+
+
+def blended(seen: DataFrame, weight: dict[str, Column], mode: Column, config: FusionConfig, trial: list[str], bonus: DataFrame | None = None) -> DataFrame:
+    """observed()'s rows (and columns trial, which tell weights and modes apart) with blend_score and rank."""
+    base = _in_order([F.when(mode == "gap", weight[s] * F.col(f"{s}_gap")).otherwise(F.when(F.col(f"{s}_given") <= config.top_k, weight[s] * config.rrf_k / (config.rrf_k + F.col(f"{s}_given")))) for s in BOUNDS])
+    member = F.when(mode == "gap", _in_order([config.member_photo * F.col("photo_gap"), config.member_text * F.col("text_gap")])).otherwise(0.0)
+    rows = seen.withColumn("base", base).withColumn("member", member)
+    rows = rows.withColumn("family_score", F.max("base").over(Window.partitionBy("query_id", *trial, "family")))
+    rows = rows.join(bonus.select("query_id", "slug", "bonus"), ["query_id", "slug"], "left") if bonus is not None else rows.withColumn("bonus", F.lit(0.0))
+    rows = rows.withColumn("attribute_score", F.coalesce("bonus", F.lit(0.0))).withColumn("blend_score", F.col("family_score") + F.col("member") + F.col("attribute_score"))
+    final = Window.partitionBy("query_id", *trial).orderBy(F.desc(F.round("blend_score", 9)), F.col("slug").rlike("-[12]$"), ~F.col("has_photo"), "slug")
+    return rows.withColumn("rank", F.row_number().over(final))
+
+
+def fuse(evidence: DataFrame, items: DataFrame, config: FusionConfig = FusionConfig(), attribute_score: DataFrame | None = None) -> DataFrame:
+    """evidence: query_id, source, slug, score, rank. items: slug, family. attribute_score: query_id, slug, bonus.
+
+    Returns query_id, slug, rank, blend_score, display_score, attribute_score, family, family_size. A missing text hit is
+    one below the floor; a missing photo or class reference is neutral. Scores that agree in nine places are ties.
+    """
+    weight = {s: F.lit(config.weights[s]) for s in BOUNDS}
+    base = blended(observed(evidence, items, config), weight, F.lit(config.mode), config, [], attribute_score)
+    out = base.withColumn("top", F.max("blend_score").over(Window.partitionBy("query_id")))
     display = F.greatest(F.lit(0.0), 100 + 10 * (F.col("blend_score") - F.col("top")))
     return out.select("query_id", "slug", "rank", "blend_score", F.round(display, 2).alias("display_score"), "attribute_score", "family", "family_size")
 
 
+def tune(evidence: DataFrame, items: DataFrame, truth: DataFrame, config: FusionConfig = FusionConfig(), photo: tuple[float, ...] = (0.5, 1.0, 2.0), text: tuple[float, ...] = (0.3, 0.7, 1.0)) -> DataFrame:
+    """place, mode, photo, text, n, accuracy, family_accuracy over the queries of truth (query_id, slug): every pair of
+    weights in both modes. The best accuracy comes first, then family accuracy, then mode and weights.
+
+    Candidates and gaps are found once; the trials multiply candidates, not the work before them.
+    """
+    trials = F.array(*(F.struct(F.lit(m).alias("mode"), F.lit(p).alias("photo"), F.lit(t).alias("text")) for m in ("gap", "rrf") for p in photo for t in text))
+    seen = observed(evidence, items, config).join(truth.select("query_id").distinct(), "query_id", "left_semi")
+    each = seen.withColumn("trial", F.explode(trials))
+    weight = {"photo": F.col("trial.photo"), "text": F.col("trial.text"), "class": F.lit(config.weights["class"])}
+    tops = blended(each, weight, F.col("trial.mode"), config, ["trial"]).where("rank = 1").select("query_id", "trial", F.col("slug").alias("top"), F.col("family").alias("top_family"))
+    asked = truth.join(items.select("slug", "family"), "slug", "left").withColumn("trial", F.explode(trials))
+    right = lambda a, b: F.avg(F.coalesce(F.col(a) == F.col(b), F.lit(False)).cast("double"))
+    found = asked.join(tops, ["query_id", "trial"], "left").groupBy("trial").agg(F.count("*").alias("n"), right("top", "slug").alias("accuracy"), right("top_family", "family").alias("family_accuracy"))
+    order = Window.orderBy(F.desc("accuracy"), F.desc("family_accuracy"), "trial.mode", "trial.photo", "trial.text")  # a row per trial
+    return found.withColumn("place", F.row_number().over(order)).select("place", "trial.*", "n", "accuracy", "family_accuracy")
+
+
 #: Score of an attribute that agrees and of one that does not.
 ATTRIBUTES = {"year": (1.5, -2.0), "sweetness": (1.0, -1.5), "grape": (0.7, -0.7), "colour": (0.5, -1.0), "strength": (0.5, -0.5), "producer": (0.5, -1.0)}
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lakefold.plans import decisions, evaluation, labels, people, retrieval
+from lakefold.plans import decisions, evaluation, labels, outcomes, people, retrieval
 
 FLAGSHIP = "search_evidence"
-QUERIES = retrieval.BOOK.queries | evaluation.BOOK.queries | people.BOOK.queries | decisions.BOOK.queries | labels.BOOK.queries
-ORACLES = retrieval.BOOK.oracles | evaluation.BOOK.oracles | people.BOOK.oracles | decisions.BOOK.oracles | labels.BOOK.oracles
+QUERIES = retrieval.BOOK.queries | evaluation.BOOK.queries | people.BOOK.queries | decisions.BOOK.queries | labels.BOOK.queries | outcomes.BOOK.queries
+ORACLES = retrieval.BOOK.oracles | evaluation.BOOK.oracles | people.BOOK.oracles | decisions.BOOK.oracles | labels.BOOK.oracles | outcomes.BOOK.oracles
