@@ -38,31 +38,3 @@ def sign_bits(vector: Column, bits: int = 63) -> Column:
 def ratio(numerator: Column, denominator: Column) -> Column:
     """null, never 0, where there is nothing to divide by."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))
-
-
-def percentile_floor(values: Column, share: float) -> Column:
-    """sorted[int((n - 1) * share)]"""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor((F.size(ordered) - 1) * share).cast("int"))
-
-
-def percentile_ceil(values: Column, share: float) -> Column:
-    """sorted[ceil(share * n) - 1], the smallest value with at least that share at or below it."""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.greatest(F.lit(0), F.ceil(F.size(ordered) * share) - 1).cast("int"))
-
-
-def median_lower(values: Column) -> Column:
-    """sorted[(n - 1) // 2]"""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor((F.size(ordered) - 1) / 2).cast("int"))
-
-
-def median_upper(values: Column) -> Column:
-    """sorted[n // 2]"""
-    ordered = F.array_sort(F.collect_list(values))
-    return F.get(ordered, F.floor(F.size(ordered) / 2).cast("int"))
-
-
-def percentile_linear(values: Column, share: float) -> Column:
-    return F.percentile(values, F.lit(share))

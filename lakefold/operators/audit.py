@@ -34,23 +34,24 @@ def query_manifest_errors(q: DataFrame, items: DataFrame, gallery: DataFrame) ->
     """q: query_id, source_group, split, image_sha256, gt_status, gt_slug, gt_source. items: slug. gallery: image_sha256,
     source_group. Distinct (error, key)."""
     empty = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) == ""
-    key = F.col("query_id")
-    known = F.col("gt_status") == "known"
+    key = F.col("query_id").cast("string")
+    known = F.coalesce(F.col("gt_status") == "known", F.lit(False))
+    flag = lambda d, c, name: d.where(F.col(c).isNotNull()).select(c).distinct().withColumn(name, F.lit(True))
+    met = (
+        q.join(flag(gallery, "image_sha256", "_hash"), "image_sha256", "left").join(flag(gallery, "source_group", "_group"), "source_group", "left")
+        .join(flag(items.select(F.col("slug").alias("gt_slug")), "gt_slug", "_item"), "gt_slug", "left")
+    )
+    rules = {
+        "query_id_missing": empty("query_id"), "source_group_missing": empty("source_group"), "split_invalid": ~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False)),
+        "hash_invalid": ~F.coalesce(F.col("image_sha256").rlike(SHA256), F.lit(False)), "gallery_leak_by_hash": F.col("_hash").isNotNull(), "gallery_leak_by_group": F.col("_group").isNotNull(),
+        "gt_status_invalid": ~F.coalesce(F.col("gt_status").isin(*TRUTH), F.lit(False)), "known_without_slug_or_source": known & (empty("gt_slug") | empty("gt_source")),
+        "known_slug_not_in_catalog": known & ~empty("gt_slug") & F.col("_item").isNull(), "slug_without_known": ~known & F.col("gt_slug").isNotNull(),
+    }
+    found = F.array_compact(F.array(*(F.when(c, F.struct(F.lit(n).alias("error"), (F.lit("") if n == "query_id_missing" else key).alias("key"))) for n, c in rules.items())))
     parts = [
-        rule(q, "query_id_missing", empty("query_id"), F.lit("")),
-        repeated(q, "query_id_repeated", "query_id"),
-        rule(q, "source_group_missing", empty("source_group"), key),
-        across(q, "source_group_across_splits", "source_group", "split"),
-        rule(q, "split_invalid", ~F.coalesce(F.col("split").isin(*SPLITS), F.lit(False)), key),
-        rule(q, "hash_invalid", ~F.coalesce(F.col("image_sha256").rlike(SHA256), F.lit(False)), key),
-        across(q, "hash_across_splits", "image_sha256", "split"),
-        rule(q.join(gallery.select("image_sha256").distinct(), "image_sha256", "left_semi"), "gallery_leak_by_hash", F.lit(True), key),
-        rule(q.join(gallery.select("source_group").where("source_group IS NOT NULL").distinct(), "source_group", "left_semi"), "gallery_leak_by_group", F.lit(True), key),
-        rule(q, "gt_status_invalid", ~F.coalesce(F.col("gt_status").isin(*TRUTH), F.lit(False)), key),
-        rule(q, "known_without_slug_or_source", known & (empty("gt_slug") | empty("gt_source")), key),
-        rule(q.where(known & ~empty("gt_slug")).join(items.select(F.col("slug").alias("gt_slug")).distinct(), "gt_slug", "left_anti"), "known_slug_not_in_catalog", F.lit(True), key),
-        rule(q, "slug_without_known", ~F.coalesce(known, F.lit(False)) & F.col("gt_slug").isNotNull(), key),
-    ]
+        met.select(F.inline(found)), repeated(q, "query_id_repeated", "query_id"),
+        across(q, "source_group_across_splits", "source_group", "split"), across(q, "hash_across_splits", "image_sha256", "split"),
+    ]
     return union(parts).distinct()
 
 

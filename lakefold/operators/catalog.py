@@ -71,11 +71,12 @@ def equivalence_groups(df: DataFrame, keys: list[str], member: str) -> DataFrame
     return df.groupBy(*keys).agg(F.count_distinct(member).alias("n_members"), F.array_sort(F.collect_set(member)).alias("members")).where("n_members > 1")
 
 
-def group_statistics(groups: DataFrame, total: int | Column) -> DataFrame:
-    """groups, affected members, their share of all, and the largest group."""
-    total = F.lit(total) if isinstance(total, int) else total
+def group_statistics(groups: DataFrame, rows: DataFrame) -> DataFrame:
+    """groups, affected members, their share of all rows, and the largest group."""
     affected = F.coalesce(F.sum("n_members"), F.lit(0))
-    return groups.agg(F.count("*").alias("n_groups"), affected.alias("affected"), F.try_divide(affected.cast("double"), total).alias("fraction"), F.coalesce(F.max("n_members"), F.lit(0)).alias("largest"))
+    found = groups.agg(F.count("*").alias("n_groups"), affected.alias("affected"), F.coalesce(F.max("n_members"), F.lit(0)).alias("largest"))
+    total = F.broadcast(rows.agg(F.count("*").alias("total")))  # one row beside one row
+    return found.crossJoin(total).select("n_groups", "affected", F.try_divide(F.col("affected").cast("double"), F.col("total")).alias("fraction"), "largest")
 
 
 def families(df: DataFrame, producer: Column, tokens: Column) -> DataFrame:

@@ -91,9 +91,11 @@ def merge_fields(lookups: DataFrame) -> DataFrame:
     return lookups.where("value IS NOT NULL").groupBy("record_id", "field").agg(F.min_by(F.struct("value", "confidence", "source"), order).alias("r")).select("record_id", "field", "r.*")
 
 
-def quality_report(fields: DataFrame, n_records: int) -> DataFrame:
-    """field, missing_rate, mean_confidence"""
-    return fields.groupBy("field").agg((1 - F.count("value") / F.lit(n_records)).alias("missing_rate"), F.avg("confidence").alias("mean_confidence"))
+def quality_report(fields: DataFrame, records: DataFrame) -> DataFrame:
+    """field, missing_rate (of all records), mean_confidence"""
+    n = F.broadcast(records.agg(F.count("*").alias("n")))  # one row
+    each = fields.groupBy("field").agg(F.count("value").alias("known"), F.avg("confidence").alias("mean_confidence")).crossJoin(n)
+    return each.select("field", (1 - F.col("known") / F.col("n")).alias("missing_rate"), "mean_confidence")
 
 
 def field_audit(df: DataFrame, least: float = 0.7) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 import numpy as np
@@ -42,19 +43,32 @@ def status_histogram(p: DataFrame, column: str = "status") -> DataFrame:
     return p.groupBy(column).agg(F.count("*").alias("n"))
 
 
+def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """by, and for each name the group's value at rank(n), counted from 0 in ascending order. Equal values are counted
+    before they meet, so a group is a running sum over its distinct values and is never collected."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_c"))
+    group = Window.partitionBy(*by)
+    placed = counts.withColumn("_to", F.sum("_c").over(group.orderBy("_v"))).withColumn("_n", F.sum("_c").over(group))
+    here = lambda rank: (F.col("_to") - F.col("_c") <= rank) & (rank < F.col("_to"))
+    return placed.groupBy(*by).agg(*(F.max(F.when(here(f(F.col("_n"))), F.col("_v"))).alias(name) for name, f in ranks.items()))
+
+
 def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, min, p50, p95, p99, max, mean by group; percentiles are sorted[int((n - 1) p)]."""
     v = F.col(value)
-    return df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("lowest"), *(A.percentile_floor(v, q / 100).alias(f"p{q}") for q in (50, 95, 99)), F.max(v).alias("highest"), F.avg(v).alias("mean"))
+    ranks = at_ranks(df, by, value, {f"p{q}": lambda n, q=q: F.floor((n - 1) * (q / 100)) for q in (50, 95, 99)})
+    whole = df.groupBy(*by).agg(F.count(v).alias("n"), F.min(v).alias("lowest"), F.max(v).alias("highest"), F.avg(v).alias("mean"))
+    return whole.join(ranks, by, "left").select(*by, "n", "lowest", "p50", "p95", "p99", "highest", "mean")
 
 
 def percentile_definitions(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """The definitions side by side: floor and ceil ranks, lower and upper medians, linear interpolation."""
-    v = F.col(value)
-    return df.groupBy(*by).agg(
-        A.percentile_floor(v, 0.95).alias("p95_floor"), A.percentile_ceil(v, 0.95).alias("p95_ceil"), A.median_lower(v).alias("p50_lower"),
-        A.median_upper(v).alias("p50_upper"), A.percentile_linear(v, 0.95).alias("p95_linear"),
-    )
+    ranks = {
+        "p95_floor": lambda n: F.floor((n - 1) * 0.95), "p95_ceil": lambda n: F.greatest(F.lit(0), F.ceil(n * 0.95) - 1),
+        "p50_lower": lambda n: F.floor((n - 1) / 2), "p50_upper": lambda n: F.floor(n / 2),
+    }
+    linear = df.groupBy(*by).agg(F.percentile(value, F.lit(0.95)).alias("p95_linear"))
+    return linear.join(at_ranks(df, by, value, ranks), by, "left").select(*by, *ranks, "p95_linear")
 
 
 def error_rates(df: DataFrame, reference: str, prediction: str, by: list[str] | None = None) -> DataFrame:

@@ -32,10 +32,11 @@ def postings(items: DataFrame, key: str, tokens: Column) -> DataFrame:
     return items.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
 
 
-def idf(post: DataFrame, key: str, items: int | Column) -> DataFrame:
-    """token, df, idf = ln((n + 1) / (df + 1)) + 1"""
-    n = F.lit(items) if isinstance(items, int) else items
-    return post.groupBy("token").agg(F.count_distinct(key).alias("df")).withColumn("idf", F.log((n + 1) / (F.col("df") + 1)) + 1)
+def idf(post: DataFrame, key: str, items: DataFrame) -> DataFrame:
+    """token, df, idf = ln((n + 1) / (df + 1)) + 1, n being the number of items."""
+    n = F.broadcast(items.agg(F.count("*").alias("n")))  # one row
+    each = post.groupBy("token").agg(F.count_distinct(key).alias("df")).crossJoin(n)
+    return each.select("token", "df", (F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1).alias("idf"))
 
 
 def evidence(queries: DataFrame, query_id: str, query_tokens: Column, post: DataFrame, key: str, weights: DataFrame) -> DataFrame:

@@ -80,7 +80,7 @@ def merged_fields(t: Tables) -> DataFrame:
 
 @BOOK.add(f"WITH {SQL_LOOKUPS} SELECT field, round(1 - count(value)::DOUBLE / (SELECT count(*) FROM lineitem), 9) AS missing_rate, round(avg(confidence), 9) AS mean_confidence FROM l GROUP BY field")
 def field_quality(t: Tables) -> DataFrame:
-    return entity.quality_report(looked_up(t), t.lineitem.count()).select("field", F.round("missing_rate", 9).alias("missing_rate"), F.round("mean_confidence", 9).alias("mean_confidence"))
+    return entity.quality_report(looked_up(t), t.lineitem).select("field", F.round("missing_rate", 9).alias("missing_rate"), F.round("mean_confidence", 9).alias("mean_confidence"))
 
 
 @BOOK.add(f"""WITH {SQL_LOOKUPS} SELECT field, source, count(*) AS n, round(avg(CASE WHEN l_partkey = l_suppkey THEN 1.0 ELSE 0 END), 9)::DOUBLE AS exact, round(avg(abs(l_partkey - l_suppkey)), 6) AS mae, round(avg(CASE WHEN confidence >= 0.7 THEN 1.0 ELSE 0 END), 9)::DOUBLE AS retained FROM l GROUP BY field, source""")

@@ -34,7 +34,7 @@ def search_evidence(t: Tables) -> DataFrame:
     w = items(t)
     found = tokens("name", "producer", "category")
     post = search.postings(w, "slug", found)
-    weights = search.idf(post, "slug", w.count())
+    weights = search.idf(post, "slug", w)
     asked = w.where("slug % 100 = 0").select(F.col("slug").alias("query_id"), found.alias("tokens"))
     hits = search.normalized_evidence(search.evidence(asked, "query_id", F.col("tokens"), post, "slug", weights), "query_id")
     hits = hits.withColumn("evidence", F.round("evidence", 6))
@@ -44,7 +44,7 @@ def search_evidence(t: Tables) -> DataFrame:
 @BOOK.add(f"WITH {SQL_POSTINGS} SELECT token, df, round(idf, 6) AS idf FROM weights")
 def token_idf(t: Tables) -> DataFrame:
     w = items(t)
-    return search.idf(search.postings(w, "slug", tokens("name", "producer", "category")), "slug", w.count()).select("token", "df", F.round("idf", 6).alias("idf"))
+    return search.idf(search.postings(w, "slug", tokens("name", "producer", "category")), "slug", w).select("token", "df", F.round("idf", 6).alias("idf"))
 
 
 @BOOK.add()
@@ -69,7 +69,7 @@ def equivalence_groups(t: Tables) -> DataFrame:
 @BOOK.add("""WITH g AS (SELECT count(*) AS n FROM part GROUP BY p_brand, p_type, p_size HAVING count(*) > 1)
 SELECT count(*) AS n_groups, coalesce(sum(n), 0)::BIGINT AS affected, coalesce(sum(n), 0)::DOUBLE / (SELECT count(*) FROM part) AS fraction, coalesce(max(n), 0) AS largest FROM g""")
 def equivalence_statistics(t: Tables) -> DataFrame:
-    return catalog.group_statistics(equivalence_groups(t), t.part.count())
+    return catalog.group_statistics(equivalence_groups(t), t.part)
 
 
 @BOOK.add("SELECT p_partkey AS slug, p_brand || chr(31) || array_to_string(list_filter(string_split(p_name, ' '), lambda x: length(x) > 2), ' ') AS family, count(*) OVER (PARTITION BY p_brand, p_name) AS family_size FROM part")
