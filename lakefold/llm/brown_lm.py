@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkit
-from lakefold.session import shuffle_partitions, written
+from lakefold.session import group_count, written
 
 TOP, TAILS, CLASSES = 1024, 512, 48
 #: A bound for safety: every move raises the likelihood, so exchange ends by itself.
@@ -511,7 +511,7 @@ def score_texts(docs: DataFrame, held_out: Column, doc_id: str = "doc_id", text:
     """A row per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score and perplexity. The
     model learns from the rows that are not held out."""
     spark = docs.sparkSession
-    buckets = max(4, shuffle_partitions(spark))
+    buckets = group_count(docs)
     docs = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.coalesce(held_out, F.lit(False)).alias("held_out"))
     training = docs.where("NOT held_out").select("text")
     counts = written(word_counts(training, buckets), "word-counts")

@@ -6,8 +6,8 @@ document has a seed, the words around it, as far as the gaps of a passing score
 alignment to pass; the score is the best local alignment's as a share of a perfect one. Edited and paraphrased copies
 keep some seeds and lose some score.
 
-The items are the query set: they go to the tasks as arrays in blocks of at most BLOCK_ITEMS items, each block a pass
-over all documents; documents are never grouped or moved.
+The items are the query set: they go to the tasks as arrays in blocks of at most BLOCK_ITEMS items, which end when they
+have BLOCK_CHARS characters, each block a pass over all documents; documents are never grouped or moved.
 
 Nulls and ties: null text (document or item) has no words and meets nothing; an item of fewer than SEED words has itself
 as its seed; rows with a null id are treated like others; repeated rows each get their pairs, repeated items too. Of
@@ -31,7 +31,8 @@ from lakefold.llm import textkit
 SEED = 3
 MATCH, MISMATCH, GAP = 2, -1, -1
 LEAST = 0.5
-BLOCK_ITEMS = 100_000
+#: Bounds of a block of items, which goes to every task.
+BLOCK_ITEMS, BLOCK_CHARS = 100_000, 32 << 20
 FILTER_BITS = 22
 #: ASCII punctuation becomes space.
 TABLE = np.arange(256, dtype=np.uint8)
@@ -156,13 +157,14 @@ FOUND_DDL = "doc_id bigint, item_id bigint, score double, word_start int, word_e
 def _passes(items: DataFrame, item_id: str, text: str) -> Iterator[Items]:
     """The items, in blocks. Blocks are read one by one, so the driver holds one at a time."""
     chosen = items.select(F.col(item_id).cast("bigint").alias("id"), F.col(text).alias("text"))
-    ids, texts = [], []
+    ids, texts, size = [], [], 0
     for r in chosen.orderBy("id", "text").toLocalIterator():
         ids.append(r.id)
         texts.append(r.text)
-        if len(ids) == BLOCK_ITEMS:
+        size += len(r.text or "")
+        if len(ids) >= BLOCK_ITEMS or size >= BLOCK_CHARS:
             yield Items.of_texts(ids, texts)
-            ids, texts = [], []
+            ids, texts, size = [], [], 0
     if ids:
         yield Items.of_texts(ids, texts)
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from lakefold.llm import textkit
 from lakefold.llm.components import components
 from lakefold.llm.substring_dedup import BLOBS_DDL, _batch, _blobs, _read
-from lakefold.session import shuffle_partitions, written
+from lakefold.session import group_count, written
 
 RUN = 5
 SIMILARITY = 0.8
@@ -220,7 +220,7 @@ def near_classes(docs: DataFrame, least: float = SIMILARITY, doc_id: str = "doc_
     the row stands for its class, that is for its words, and its id names the class."""
     spark = docs.sparkSession
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    buckets = max(4, shuffle_partitions(spark))
+    buckets = group_count(docs)
     signed = written(sign(docs), "signed")
     known = signed.where("doc_id IS NOT NULL")
     groups = written(known.groupBy("k1", "k2").agg(F.min(F.struct("doc_id", "text_key", "n_words", "bands")).alias("r")).select("k1", "k2", "r.*"), "representatives")

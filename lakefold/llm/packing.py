@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from lakefold.llm import textkit
 from lakefold.llm.unit_encoder import encoder
-from lakefold.session import shuffle_partitions, written
+from lakefold.session import group_count, written
 
 MAX_LENGTH, MULTIPLE, BUCKETS, BUDGET = 2048, 1, 16, 65_536
 
@@ -106,7 +106,7 @@ def pack(found: DataFrame, multiple: int = MULTIPLE, buckets: int = BUCKETS, bud
     bucket = F.lit(lengths[-1])
     for b in reversed(lengths[:-1]):
         bucket = F.when(F.col("n_tokens") <= b, b).otherwise(bucket)
-    blocks = blocks or 4 * shuffle_partitions(spark)
+    blocks = blocks or 4 * group_count(found)
     found = found.withColumn("bucket_length", bucket).withColumn("block", F.pmod(F.xxhash64("doc_id", "segment"), F.lit(blocks)))
     counts = found.groupBy("bucket_length", "block").agg(F.count("*").alias("n"))
     before = F.sum("n").over(Window.partitionBy("bucket_length").orderBy("block")) - F.col("n")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakefold.llm import textkit
-from lakefold.session import shuffle_partitions
+from lakefold.session import group_count
 
 WINDOW = 13
 FLUSH = 1 << 19
@@ -316,7 +316,7 @@ def find_repeats(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text:
     kept_text: the text with the removed words, and the white space after them, cut out."""
     spark = docs.sparkSession
     block = (n + 1) // 2
-    buckets = max(4, shuffle_partitions(spark))
+    buckets = group_count(docs)
     parts = buckets
     if (doc_id, text) != ("doc_id", "text"):
         docs = docs.drop(*({"doc_id", "text"} - {doc_id, text})).withColumnsRenamed({doc_id: "doc_id", text: "text"})

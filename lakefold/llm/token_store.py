@@ -9,6 +9,7 @@ File format, below the store's folder:
                              owner (-1: the bytes are in this row's data; -2: earlier in this pack, else the pack that
                              has them), lent (other rows read this chunk), leaf (SHA-256 of the chunk names), data
   manifest/*.parquet         a row per pack: pack, n_docs, n_tokens, start, root
+  corpus/*.parquet           one row: n_docs, n_tokens, and root over the packs' roots in their order
 
 Nulls and ties: a null text is empty; a null doc_id sorts before all others; rows with the same doc_id are kept, ordered
 by their ids. An empty table gives a store without packs.
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from lakefold.llm import textkit
 from lakefold.llm.unit_encoder import encoder
-from lakefold.session import scratch_path, shuffle_partitions
+from lakefold.session import delete, group_count, scratch_path
 
 CHUNK_MIN, CHUNK_MASK, CHUNK_MAX, CHUNK_WINDOW = 64, 255, 4096, 8
 
@@ -193,14 +194,29 @@ def _roots(packs: DataFrame) -> DataFrame:
     return packs.select("pack", "ord", "leaf", "start", "n_tokens").groupBy("pack").applyInArrow(_pack_root, MANIFEST_DDL)
 
 
+CORPUS_DDL = "n_docs bigint, n_tokens bigint, root binary"
+
+
+def _corpus(spark: SparkSession, folder: str) -> DataFrame:
+    """The corpus row that follows from the manifest, which has a row per pack."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: r["pack"])
+        whole = (sum(r["n_docs"] for r in rows), sum(r["n_tokens"] for r in rows), merkle([r["root"] for r in rows]))
+        yield pa.record_batch([pa.array([v], t) for v, t in zip(whole, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["n_docs", "n_tokens", "root"])
+
+    return spark.read.schema(MANIFEST_DDL).parquet(f"{folder}/manifest").coalesce(1).mapInArrow(run, CORPUS_DDL)
+
+
 def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int, packs: int | None = None) -> None:
     """Encode docs (doc_id, text) and write the store to folder.
 
-    Ids pass the network once, by pack; of the chunks only names are compared across packs. A pack holds an even share
-    of the documents, so no group can grow beyond it: a chunk that many documents share is one row for each pack.
+    Ids pass the network once, by pack; of the chunks only names are compared across packs. Packs are runs of doc_id with
+    an even share of the documents each, so a chunk that many documents share is one row for each pack; rows that share
+    one doc_id, or have none, are one run and stay in one pack, since the store's order keeps them together.
     """
     spark = docs.sparkSession
-    packs = packs or 2 * shuffle_partitions(spark)
+    packs = packs or 2 * group_count(docs)
     staged_path = f"{folder}/staged"
     encode_documents(docs, tokenizer_path, end_id, pack_bounds(docs, packs)).write.option("compression", "uncompressed").parquet(staged_path)
     staged = spark.read.schema(STAGED_DDL).parquet(staged_path)
@@ -214,8 +230,8 @@ def write_store(docs: DataFrame, folder: str, tokenizer_path: str, end_id: int,
     rows = staged.groupBy("pack").cogroup(plan.groupBy("pack")).applyInArrow(_write_pack, PACK_DDL)
     rows.write.partitionBy("pack").option("compression", "uncompressed").parquet(f"{folder}/packs")
     _roots(read_packs(spark, folder)).coalesce(1).write.parquet(f"{folder}/manifest")
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(staged_path)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _corpus(spark, folder).write.parquet(f"{folder}/corpus")
+    delete(spark, staged_path)
 
 
 def read_packs(spark: SparkSession, folder: str) -> DataFrame:
@@ -253,7 +269,8 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """Per document, from the files: doc_id, start, n_tokens, ids_crc32, verified.
 
     Rows that hold all their chunks are read in place. The others (copies) meet the chunks that they borrow pack by pack.
-    verified also asks that the pack's Merkle root, made again from the rows, is the manifest's.
+    verified also asks that the pack's Merkle root, made again from the rows, is the manifest's, and the corpus root, made
+    again from the manifest, the corpus row's.
     """
     packs = read_packs(spark, folder)
     alone = ~F.exists("owner", lambda o: o != -1)
@@ -294,7 +311,10 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
     here = packs.where(alone).select(columns).mapInArrow(local, ddl)
     there = needs.select(columns).groupBy("pack").cogroup(chunks.groupBy("pack")).applyInArrow(join, ddl)
     manifest = spark.read.schema(MANIFEST_DDL).parquet(f"{folder}/manifest")
-    good = _roots(packs).alias("a").join(manifest.alias("b"), "pack").select("pack", F.expr("a.root = b.root").alias("rooted"))
+    whole = F.broadcast(spark.read.schema(CORPUS_DDL).parquet(f"{folder}/corpus").select(F.col("root").alias("whole")))  # one row
+    again = F.broadcast(_corpus(spark, folder).select(F.col("root").alias("again")))
+    good = _roots(packs).alias("a").join(manifest.alias("b"), "pack").crossJoin(whole).crossJoin(again)
+    good = good.select("pack", F.expr("a.root = b.root AND whole = again").alias("rooted"))
     return here.unionByName(there).join(good, "pack").select("doc_id", "start", "n_tokens", "ids_crc32", F.expr("verified AND rooted").alias("verified"))
 
 

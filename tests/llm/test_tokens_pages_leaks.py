@@ -82,6 +82,19 @@ def test_store_shows_damage(spark, tmp_path):
     assert {r.verified for r in token_store.read_store(spark, str(tmp_path / "s")).collect()} == {False}
 
 
+def test_store_shows_another_corpus_root(spark, tmp_path):
+    import shutil
+
+    df = spark.createDataFrame([(i, f"text {i} " * 50) for i in range(20)], "doc_id bigint, text string")
+    token_store.write_store(df, str(tmp_path / "s"), BPE, 2, packs=3)
+    row = spark.read.parquet(str(tmp_path / "s/corpus")).first()
+    manifest = spark.read.parquet(str(tmp_path / "s/manifest")).orderBy("pack").collect()
+    assert row.root == token_store.merkle([r.root for r in manifest]) and row.n_docs == 20 and {r.verified for r in token_store.read_store(spark, str(tmp_path / "s")).collect()} == {True}
+    shutil.rmtree(tmp_path / "s/corpus")
+    spark.createDataFrame([(20, row.n_tokens, b"x")], token_store.CORPUS_DDL).write.parquet(str(tmp_path / "s/corpus"))
+    assert {r.verified for r in token_store.read_store(spark, str(tmp_path / "s")).collect()} == {False}
+
+
 def test_empty_store(spark, tmp_path):
     df = spark.createDataFrame([], "doc_id bigint, text string")
     token_store.write_store(df, str(tmp_path / "s"), BPE, 2, packs=2)
@@ -272,6 +285,47 @@ def test_leaks(spark):
     assert decontaminate.find_leaks(d, b.limit(0)).collect() == [] and decontaminate.find_leaks(d.limit(0), b).collect() == []
 
 
+def test_leaks_against_all_pairs(spark):
+    """Every pair's whole texts aligned: pairs that reach the bar and share a run of SEED words are what is found."""
+    d, b = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").collect() for t in ("documents", "benchmark"))
+    b = b[:60]
+    items = [decontaminate.word_hashes(pa.array([r.text]))[1] for r in b]
+    runs = [{tuple(w[k : k + 3].tolist()) for k in range(len(w) - 2)} or {tuple(w.tolist())} for w in items]
+    want = set()
+    for r in d:
+        text = decontaminate.word_hashes(pa.array([r.text or ""]))[1]
+        own = {tuple(text[k : k + 3].tolist()) for k in range(len(text) - 2)}
+        known = set(text.tolist())
+        for q, w, seeds in zip(b, items, runs, strict=True):
+            if seeds & own and sum(x in known for x in w.tolist()) >= len(w) / 2:
+                score = decontaminate.align(w, text)[0] / (2 * len(w))
+                if score >= decontaminate.LEAST:
+                    want.add((r.doc_id, q.item_id, round(score, 9)))
+    got = decontaminate.find_leaks(*(spark.createDataFrame([(r[0], r.text) for r in rows], f"{k} bigint, text string") for rows, k in ((d, "doc_id"), (b, "item_id")))).collect()
+    assert {(r.doc_id, r.item_id, round(r.score, 9)) for r in got} == want and want
+
+
+@pytest.mark.parametrize("edits, least", [(0.1, 1.0), (0.2, 1.0), (0.3, 0.98), (0.4, 0.9)])
+def test_recall_by_edit_rate(spark, edits, least):
+    """Of edited copies that an alignment of whole texts finds, the share found through seeds."""
+    rng = random.Random(21)
+    items = [[f"w{rng.randint(0, 3000)}" for _ in range(rng.randint(15, 60))] for _ in range(200)]
+
+    def edited(words):
+        out = []
+        for w in words:
+            kind = rng.random()
+            out += [w] if kind >= edits else [] if kind < edits / 3 else [f"n{rng.randint(0, 9999)}"] if kind < 2 * edits / 3 else [w, f"n{rng.randint(0, 9999)}"]
+        return out
+
+    docs = [["before"] * 20 + edited(w) + ["after"] * 20 for w in items]
+    there = {k for k, (w, t) in enumerate(zip(items, docs, strict=True)) if decontaminate.align(*(decontaminate.word_hashes(pa.array([" ".join(x)]))[1] for x in (w, t)))[0] >= 2 * len(w) * decontaminate.LEAST}
+    frames = (spark.createDataFrame([(k, " ".join(t)) for k, t in enumerate(rows)], f"{c} bigint, text string") for rows, c in ((docs, "doc_id"), (items, "item_id")))
+    found = {r.doc_id for r in decontaminate.find_leaks(*frames).collect() if r.doc_id == r.item_id}
+    print(edits, len(there), len(found & there))
+    assert len(there) > 40 and len(found & there) >= least * len(there)
+
+
 def test_blocks_of_items(spark, monkeypatch):
     d, b = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("documents", "benchmark"))
     one = sorted(tuple(r) for r in decontaminate.find_leaks(d, b).collect())
