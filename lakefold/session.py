@@ -94,7 +94,7 @@ def group_count(df: DataFrame, least: int = 4) -> int:
     """Groups for hashed work over df: as many as shuffle partitions, and one for each GROUP_BYTES of the files that it
     reads, so that a group's size does not grow with the data."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
-    sizes = [int(leaves.apply(i).stats().sizeInBytes().toString()) for i in range(leaves.length())]
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.length())]
     known = sum(s for s in sizes if s < 1 << 60)  # an unknown size is said to be enormous
     return max(least, shuffle_partitions(df.sparkSession), -(-known // GROUP_BYTES))
 
