@@ -57,3 +57,16 @@ def test_paired_interval(spark):
     df = spark.createDataFrame([(u, 0.0, 0.1) for u in range(400)], "u int, a double, b double")
     r = policy.paired_interval(df, "u", "a", "b").first()
     assert (r.n, r.passed) == (400, True) and r.low == pytest.approx(0.1)
+
+
+def test_paired_interval_has_the_width_of_the_mean(spark):
+    import random
+
+    rng = random.Random(5)
+    gains = [rng.gauss(0.3, 1.0) for _ in range(900)]
+    df = spark.createDataFrame([(u, 0.0, g) for u, g in enumerate(gains)], "u int, a double, b double")
+    r, again = policy.paired_interval(df, "u", "a", "b").first(), policy.paired_interval(df.repartition(7), "u", "a", "b").first()
+    error = np.std(gains) / len(gains) ** 0.5
+    assert r.gain == pytest.approx(np.mean(gains)) and [r.low, r.high] == pytest.approx([r.gain - 1.96 * error, r.gain + 1.96 * error], abs=0.3 * error)
+    assert [r.low, r.high] == pytest.approx([again.low, again.high])
+    assert policy.paired_interval(df.limit(0), "u", "a", "b").collect() == []

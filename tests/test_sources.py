@@ -1,3 +1,5 @@
+import datetime
+
 import pytest
 
 from lakefold.sources import tables
@@ -40,3 +42,29 @@ def test_streamed_jobs(spark, tmp_path):
     q = jobs.job_states(stream, "job", "ts", "event").writeStream.format("memory").queryName("states").outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     assert q.awaitTermination(120)
     assert sorted(tuple(r) for r in spark.table("states").collect()) == [("j", "uploading", 2), ("k", "failed", 1)]
+
+
+def streamed(spark, tmp_path, batches, schema, plan, mode):
+    """The rows that a streaming plan has written after these files, one file a batch."""
+    source, target = tmp_path / "in", tmp_path / "out"
+    for n, rows in enumerate(batches):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(source / f"b={n}"))
+    events = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).json(str(source))
+    name = f"t{abs(hash(str(tmp_path))) % 10**9}"
+    plan(events).writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", str(target)).trigger(availableNow=True).start().awaitTermination()
+    return spark.table(name).collect()
+
+
+def test_a_key_counts_once_however_often_it_arrives(spark, tmp_path):
+    at = lambda m: datetime.datetime(2024, 1, 1, 10, m)
+    batches = [[("a", at(0)), ("b", at(1)), ("a", at(2))], [("a", at(3)), ("c", at(4))]]
+    got = streamed(spark, tmp_path, batches, "key string, ts timestamp", lambda e: jobs.deduplicated(e, "key", "ts", "1 hour"), "append")
+    assert sorted(r.key for r in got) == ["a", "b", "c"]
+
+
+def test_windowed_outcomes_leave_out_what_is_too_late(spark, tmp_path):
+    at = lambda h, m: datetime.datetime(2024, 1, 1, h, m)
+    batches = [[("ok", at(10, 1)), ("ok", at(10, 9)), ("bad", at(10, 2))], [("ok", at(12, 0))], [("ok", at(12, 1))], [("ok", at(10, 3)), ("bad", at(12, 2))]]
+    got = streamed(spark, tmp_path, batches, "status string, ts timestamp", lambda e: jobs.windowed_outcomes(e, "ts", "status"), "update")
+    seen = {(r.window.start.hour, r.status, r.n) for r in got}
+    assert seen >= {(10, "bad", 1), (10, "ok", 2), (12, "ok", 2)} and (10, "ok", 3) not in seen
