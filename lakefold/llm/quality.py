@@ -3,9 +3,9 @@
 The model is linear in the shares of hashed word n-grams (1, 2) and character n-grams (1, 3, 4) of a text, so a text is
 scored by gathering weights: no feature vector is made, and a score depends on its text alone, to the last bit. It is
 trained on at most SAMPLE labelled rows of each class (those with the smallest hash of doc_id) as sparse rows, calibrated
-on the fifth of them that training leaves out, and moved to the class shares of all labels. A second model finds toxic
-texts by words that labelled toxic ones have more often: a few such words decide, however long the text, so the presence
-of words (and of their beginnings) counts, not their share. Batches are scored in Arrow against fixed thresholds.
+on the fifth of them that training leaves out, and moved to the class shares of all labels. A second model, from at most
+TOXIC_SAMPLE rows of each class, finds toxic texts by words (and beginnings of words) that labelled toxic ones have much
+more often: one such word is enough, however long the text. Batches are scored in Arrow against fixed thresholds.
 
 Nulls and ties: a null text has no words and fails the base rules; labels without a quality or a document are left out; a
 document with several labels has the lowest quality, and is toxic if one says so; of documents with the same id the one
@@ -37,8 +37,10 @@ GROUPS = len(WORD_ORDERS) + len(CHAR_ORDERS)
 UNIT = 1 << 20
 KEEP_AT = 0.5
 TOXIC_AT = 0.5
-#: Standard errors by which a word has to be more frequent in toxic texts.
-LEAST_Z = 3.5
+#: What makes a word telling: standard errors by which it is more frequent in toxic texts, and the share of toxic ones
+#: among texts that have it, if both kinds were as many.
+LEAST_Z, LEAST_SHARE = 4.0, 0.9
+TOXIC_SAMPLE = 2000
 PREFIX = 4
 MIN_WORDS, MAX_REPEATED_PERCENT = 10, 20
 REPEAT_WINDOW = 5
@@ -176,7 +178,8 @@ def fit(texts: pa.Array, good: np.ndarray, share_good: float) -> Model | None:
 
 @dataclass
 class Toxic:
-    """Words (hashes, sorted) that speak for toxicity, and their weights; a text's margin is the sum over its distinct ones."""
+    """Words (hashes, sorted) that speak for toxicity, and their weights; a text's margin is the greatest of them, since one
+    such word is enough and many forms of one word say no more."""
 
     words: np.ndarray
     weights: np.ndarray
@@ -187,8 +190,9 @@ class Toxic:
         text, hashes = plain_words(texts)
         where = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
         at = np.flatnonzero(self.words[where] == hashes)
-        text, which = np.divmod(np.unique(text[at] * len(self.words) + where[at]), len(self.words))
-        return np.bincount(text, weights=self.weights[which], minlength=len(texts))
+        out = np.zeros(len(texts))
+        np.maximum.at(out, text[at], self.weights[where[at]])
+        return out
 
     def probabilities(self, texts: pa.Array) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * self.margins(texts) + self.offset, -50, 50)))
@@ -205,22 +209,22 @@ def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def fit_toxic(texts: pa.Array, toxic: np.ndarray, share_toxic: float) -> Toxic | None:
-    """share_toxic: of all labels, for the prior. The words are those whose share of toxic texts is above that of the
-    others by LEAST_Z standard errors; weights are their log odds."""
+    """share_toxic: of all labels, for the prior. Weights are log odds."""
     if len(toxic) < 10 or toxic.min() == toxic.max():
         return None
-    text, hashes = plain_words(texts)
-    known, which = np.unique(hashes, return_inverse=True)
+    each = [np.unique(plain_words(texts.slice(i, 1))[1]) for i in range(len(texts))]  # a text at a time, so only distinct words are held
+    text = np.repeat(np.arange(len(each)), [len(e) for e in each])
+    known, which = np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *each]), return_inverse=True)
     if not len(known):
         return None
-    text, which = np.divmod(np.unique(text * len(known) + which), len(known))
 
     def learned(rows: np.ndarray) -> Toxic | None:
         n = [int((rows & (toxic == v)).sum()) for v in (0, 1)]
         has = [np.bincount(which[(rows & (toxic == v))[text]], minlength=len(known)) for v in (0, 1)]
         p = (has[0] + has[1]) / max(1, sum(n))
         z = (has[1] / max(1, n[1]) - has[0] / max(1, n[0])) / np.sqrt(p * (1 - p) * (1 / max(1, n[0]) + 1 / max(1, n[1])) + 1e-12)
-        speak = (z >= LEAST_Z) & (has[1] >= 2)
+        share = [(h + 0.5) / (k + 1) for h, k in zip(has, n, strict=True)]
+        speak = (z >= LEAST_Z) & (has[1] >= 2) & (share[1] >= LEAST_SHARE * (share[0] + share[1]))
         weight = [np.log((h + 0.5) / (k - h + 0.5)) for h, k in zip(has, n, strict=True)]
         return Toxic(known[speak], (weight[1] - weight[0])[speak], 1.0, 0.0) if speak.any() else None
 
@@ -238,9 +242,9 @@ QUALITY, TOXIC = 0, 1
 TRAINED_DDL = "kind int, weights binary, words binary, bias double, slope double, offset double"
 
 
-def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, toxic: str = "toxic") -> Model | None:
-    """The model, from at most sample labelled rows of each class; of toxicity too where labels have that column. Each fit
-    runs in one executor task over its sample."""
+def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", sample: int = SAMPLE, toxic: str = "toxic", toxic_sample: int = TOXIC_SAMPLE) -> Model | None:
+    """The model, from at most sample labelled rows of each class; of toxicity too, from at most toxic_sample, where labels
+    have that column. Each fit runs in one executor task over its sample."""
 
     def known(name: str, value: Column) -> DataFrame:
         found = labels.where(F.col(name).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(value.alias("yes"))
@@ -254,7 +258,8 @@ def train(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str
         counts = {r.yes: r.n for r in found.groupBy("yes").agg(F.count("*").alias("n")).collect()}
         if len(counts) == 2:
             shares[kind] = counts[True] / sum(counts.values())
-            parts += [found.where(F.col("yes") == v).orderBy("order", "doc_id").limit(sample).withColumn("kind", F.lit(kind)) for v in (True, False)]
+            size = sample if kind == QUALITY else toxic_sample
+            parts += [found.where(F.col("yes") == v).orderBy("order", "doc_id").limit(size).withColumn("kind", F.lit(kind)) for v in (True, False)]
     if QUALITY not in shares:
         return None
     chosen = F.broadcast(reduce(DataFrame.unionByName, parts))
