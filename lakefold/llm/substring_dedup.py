@@ -129,7 +129,11 @@ def _probe(block: int, buckets: int, parts: int):
             for kind, chosen in ((0, sent & aligned), (1, sent & ~aligned)):
                 found = codes[chosen]
                 rows += _blobs((found >> np.uint64(32)).astype(np.int32), docs[chosen], (found & LOW).astype("<u4"), kind, grouped=True)
-            yield _batch(rows)
+            del codes, docs, aligned, hit, sent
+            out = _batch(rows)
+            rows.clear()
+            textkit.release_memory()
+            yield out
 
         for piece in textkit.pieces(batches, "text"):
             words = textkit.words_of(textkit.column(piece, "text"))
@@ -173,6 +177,18 @@ def _with(table: pa.Table, kind: int, rows: list[tuple]) -> pa.Table:
     return pa.concat_tables([passed, pa.Table.from_batches([_batch(rows)])])
 
 
+def _released(run):
+    """run, and the memory that it has freed goes back before the next group comes."""
+
+    def wrapped(*args):
+        out = run(*args)
+        textkit.release_memory()
+        return out
+
+    # the number of parameters tells Spark whether a function wants the key
+    return (lambda key, a: wrapped(key, a)) if run.__code__.co_argcount == 2 else (lambda key, a, b: wrapped(key, a, b))
+
+
 def _hits(parts: int):
     """Of one bucket: the codes that two documents share, sent to the parts of both."""
 
@@ -210,7 +226,7 @@ def _repeats(parts: int):
 
 
 def _documents(table: pa.Table) -> Iterator[pa.RecordBatch]:
-    return textkit.pieces(iter(table.combine_chunks().to_batches()), "text")
+    return textkit.pieces(iter(table.to_batches()), "text")
 
 
 def _ids(piece: pa.RecordBatch) -> np.ndarray:
@@ -311,8 +327,8 @@ def _cut(n: int, schema: pa.Schema, text: str):
     return run
 
 
-def find_repeats(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs (without columns named as the added ones) with n_words, n_removed, removed (ranges of word positions) and
+def find_repeats(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text: str = "text", keep_text: bool = True) -> DataFrame:
+    """docs (without columns named as the added ones, and without text unless keep_text) with n_words, n_removed, removed (ranges of word positions) and
     kept_text: the text with the removed words, and the white space after them, cut out."""
     spark = docs.sparkSession
     block = (n + 1) // 2
@@ -323,17 +339,17 @@ def find_repeats(docs: DataFrame, n: int = WINDOW, doc_id: str = "doc_id", text:
     docs = docs.drop(*REST, PART).withColumn("text", F.coalesce("text", F.lit(""))).withColumn("doc_id", F.col("doc_id").cast("bigint"))
     dealt = docs.withColumn(PART, part_column("doc_id", parts))
     probes = docs.select("doc_id", "text").mapInArrow(_probe(block, buckets, parts), BLOBS_DDL)
-    hits = probes.groupBy("bucket").applyInArrow(_hits(parts), BLOBS_DDL).withColumnRenamed("bucket", PART)
-    windows = dealt.groupBy(PART).cogroup(hits.groupBy(PART)).applyInArrow(_extend(n, block, buckets, parts), BLOBS_DDL)
-    repeats = windows.groupBy("bucket").applyInArrow(_repeats(parts), BLOBS_DDL).withColumnRenamed("bucket", PART)
+    hits = probes.groupBy("bucket").applyInArrow(_released(_hits(parts)), BLOBS_DDL).withColumnRenamed("bucket", PART)
+    windows = dealt.groupBy(PART).cogroup(hits.groupBy(PART)).applyInArrow(_released(_extend(n, block, buckets, parts)), BLOBS_DDL)
+    repeats = windows.groupBy("bucket").applyInArrow(_released(_repeats(parts)), BLOBS_DDL).withColumnRenamed("bucket", PART)
     from pyspark.sql.pandas.types import to_arrow_schema
     from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
     span = StructType([StructField("start", IntegerType()), StructField("end", IntegerType())])
     added = [StructField("n_words", LongType()), StructField("n_removed", LongType()), StructField("removed", ArrayType(span)), StructField("kept_text", StringType())]
-    schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema), *added])
+    schema = StructType([*(StructField(f.name, f.dataType) for f in docs.schema if keep_text or f.name != "text"), *added])
     again = docs.withColumn(PART, part_column("doc_id", parts))
-    return again.groupBy(PART).cogroup(repeats.groupBy(PART)).applyInArrow(_cut(n, to_arrow_schema(schema), text), schema)
+    return again.groupBy(PART).cogroup(repeats.groupBy(PART)).applyInArrow(_released(_cut(n, to_arrow_schema(schema), text)), schema)
 
 
 def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -346,4 +362,4 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return find_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_text").mapInArrow(_digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")
+    return find_repeats(docs, keep_text=False).select("doc_id", "n_words", "n_removed", "kept_text").mapInArrow(_digest, "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string")

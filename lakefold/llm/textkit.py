@@ -7,6 +7,7 @@ polynomial sums of word hashes, mixed again.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -70,6 +71,21 @@ class Words:
         return span_hashes(self.data, self.starts, self.ends, which)
 
 
+_TRIM = None
+
+
+def release_memory() -> None:
+    """Gives freed memory back to the system, so that a worker holds what its present group needs and no more."""
+    global _TRIM
+    if _TRIM is None:
+        try:
+            _TRIM = ctypes.CDLL(None).malloc_trim
+        except (OSError, AttributeError):  # another C library
+            _TRIM = lambda _: 0
+    pa.default_memory_pool().release_unused()
+    _TRIM(0)
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: int = 0) -> np.ndarray:
     """A hash of each run of bytes data[starts[i]:ends[i]]; starts and ends ascend. Work arrays are as long as a few
     PIECE_BYTES, however long the data."""
@@ -77,9 +93,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, which: i
     done = 0
     while done < len(starts):
         base = int(starts[done])
-        stop = max(done + 1, int(np.searchsorted(ends, base + 2 * PIECE_BYTES, side="right")))
+        stop = max(done + 1, int(np.searchsorted(ends, base + PIECE_BYTES, side="right")))
         size = int(ends[stop - 1]) - base
-        if size > 2 * PIECE_BYTES:  # one long run
+        if size > PIECE_BYTES:  # one long run
             power, _ = _powers(which, PIECE_BYTES)
             step, factor, total = int(power[PIECE_BYTES - 1]) * _BASES[which] % (1 << 64), 1, 0
             for a in range(base, base + size, PIECE_BYTES):
