@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakefold.llm import brown_lm, chat_format, decontaminate, html_text, near_dedup, packing, periodic_runs, quality, substring_dedup, token_store, viterbi_count
+from lakefold.llm import brown_lm, chat_format, decontaminate, html_text, near_dedup, packing, periodic_runs, quality, spelling_variants, substring_dedup, token_store, viterbi_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": brown_lm.op1_brown_lm,
@@ -19,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html_text": html_text.op8_html_text,
     "op9_packing": packing.op9_packing,
     "op10_decontaminate": decontaminate.op10_decontaminate,
+    "op11_spelling_variants": spelling_variants.op11_spelling_variants,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
 }
 ORACLES: dict[str, str] = {
