@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakefold.llm import brown_lm, chat_format, decontaminate, html_text, near_dedup, packing, periodic_runs, quality, spelling_variants, substring_dedup, token_store, viterbi_count
+from lakefold.llm import brown_lm, chat_format, decontaminate, html_text, near_dedup, packing, periodic_runs, quality, spelling_variants, substring_dedup, token_store, topk_search, viterbi_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_brown_lm": brown_lm.op1_brown_lm,
@@ -21,7 +21,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": decontaminate.op10_decontaminate,
     "op11_spelling_variants": spelling_variants.op11_spelling_variants,
     "op12_periodic_runs": periodic_runs.op12_periodic_runs,
+    "op13_topk_search": topk_search.op13_topk_search,
 }
 ORACLES: dict[str, str] = {
     "op3_chat_format": chat_format.ORACLE,
+    "op13_topk_search": topk_search.ORACLE,
 }
