@@ -2,65 +2,18 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
 from lakefold.functions import text as T
+from lakefold.operators import leaders
+from lakefold.operators.names import similar_values
 
 
 def cluster_records(df: DataFrame, row_id: str, name: str, exact: str, least: float = 0.9) -> DataFrame:
-    """row_id, cluster: in order of row_id a record joins the first cluster whose first record has the same exact column
-    and a name similarity of least or more, else begins one. A cluster is named by its first record."""
-    kind = df.schema[row_id].dataType.simpleString()
-
-    def assign(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(row_id)
-        heads: list[tuple[str, object]] = []
-        labels = []
-        for i, n in zip(rows[row_id], rows[name].fillna(""), strict=True):
-            found = next((h for text, h in heads if text == n or SequenceMatcher(None, text, n).ratio() >= least), None)
-            if found is None:
-                heads.append((n, i))
-                found = i
-            labels.append(found)
-        return pd.DataFrame({row_id: rows[row_id], "cluster": labels})
-
-    return df.select(row_id, name, exact).groupBy(exact).applyInPandas(assign, f"{row_id} {kind}, cluster {kind}")
-
-
-def _similar_values(left: DataFrame, right: DataFrame, least: float) -> DataFrame:
-    """a, b, similarity: of the distinct values of two one-column tables, those with a similarity_ratio of least or more.
-
-    The ratio is twice the characters that match over both lengths, so two such values share at least the characters that
-    least asks for, counted with multiplicity, and the longer is at most 2 / least - 1 times as long. With the characters
-    of each value in one order, the rarest first, both have one of their first few in common: an equi join on these finds
-    every pair, and counts of shared characters leave few for the ratio itself.
-    """
-
-    def signs(df: DataFrame) -> DataFrame:
-        value = df.toDF("value").where("value <> ''").distinct()
-        letters = F.array_sort(F.split(F.lower("value"), ""))
-        numbered = F.transform(letters, lambda c, i: F.struct(c.alias("c"), (i - F.array_position(letters, c) + 1).alias("k")))
-        return value.withColumn("signs", F.transform(numbered, lambda x: F.concat_ws("#", x["c"], x["k"].cast("string"))))
-
-    a, b = signs(left), signs(right)
-    often = b.select(F.explode("signs").alias("sign")).groupBy("sign").agg(F.count("*").alias("n"))
-
-    def first_signs(df: DataFrame, name: str) -> DataFrame:
-        each = df.select("value", F.explode("signs").alias("sign")).join(often, "sign", "left")
-        ordered = each.groupBy("value").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "sign"))).alias("o"))
-        # shared signs >= least / 2 * (own + other) and other >= own * least / (2 - least)
-        shared = F.ceil(F.size("o") * (least / (2 - least)) - 1e-9)
-        return ordered.select(F.col("value").alias(name), F.explode(F.slice(F.transform("o", lambda x: x["sign"]), 1, F.size("o") - shared.cast("int") + 1)).alias("sign"))
-
-    met = first_signs(a, "a").join(first_signs(b, "b"), "sign").select("a", "b").distinct()
-    both = met.join(a.toDF("a", "sa"), "a").join(b.toDF("b", "sb"), "b")
-    enough = F.size(F.array_intersect("sa", "sb")) * 2 >= least * (F.size("sa") + F.size("sb")) - 1e-9
-    return both.where(enough).select("a", "b", T.similarity_ratio(F.col("a"), F.col("b")).alias("similarity")).where(F.col("similarity") >= least - 1e-9)
+    """row_id, cluster: leader clustering by names alone."""
+    return leaders.cluster(df, row_id, name, exact, least)
 
 
 def resolve(records: DataFrame, items: DataFrame, least: float = 0.8) -> DataFrame:
@@ -72,7 +25,7 @@ def resolve(records: DataFrame, items: DataFrame, least: float = 0.8) -> DataFra
     year against it, so items are met through the distinct producers that are so similar.
     """
     side = lambda d, i, p: d.select(i, *(F.col(c).alias(f"{p}_{c}") for c in ("producer", "name", "year")))
-    near = _similar_values(records.select("producer"), items.select("producer"), (least - 0.4) / 0.6).toDF("r_producer", "i_producer", "producers")
+    near = similar_values(records.select("producer"), items.select("producer"), (least - 0.4) / 0.6).toDF("r_producer", "i_producer", "producers")
     both = side(records, "record_id", "r").join(near, "r_producer").join(side(items, "item_id", "i"), "i_producer")
     conflict = F.col("r_year").isNotNull() & F.col("i_year").isNotNull() & (F.col("r_year") != F.col("i_year"))
     # the names' ratio is at most twice the shorter over both lengths

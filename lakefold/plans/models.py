@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakefold.operators import processes
+from lakefold.operators import leaders, processes
 from lakefold.operators.processes import Block
 from lakefold.plans.book import Book, Tables
 from lakefold.plans.evaluation import ratings
@@ -60,3 +60,13 @@ def process_batches(t: Tables) -> DataFrame:
 def ordinal_probabilities(t: Tables) -> DataFrame:
     learnt, asked = learnt_and_asked(t)
     return processes.rating_probabilities(learnt.withColumn("rating", F.floor("rating") + 1), asked, "user_id", "item", "rating", BLOCKS)
+
+
+#: The sequential rule, a record at a time. Of the parts' names, only cold and old ones of the same noun are as alike as 0.9.
+@BOOK.add("""WITH RECURSIVE r AS (SELECT row_number() OVER (ORDER BY vec_id) AS n, vec_id, p_name, label % 4 AS y, embedding::DOUBLE[] AS v FROM embeddings JOIN part ON p_partkey = vec_id),
+near AS (SELECT a.n, list(b.n) AS near FROM r a JOIN r b ON b.n < a.n AND a.y = b.y AND (replace(a.p_name, 'cold ', 'old ') = replace(b.p_name, 'cold ', 'old ') OR list_inner_product(a.v, b.v) >= 0.35) GROUP BY a.n),
+s(n, leads, led) AS (SELECT 0::BIGINT, []::BIGINT[], 0::BIGINT UNION ALL SELECT n + 1, CASE WHEN len(hit) = 0 THEN list_append(leads, n + 1) ELSE leads END, coalesce(hit[1], n + 1) FROM (SELECT s.n, leads, list_sort(list_intersect(leads, coalesce(near, []::BIGINT[]))) AS hit FROM s LEFT JOIN near ON near.n = s.n + 1 WHERE s.n < (SELECT count(*) FROM r)))
+SELECT r.vec_id, l.vec_id AS cluster FROM s JOIN r USING (n) JOIN r l ON l.n = s.led""")
+def picture_clusters(t: Tables) -> DataFrame:
+    rows = t.embeddings.join(t.part.select(F.col("p_partkey").alias("vec_id"), "p_name"), "vec_id").withColumn("year", F.col("label") % 4)
+    return leaders.cluster(rows, "vec_id", "p_name", "year", 0.9, "embedding", 0.35)
