@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakefold.operators import leaders, processes
+from lakefold.operators import encoders, leaders, processes
 from lakefold.operators.processes import Block
 from lakefold.plans.book import Book, Tables
 from lakefold.plans.evaluation import ratings
@@ -70,3 +70,32 @@ SELECT r.vec_id, l.vec_id AS cluster FROM s JOIN r USING (n) JOIN r l ON l.n = s
 def picture_clusters(t: Tables) -> DataFrame:
     rows = t.embeddings.join(t.part.select(F.col("p_partkey").alias("vec_id"), "p_name"), "vec_id").withColumn("year", F.col("label") % 4)
     return leaders.cluster(rows, "vec_id", "p_name", "year", 0.9, "embedding", 0.35)
+
+
+SQL_BLENDS = """p AS (SELECT p_partkey, p_size, p_name, string_split(p_name, ' ') AS w FROM part), m AS (SELECT p_partkey, p_size, p_name, unnest(w) AS member, CASE WHEN p_size % 3 = 1 THEN unnest([3.0, 1.0]) WHEN p_size % 3 = 2 THEN unnest([0.0, p_size % 2]) ELSE unnest([1.0, 1.0]) END AS weight FROM p),
+e AS (SELECT p_partkey, p_name, member, weight / sum(weight) OVER (PARTITION BY p_partkey) AS share FROM m QUALIFY sum(weight) OVER (PARTITION BY p_partkey) > 0),
+f AS (SELECT member, sum(share) / sum(sum(share)) OVER () AS marginal FROM e WHERE p_name < 'm' GROUP BY member)"""
+
+
+def blends(t: Tables) -> DataFrame:
+    """Parts with their name's two words as a blend, written in each of the three ways; some shares are all zero."""
+    word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
+    written = F.when(F.col("p_size") % 3 == 1, F.format_string("{'%s': 3, '%s': 1.0}", word(1), word(2))).when(F.col("p_size") % 3 == 2, F.format_string("[('%s', 0), ('%s', %d)]", word(1), word(2), F.col("p_size") % 2)).otherwise(F.format_string("['%s', '%s']", word(1), word(2)))
+    return t.part.select("p_partkey", "p_name", encoders.blend(written).alias("members"))
+
+
+@BOOK.add(f"""WITH {SQL_BLENDS}, u AS (SELECT p.p_partkey, CASE WHEN count(e.member) = 0 THEN 1.0 ELSE coalesce(sum(e.share) FILTER (WHERE f.member IS NULL), 0) END AS unknown FROM p LEFT JOIN e ON e.p_partkey = p.p_partkey LEFT JOIN f ON f.member = e.member GROUP BY p.p_partkey)
+SELECT u.p_partkey, list(round(coalesce(e.share, 0) + unknown * marginal, 6) ORDER BY f.member) AS vector FROM u CROSS JOIN f LEFT JOIN e ON e.p_partkey = u.p_partkey AND e.member = f.member GROUP BY u.p_partkey""")
+def blend_shares(t: Tables) -> DataFrame:
+    """Fitted on names before m: other names' first words are unknown."""
+    b = blends(t)
+    out = encoders.share_vectors(b, "p_partkey", "members", encoders.fit_members(b.where("p_name < 'm'"), "members"))
+    return out.select("p_partkey", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+@BOOK.add(f"""WITH {SQL_BLENDS}, u AS (SELECT p.p_partkey, count(f.member) AS known FROM p LEFT JOIN e ON e.p_partkey = p.p_partkey LEFT JOIN f ON f.member = e.member GROUP BY p.p_partkey), n AS (SELECT sqrt(sum(marginal * marginal)) AS length FROM f)
+SELECT u.p_partkey, list(round(CASE WHEN known = 0 THEN marginal / length WHEN e.member IS NULL THEN 0 ELSE 1 / sqrt(known) END, 6) ORDER BY f.member) AS vector FROM u CROSS JOIN f CROSS JOIN n LEFT JOIN e ON e.p_partkey = u.p_partkey AND e.member = f.member GROUP BY u.p_partkey""")
+def blend_presence(t: Tables) -> DataFrame:
+    b = blends(t)
+    out = encoders.presence_vectors(b, "p_partkey", "members", encoders.fit_members(b.where("p_name < 'm'"), "members"))
+    return out.select("p_partkey", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
