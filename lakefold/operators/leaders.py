@@ -10,14 +10,16 @@ record only.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
 from lakefold.operators.names import similar_values
+from lakefold.operators.similarity import blocked_pairs
 from lakefold.session import written
 
 BLOCK_VECTORS = 4096
@@ -48,33 +50,17 @@ def leaders(members: DataFrame, links: DataFrame) -> DataFrame:
     return new.select("row_id", "leads").join(least, "row_id", "left").select("row_id", F.when(F.col("leads"), F.col("row_id")).otherwise(F.col("led")).alias("leader"))
 
 
-def _compare(least: float):
-    """Pairs of a cell's vectors with a product of least or more; in a cell of two blocks, one of each."""
-
-    def run(table: pa.Table) -> pa.Table:
-        a, b = (table[c][0].as_py() for c in "ab")
-        side = lambda block: table.filter(pc.equal(table["block"], block))
-        matrix = lambda t: np.asarray(t["v"].combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1)
-        left, right = side(a), side(b)
-        out = []
-        if left.num_rows and right.num_rows:
-            x, y = matrix(left), matrix(right)
-            for at in range(0, len(x), 512):
-                i, j = np.nonzero(x[at : at + 512] @ y.T >= least)
-                out.append(pa.table({"a": left["first"].take(pa.array(i + at)), "b": right["first"].take(pa.array(j))}))
-        return pa.concat_tables(out) if out else table.slice(0, 0).select(["first", "first"]).rename_columns(["a", "b"])
-
-    return run
-
-
 def close_vectors(vectors: DataFrame, group: str, least: float, block: int = BLOCK_VECTORS) -> DataFrame:
     """a, b: of the vectors (first, group, v: unit vectors of one length) of equal group, those with an inner product of
-    least or more, either way round. Each two blocks of a group are a task's work, so a group may be as large as it likes."""
-    sizes = vectors.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    dealt = vectors.alias("x").join(sizes.alias("s"), F.col(f"x.{group}").eqNullSafe(F.col(f"s.{group}"))).select("first", F.col(f"x.{group}").alias("g"), "v", "blocks", F.pmod(F.xxhash64("first"), F.col("blocks")).cast("int").alias("block"))
-    cells = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("first", "v", "block", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), F.struct("g", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b")).alias("cell"))
-    kind = vectors.schema["first"].dataType.simpleString()
-    found = cells.groupBy("cell").applyInArrow(_compare(least), f"a {kind}, b {kind}")
+    least or more, either way round."""
+
+    def close(x: pa.Table, y: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, right = (np.asarray(t["v"].combine_chunks().flatten(), dtype=np.float64).reshape(t.num_rows, -1) for t in (x, y))
+        for at in range(0, len(left), 512):
+            i, j = np.nonzero(left[at : at + 512] @ right.T >= least)
+            yield i + at, j
+
+    found = blocked_pairs(vectors.select(F.col("first").alias("id"), F.col(group).alias("group"), "v"), close, block)
     return found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b")))
 
 

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -138,13 +139,50 @@ def hamming_pairs(rows: DataFrame, row_id: str, bits: str, owner: Column | str,
     return met.where(F.col("no") == first).select("a", "b", A.hamming(F.col("ha"), F.col("hb")).cast("int").alias("distance")).where(F.col("distance") < below)
 
 
-def hamming_band(rows: DataFrame, row_id: str, bits: str, owner: str, low: int, high: int) -> DataFrame:
-    """Pairs of different owners at a distance from low to high: chunks cannot prune a wide band, so every pair is
-    compared. For small reviewed sets; the caller states the rows."""
-    left = rows.where(F.col(bits).isNotNull()).select(F.col(row_id).alias("a"), F.col(bits).alias("ha"), F.col(owner).alias("oa"))
-    right = rows.where(F.col(bits).isNotNull()).select(F.col(row_id).alias("b"), F.col(bits).alias("hb"), F.col(owner).alias("ob"))
-    d = A.hamming(F.col("ha"), F.col("hb"))
-    return left.join(right, (F.col("a") < F.col("b")) & ~F.col("oa").eqNullSafe(F.col("ob")) & d.between(low, high)).select("a", "b", d.cast("int").alias("distance"))
+def blocked_pairs(rows: DataFrame, near: Callable[[pa.Table, pa.Table], Iterator[tuple[np.ndarray, np.ndarray]]], block: int = 4096) -> DataFrame:
+    """a, b: ids of the pairs of rows (id, group, and what near reads) of equal group that near finds, each pair of rows
+    looked at once; within a block a row also meets itself and comes from either side.
+
+    Each two blocks of a group are one task's work, so a group may be as large as it likes, and only what is found leaves
+    a task. near gets two tables and gives the places of pairs. Exact for conditions that no key can find.
+    """
+    sizes = rows.groupBy("group").agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    met = rows.alias("r").join(sizes.alias("s"), F.col("r.group").eqNullSafe(F.col("s.group"))).select("r.*", "_blocks")
+    dealt = met.withColumn("_block", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
+    low, high = F.least("_block", "_with"), F.greatest("_block", "_with")
+    cells = dealt.withColumn("_with", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).withColumns({"_a": low, "_b": high, "_cell": F.struct("group", low.alias("a"), high.alias("b"))}).drop("_with", "_blocks")
+    kind = rows.schema["id"].dataType
+
+    def run(table: pa.Table) -> pa.Table:
+        left, right = (table.filter(pc.equal(table["_block"], table[c][0].as_py())) for c in ("_a", "_b"))
+        ids = left["id"].combine_chunks(), right["id"].combine_chunks()
+        found = [pa.table({"a": ids[0].take(pa.array(i)), "b": ids[1].take(pa.array(j))}) for i, j in near(left, right)] if left.num_rows and right.num_rows else []
+        return pa.concat_tables([pa.table({"a": ids[0][:0], "b": ids[0][:0]}), *found])
+
+    return cells.groupBy("_cell").applyInArrow(run, f"a {kind.simpleString()}, b {kind.simpleString()}")
+
+
+def hamming_band(rows: DataFrame, row_id: str, bits: str, owner: str, low: int, high: int, block: int = 8192) -> DataFrame:
+    """a, b, distance: pairs (a < b) of different owners at a distance from low to high; null hashes match nothing.
+
+    A band as wide as 8 to 16 of 64 bits has more neighbours of each chunk of a hash than there are rows, so no index of
+    chunks prunes it: hashes are compared block by block, equal hashes once.
+    """
+    known = rows.where(F.col(bits).isNotNull()).select(F.col(row_id).alias("id"), F.col(bits).cast("bigint").alias("h"), F.col(owner).alias("o"))
+    distinct = known.select("h").distinct().select(F.col("h").alias("id"), F.lit(0).alias("group"))
+
+    def near(x: pa.Table, y: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        left, right = (t["id"].to_numpy().view(np.uint64) for t in (x, y))
+        for at in range(0, len(left), 256):
+            d = np.bitwise_count(left[at : at + 256, None] ^ right[None])
+            i, j = np.nonzero((d >= low) & (d <= high))
+            yield i + at, j
+
+    found = blocked_pairs(distinct, near, block)
+    pairs = found.unionByName(found.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    side = lambda c: known.select(F.col("id").alias(c), F.col("h").alias(f"h{c}"), F.col("o").alias(f"o{c}"))
+    met = pairs.toDF("ha", "hb").join(side("a"), "ha").join(side("b"), "hb")
+    return met.where((F.col("a") < F.col("b")) & ~F.col("oa").eqNullSafe(F.col("ob"))).select("a", "b", A.hamming(F.col("ha"), F.col("hb")).cast("int").alias("distance"))
 
 
 def without_duplicates(rows: DataFrame, row_id: str, pairs: DataFrame) -> DataFrame:

@@ -199,13 +199,13 @@ def parsed_fields(t: Tables) -> DataFrame:
 
 
 @BOOK.add("""WITH q AS (SELECT vec_id // 200 AS query_id, (['front', 'back'])[vec_id // 100 % 2 + 1] AS view, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
-s AS (SELECT query_id, vec_id AS item_id, view, round(list_inner_product(v, embedding::DOUBLE[]), 9) AS cosine FROM q JOIN embeddings ON vec_id % 50 = 7)
+s AS (SELECT query_id, vec_id AS item_id, view, round(list_inner_product(v, embedding::DOUBLE[]), 9) AS cosine FROM q CROSS JOIN embeddings)
 SELECT query_id, item_id, round(max(cosine), 6) AS best, arg_min(view, (-cosine, view)) AS best_view FROM s GROUP BY ALL""")
 def best_views(t: Tables) -> DataFrame:
-    """The best of a query's two views of each item. The fiftieth part of the pictures stands for a gallery."""
+    """The best of a query's two views of each item."""
     e = t.embeddings
     asked = e.where("vec_id % 100 = 0").select((F.floor(F.col("vec_id") / 200)).cast("bigint").alias("query_id"), _pick(("front", "back"), F.floor(F.col("vec_id") / 100)).alias("view"), "vec_id")
-    found = similarity.cosine_top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.where("vec_id % 50 = 7").select(F.col("vec_id").alias("item_id"), "embedding"), 1 << 20)
+    found = similarity.cosine_top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding"), 1 << 20)
     scores = found.select(F.col("query_id").alias("vec_id"), "item_id", F.round("cosine", 9).alias("cosine")).join(asked, "vec_id")
     return similarity.over_views(scores, "query_id", "item_id", "view", "cosine").select("query_id", "item_id", F.round("best", 6).alias("best"), "best_view")
 
@@ -253,16 +253,15 @@ def catalog_rows(t: Tables) -> DataFrame:
     return read.select("slug", F.regexp_replace("name", "\n.*", "").alias("name"), "row")
 
 
-#: Of 20 sign bits, so that some given pictures are near one another.
-SQL_BAND = """h AS (SELECT vec_id, label, list_reduce(list_transform(embedding[1:20], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END), lambda a, b: a * 2 + b)::BIGINT AS h FROM embeddings WHERE vec_id % 5 = 0),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance, a.label % 3 AS sa, b.label % 3 AS sb FROM h a JOIN h b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE bit_count(xor(a.h, b.h)) BETWEEN 2 AND 4)"""
+SQL_BAND = """h AS (SELECT vec_id, label, list_reduce(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::UBIGINT), lambda a, b: a * 2 + b)::UBIGINT AS h FROM embeddings),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS distance, a.label % 3 AS sa, b.label % 3 AS sb FROM h a JOIN h b ON a.vec_id < b.vec_id AND a.label <> b.label WHERE bit_count(xor(a.h, b.h)) BETWEEN 8 AND 16)"""
 
 
 @BOOK.add(f"WITH {SQL_BAND} SELECT a, b, distance, sa <> sb AS cross_split, (a % 2) = (b % 2) AS same_group FROM p")
 def reviewed_pairs(t: Tables) -> DataFrame:
-    """Pairs in a band of distances among the reviewed fifth of the pictures (the reviewed set is the operator's input)."""
+    """Pairs of pictures of different labels whose 64 sign bits differ in 8 to 16."""
     from lakefold.functions import arrays as A
 
-    e = t.embeddings.where("vec_id % 5 = 0").select("vec_id", "label", A.sign_bits(F.col("embedding"), 20).alias("h"))
-    pairs = similarity.hamming_band(e, "vec_id", "h", "label", 2, 4)
+    e = t.embeddings.select("vec_id", "label", A.sign_bits(F.col("embedding"), 64).alias("h"))
+    pairs = similarity.hamming_band(e, "vec_id", "h", "label", 8, 16)
     return similarity.review_pairs(pairs, e.select("vec_id", (F.col("label") % 3).alias("split"), (F.col("vec_id") % 2).alias("g")), "vec_id", "split", "g")

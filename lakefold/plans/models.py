@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lakefold.operators import encoders, leaders, processes
+from lakefold.functions import arrays as A
+from lakefold.operators import class_report, encoders, leaders, processes
 from lakefold.operators.processes import Block
 from lakefold.plans.book import Book, Tables
 from lakefold.plans.evaluation import ratings
+from lakefold.session import written
 
 BOOK = Book()
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -80,8 +82,8 @@ f AS (SELECT member, sum(share) / sum(sum(share)) OVER () AS marginal FROM e WHE
 def blends(t: Tables) -> DataFrame:
     """Parts with their name's two words as a blend, written in each of the three ways; some shares are all zero."""
     word = lambda i: F.split_part("p_name", F.lit(" "), F.lit(i))
-    written = F.when(F.col("p_size") % 3 == 1, F.format_string("{'%s': 3, '%s': 1.0}", word(1), word(2))).when(F.col("p_size") % 3 == 2, F.format_string("[('%s', 0), ('%s', %d)]", word(1), word(2), F.col("p_size") % 2)).otherwise(F.format_string("['%s', '%s']", word(1), word(2)))
-    return t.part.select("p_partkey", "p_name", encoders.blend(written).alias("members"))
+    text = F.when(F.col("p_size") % 3 == 1, F.format_string("{'%s': 3, '%s': 1.0}", word(1), word(2))).when(F.col("p_size") % 3 == 2, F.format_string("[('%s', 0), ('%s', %d)]", word(1), word(2), F.col("p_size") % 2)).otherwise(F.format_string("['%s', '%s']", word(1), word(2)))
+    return t.part.select("p_partkey", "p_name", encoders.blend(text).alias("members"))
 
 
 @BOOK.add(f"""WITH {SQL_BLENDS}, u AS (SELECT p.p_partkey, CASE WHEN count(e.member) = 0 THEN 1.0 ELSE coalesce(sum(e.share) FILTER (WHERE f.member IS NULL), 0) END AS unknown FROM p LEFT JOIN e ON e.p_partkey = p.p_partkey LEFT JOIN f ON f.member = e.member GROUP BY p.p_partkey)
@@ -99,3 +101,47 @@ def blend_presence(t: Tables) -> DataFrame:
     b = blends(t)
     out = encoders.presence_vectors(b, "p_partkey", "members", encoders.fit_members(b.where("p_name < 'm'"), "members"))
     return out.select("p_partkey", F.transform("vector", lambda x: F.round(x, 6)).alias("vector"))
+
+
+#: Pictures with copies whose first 8 to 16 signs are turned; a class is shown by its first picture.
+SQL_CLASSES = """e AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 10000000, label, list_transform(embedding, lambda x, i: CASE WHEN i <= 8 + vec_id % 9 THEN -x ELSE x END) FROM embeddings WHERE vec_id % 3 = 0),
+q AS (SELECT vec_id AS query_id, vec_id % 40 AS source_group, CASE vec_id % 7 WHEN 0 THEN 'unknown' WHEN 1 THEN 'ambiguous' ELSE 'known' END AS gt_status, CASE WHEN vec_id % 7 > 1 THEN label END AS gt, embedding::DOUBLE[] AS v,
+ list_reduce(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::UBIGINT), lambda a, b: a * 2 + b)::UBIGINT AS hash FROM e),
+c AS (SELECT label AS id, arg_min(embedding, vec_id)::DOUBLE[] AS v, (CASE WHEN label % 2 = 0 THEN 'A bottle  of ' ELSE 'a bottle of ' END) || CASE WHEN label < 4 THEN 'x' ELSE CAST(label // 2 AS VARCHAR) END AS prompt FROM embeddings GROUP BY label),
+g AS (SELECT id, min(id) OVER (PARTITION BY prompt) AS grp, count(*) OVER (PARTITION BY prompt) AS n, min(id) OVER (PARTITION BY replace(lower(prompt), '  ', ' ')) AS ngrp, count(*) OVER (PARTITION BY replace(lower(prompt), '  ', ' ')) AS nn FROM c),
+r AS (SELECT query_id, gt, id, row_number() OVER (PARTITION BY query_id ORDER BY list_inner_product(q.v, c.v) DESC, id) AS rank FROM q CROSS JOIN c QUALIFY rank <= 5),
+t AS (SELECT query_id, arg_min(id, rank) AS top, coalesce(bool_or(id = gt), false) AS top5_correct FROM r GROUP BY query_id),
+w AS (SELECT query_id, source_group, gt_status, q.gt, hash, top, coalesce(top = q.gt, false) AS top1_correct, top5_correct, CASE WHEN a.n > 1 THEN 'ambiguous_prompt' ELSE 'ranked_only' END AS status, CASE WHEN a.n = 1 THEN top END AS predicted, CASE WHEN b.n > 1 THEN b.grp END AS gt_group, CASE WHEN b.nn > 1 THEN b.ngrp END AS gt_normalized_group,
+ coalesce(b.n > 1 AND b.grp <> a.grp, false) AS wrong_outside FROM q JOIN t USING (query_id) LEFT JOIN g a ON a.id = top LEFT JOIN g b ON b.id = q.gt)"""
+
+
+def class_tables(t: Tables) -> tuple[DataFrame, DataFrame]:
+    e = t.embeddings.select("vec_id", F.col("label").cast("bigint").alias("label"), F.col("embedding").cast("array<double>").alias("embedding"))
+    turned = e.where("vec_id % 3 = 0").withColumn("embedding", F.transform("embedding", lambda x, i: F.when(i < 8 + F.col("vec_id") % 9, -x).otherwise(x))).withColumn("vec_id", F.col("vec_id") + 10_000_000)
+    pictures = e.unionByName(turned)
+    status = F.when(F.col("vec_id") % 7 == 0, "unknown").when(F.col("vec_id") % 7 == 1, "ambiguous").otherwise("known")
+    queries = pictures.select(F.col("vec_id").alias("query_id"), (F.col("vec_id") % 40).alias("source_group"), status.alias("gt_status"), F.col("label").alias("gt"), A.sign_bits(F.col("embedding"), 64).alias("hash"), "embedding")
+    name = F.when(F.col("label") < 4, "x").otherwise(F.floor(F.col("label") / 2).cast("string"))
+    prompt = F.concat(F.when(F.col("label") % 2 == 0, "A bottle  of ").otherwise("a bottle of "), name)
+    classes = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding")).select(F.col("label").alias("id"), "embedding", F.array(prompt).alias("prompts"))
+    ranked = class_report.rank_classes(queries, classes, "query_id", "id", "embedding")
+    return class_report.class_rows(queries, ranked, classes), classes
+
+
+@BOOK.add(f"WITH {SQL_CLASSES} SELECT * EXCLUDE (hash) REPLACE (gt::VARCHAR AS gt, predicted::VARCHAR AS predicted, gt_group::VARCHAR AS gt_group, gt_normalized_group::VARCHAR AS gt_normalized_group) FROM w")
+def class_report_rows(t: Tables) -> DataFrame:
+    rows = class_tables(t)[0].drop("hash")
+    return rows.withColumns({c: F.col(c).cast("string") for c in ("gt", "predicted", "gt_group", "gt_normalized_group")})
+
+
+@BOOK.add(f"""WITH {SQL_CLASSES}, k AS (SELECT * FROM w WHERE gt_status = 'known'), p AS (SELECT a.query_id AS a, b.query_id AS b FROM k a JOIN k b ON a.query_id < b.query_id AND bit_count(xor(a.hash, b.hash)) BETWEEN 8 AND 16), h AS (SELECT a AS query_id FROM p UNION SELECT b FROM p),
+m AS (SELECT count(*)::DOUBLE AS total, count(*) FILTER (gt_status = 'known')::DOUBLE AS known, count(*) FILTER (gt_status = 'unknown')::DOUBLE AS unknown, count(*) FILTER (gt_status = 'ambiguous')::DOUBLE AS ambiguous_gt, count(DISTINCT source_group) FILTER (gt_status = 'known')::DOUBLE AS known_source_groups,
+ avg(top1_correct::INT) FILTER (gt_status = 'known') AS top1_known, avg(top5_correct::INT) FILTER (gt_status = 'known') AS top5_known, avg(top1_correct::INT) FILTER (query_id IN (SELECT query_id FROM h)) AS top1_known_hard, avg(top1_correct::INT) FILTER (gt_status = 'known' AND gt_group IS NULL) AS unique_prompt_top1,
+ avg((gt_group IS NOT NULL)::INT) FILTER (gt_status = 'known') AS known_gt_in_collision, avg((gt_normalized_group IS NOT NULL)::INT) FILTER (gt_status = 'known') AS known_gt_in_normalized_collision, avg(wrong_outside::INT) FILTER (gt_group IS NOT NULL) AS wrong_top1_outside_group,
+ avg((status = 'ambiguous_prompt')::INT) AS top1_ambiguous_prompt, count(*) FILTER (status = 'ranked_only')::DOUBLE AS status_ranked_only, (SELECT count(*) FROM p)::DOUBLE AS hard_pairs,
+ (SELECT count(DISTINCT grp) FROM g WHERE n > 1)::DOUBLE AS exact_groups, (SELECT count(*) FROM g WHERE n > 1)::DOUBLE AS exact_classes, (SELECT coalesce(max(n), 0) FROM g WHERE n > 1)::DOUBLE AS exact_largest_group, (SELECT count(*) FILTER (n > 1) / count(*) FROM g)::DOUBLE AS exact_class_fraction,
+ (SELECT count(DISTINCT ngrp) FROM g WHERE nn > 1)::DOUBLE AS normalized_groups, (SELECT count(*) FROM g WHERE nn > 1)::DOUBLE AS normalized_classes, (SELECT coalesce(max(nn), 0) FROM g WHERE nn > 1)::DOUBLE AS normalized_largest_group, (SELECT count(*) FILTER (nn > 1) / count(*) FROM g)::DOUBLE AS normalized_class_fraction FROM w)
+SELECT metric, round(value, 9) AS value FROM m UNPIVOT INCLUDE NULLS (value FOR metric IN (COLUMNS(*)))""")
+def class_report_metrics(t: Tables) -> DataFrame:
+    rows, classes = class_tables(t)
+    return class_report.class_metrics(written(rows, "class-rows"), classes).select("metric", F.round("value", 9).alias("value"))
