@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 #: States, which of them are final, and the order in which jobs are claimed.
 FINAL = ("done", "failed", "needs_review")
 PRIORITY = ("ready", "uploading", "queued", "submitted")
-LEASE_SECONDS, STALE_RESERVATION_SECONDS = 600, 180
+LEASE_SECONDS, STALE_RESERVATION_SECONDS, STALE_CALLBACK_SECONDS = 600, 180, 1800
 #: The state that follows an event.
 TRANSITIONS = {
     ("queued", "reserve"): "reserving", ("reserving", "reserved"): "uploading", ("reserving", "stale"): "needs_review", ("uploading", "uploaded"): "submitted",
@@ -22,6 +22,33 @@ def next_state(state: Column, event: Column) -> Column:
     return F.when(state.isin(*FINAL), state).when(event == "error", "failed").otherwise(F.coalesce(F.try_element_at(table, F.concat_ws("/", state, event)), state))
 
 
+def replay_timed(log: DataFrame, job: str, time: str, tie: str, event: str, until: Column) -> DataFrame:
+    """job, state, since, due: as replay(), with what time alone does. A reservation that has been open for more than
+    STALE_RESERVATION_SECONDS needs review, before a later event and at until. since: the last change. due: at until a
+    submitted job has waited for its callback for more than STALE_CALLBACK_SECONDS. Of a job's events those after until are
+    not seen."""
+    seconds = lambda at: F.unix_micros(at) / 1e6
+    stale = lambda s, now: (s["state"] == "reserving") & (seconds(now) - seconds(s["since"]) > STALE_RESERVATION_SECONDS)
+    both = lambda state, since: F.struct(state.alias("state"), since.alias("since"))
+
+    def waited(s: Column, now: Column) -> Column:
+        return F.when(stale(s, now), both(F.lit("needs_review"), F.timestamp_micros(F.unix_micros(s["since"]) + STALE_RESERVATION_SECONDS * 1_000_000))).otherwise(s)
+
+    def moved(s: Column, e: Column) -> Column:
+        return both(next_state(s["state"], e[event]), F.when(next_state(s["state"], e[event]) == s["state"], s["since"]).otherwise(e[time]))
+
+    log = log.withColumn(time, F.col(time).cast("timestamp"))
+    ordered = F.array_sort(F.collect_list(F.struct(time, tie, event)))
+    events = log.where(F.col(time) <= until).groupBy(job).agg(ordered.alias("_e"))
+    start = both(F.lit("queued"), F.col("_e")[0][time])
+    # an array of one names what time has left, so that its expression stands once
+    step = lambda s, e: F.transform(F.array(waited(s, e[time])), lambda w: moved(w, e))[0]
+    ended = F.aggregate("_e", start, step, lambda s: waited(s, until))
+    out = events.select(job, ended.alias("_s"))
+    due = (F.col("_s.state") == "submitted") & (seconds(until) - seconds(F.col("_s.since")) > STALE_CALLBACK_SECONDS)
+    return out.select(job, F.col("_s.state").alias("state"), F.col("_s.since").alias("since"), due.alias("due"))
+
+
 def replay(log: DataFrame, job: str, time: str, tie: str, event: str) -> DataFrame:
     """job, state, n_events: the state after each job's events in order; a job begins queued."""
     events = F.transform(F.array_sort(F.collect_list(F.struct(time, tie, event))), lambda e: e[event])

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
-from lakefold.operators import class_report, encoders, leaders, processes
+from lakefold.operators import class_report, encoders, jobs, leaders, processes
 from lakefold.operators.processes import Block
 from lakefold.plans.book import Book, Tables
 from lakefold.plans.evaluation import ratings
@@ -145,3 +145,19 @@ SELECT metric, round(value, 9) AS value FROM m UNPIVOT INCLUDE NULLS (value FOR
 def class_report_metrics(t: Tables) -> DataFrame:
     rows, classes = class_tables(t)
     return class_report.class_metrics(written(rows, "class-rows"), classes).select("metric", F.round("value", 9).alias("value"))
+
+
+@BOOK.add("""WITH RECURSIVE e AS (SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, ts, (['reserve', 'reserved', 'uploaded', 'result', 'stored', 'error', 'stale'])[CASE WHEN event_id % 40 = 0 THEN 6 ELSE event_id % 5 + 1 END] AS event FROM events WHERE ts <= TIMESTAMP '2024-01-20'),
+s AS (SELECT job, 0::BIGINT AS i, 'queued' AS state, ts AS since FROM e WHERE i = 1 UNION ALL
+  SELECT job, i, n, CASE WHEN n = w THEN since ELSE ts END FROM (SELECT *, CASE WHEN w IN ('done', 'failed', 'needs_review') THEN w WHEN event = 'error' THEN 'failed' WHEN w = 'queued' AND event = 'reserve' THEN 'reserving' WHEN w = 'reserving' AND event = 'reserved' THEN 'uploading'
+    WHEN w = 'uploading' AND event = 'uploaded' THEN 'submitted' WHEN w = 'submitted' AND event = 'result' THEN 'ready' WHEN w = 'ready' AND event = 'stored' THEN 'done' ELSE w END AS n
+    FROM (SELECT s.job, e.i, e.ts, e.event, CASE WHEN state = 'reserving' AND e.ts > since + INTERVAL 180 SECOND THEN 'needs_review' ELSE state END AS w, CASE WHEN state = 'reserving' AND e.ts > since + INTERVAL 180 SECOND THEN since + INTERVAL 180 SECOND ELSE since END AS since FROM s JOIN e ON e.job = s.job AND e.i = s.i + 1))),
+l AS (SELECT job, arg_max(state, i) AS state, arg_max(since, i) AS since FROM s GROUP BY job),
+x AS (SELECT job, CASE WHEN state = 'reserving' AND since + INTERVAL 180 SECOND < TIMESTAMP '2024-01-20' THEN 'needs_review' ELSE state END AS state, CASE WHEN state = 'reserving' AND since + INTERVAL 180 SECOND < TIMESTAMP '2024-01-20' THEN since + INTERVAL 180 SECOND ELSE since END AS since FROM l)
+SELECT job, state, since, state = 'submitted' AND since + INTERVAL 1800 SECOND < TIMESTAMP '2024-01-20' AS due FROM x""")
+def timed_jobs(t: Tables) -> DataFrame:
+    """The state of jobs on a day, with reservations that went stale and callbacks that are late."""
+    names = F.array(*map(F.lit, ("reserve", "reserved", "uploaded", "result", "stored", "error", "stale")))
+    number = F.when(F.col("event_id") % 40 == 0, 6).otherwise(F.col("event_id") % 5 + 1).cast("int")
+    log = t.events.select(F.col("user_id").alias("job"), "ts", "event_id", F.element_at(names, number).alias("event"))
+    return jobs.replay_timed(log, "job", "ts", "event_id", "event", F.expr("TIMESTAMP '2024-01-20'"))
