@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
-from lakefold.operators import class_report, encoders, jobs, leaders, processes
+from lakefold.operators import class_report, contrastive, encoders, jobs, leaders, processes
 from lakefold.operators.processes import Block
 from lakefold.plans.book import Book, Tables
 from lakefold.plans.evaluation import ratings
@@ -161,3 +161,41 @@ def timed_jobs(t: Tables) -> DataFrame:
     number = F.when(F.col("event_id") % 40 == 0, 6).otherwise(F.col("event_id") % 5 + 1).cast("int")
     log = t.events.select(F.col("user_id").alias("job"), "ts", "event_id", F.element_at(names, number).alias("event"))
     return jobs.replay_timed(log, "job", "ts", "event_id", "event", F.expr("TIMESTAMP '2024-01-20'"))
+
+
+@BOOK.add("""WITH e AS (SELECT a.vec_id, a.label, a.embedding::DOUBLE[] AS x, b.embedding::DOUBLE[] AS y, a.vec_id % 7 AS producer, a.vec_id % 23 AS t FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id % 23),
+l AS (SELECT a.label, a.vec_id AS i, b.vec_id AS j, list_inner_product(a.x, b.y) / 0.07 * CASE WHEN a.vec_id <> b.vec_id AND a.producer = b.producer THEN 2 ELSE 1 END AS z FROM e a JOIN e b ON a.label = b.label WHERE a.vec_id = b.vec_id OR a.t <> b.t),
+r AS (SELECT label, i, least(ln(sum(exp(z - 20))) + 20 - max(z) FILTER (i = j), -ln(1e-12)) AS loss FROM l GROUP BY label, i), c AS (SELECT label, j, least(ln(sum(exp(z - 20))) + 20 - max(z) FILTER (i = j), -ln(1e-12)) AS loss FROM l GROUP BY label, j),
+m AS (SELECT label, count(*) AS n, avg(loss) AS rows_loss FROM r GROUP BY label), d AS (SELECT label, avg(loss) AS columns_loss FROM c GROUP BY label)
+SELECT label, n, round(rows_loss, 6) AS rows_loss, round(columns_loss, 6) AS columns_loss, round((rows_loss + columns_loss) / 2, 6) AS loss FROM m JOIN d USING (label)""")
+def contrastive_losses(t: Tables) -> DataFrame:
+    """Each label's pictures as a batch; a picture's text is one of 23."""
+    texts = t.embeddings.select(F.col("vec_id").alias("t"), F.col("embedding").alias("y"))
+    rows = t.embeddings.withColumns({"t": F.col("vec_id") % 23, "producer": F.concat(F.lit("p"), F.col("vec_id") % 7)}).join(texts, "t")
+    out = contrastive.contrastive_loss(rows, "label", "vec_id", "embedding", "y", "producer", "t", block=32)
+    return out.select("label", "n", *(F.round(c, 6).alias(c) for c in ("rows_loss", "columns_loss", "loss")))
+
+
+#: Sums of the matrix by block would depend on how rows are dealt, so entries are compared by sums over rows.
+@BOOK.add("""WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings) SELECT a.vec_id, count(*) AS n, round(sum(0.05 + list_inner_product(a.v, b.v)), 5) AS total FROM e a CROSS JOIN e b GROUP BY a.vec_id""")
+def gram_sums(t: Tables) -> DataFrame:
+    """The sums of the rows of the plain kernel's Gram matrix, from the blocks of its upper triangle."""
+    kernel = processes.SumKernel((Block("embedding", "plain"),))
+    blocks = contrastive.gram_blocks(t.embeddings, "vec_id", ["embedding"], lambda x, y: kernel.gram(kernel.start, x, y), 256)
+    width = F.size("columns")
+    of_rows = F.transform("rows", lambda r, a: F.struct(r.alias("vec_id"), width.alias("n"), F.aggregate(F.slice("values", a * width + 1, width), F.lit(0.0), lambda s, x: s + x).alias("total")))
+    of_columns = F.transform("columns", lambda c, b: F.struct(c.alias("vec_id"), F.size("rows").alias("n"), F.aggregate(F.sequence(F.lit(0), F.size("rows") - 1), F.lit(0.0), lambda s, a: s + F.get("values", a * width + b)).alias("total")))
+    below = F.when(F.col("i") < F.col("j"), of_columns).otherwise(F.slice(of_columns, 1, 0))
+    each = blocks.select(F.explode(F.concat(of_rows, below)).alias("e")).select("e.*")
+    return each.groupBy("vec_id").agg(F.sum("n").cast("bigint").alias("n"), F.round(F.sum("total"), 5).alias("total"))
+
+
+SQL_FAR = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c1 AS (SELECT vec_id, v FROM e ORDER BY vec_id LIMIT 1)" + "".join(
+    f", c{n} AS (SELECT e.vec_id, e.v FROM e{''.join(f', c{m}' for m in range(1, n))} WHERE e.vec_id NOT IN ({', '.join(f'c{m}.vec_id' for m in range(1, n))}) ORDER BY greatest({', '.join(f'list_cosine_similarity(e.v, c{m}.v)' for m in range(1, n))}, -2), e.vec_id LIMIT 1)" for n in range(2, 7)
+)
+
+
+@BOOK.add(f"WITH {SQL_FAR} " + " UNION ALL ".join(f"SELECT {n}::INT AS place, vec_id FROM c{n}" for n in range(1, 7)))
+def spread_pictures(t: Tables) -> DataFrame:
+    """The first pictures to show: each the farthest from those before."""
+    return contrastive.farthest_points(t.embeddings, "vec_id", "embedding", 6)
