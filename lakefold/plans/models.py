@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
-from lakefold.operators import class_report, contrastive, encoders, jobs, leaders, processes
+from lakefold.operators import class_report, contrastive, encoders, export, heatmaps, jobs, leaders, processes
 from lakefold.operators.processes import Block
 from lakefold.plans.book import Book, Tables
 from lakefold.plans.evaluation import ratings
-from lakefold.session import written
+from lakefold.session import scratch_path, written
 
 BOOK = Book()
 TYPES = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD")
@@ -199,3 +199,63 @@ SQL_FAR = "e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), c1 AS
 def spread_pictures(t: Tables) -> DataFrame:
     """The first pictures to show: each the farthest from those before."""
     return contrastive.farthest_points(t.embeddings, "vec_id", "embedding", 6)
+
+
+#: Cells that touch are found by closure; a picture's sides follow from its id.
+@BOOK.add("""WITH RECURSIVE h AS (SELECT vec_id, 100 + vec_id * 37 % 900 AS w, 100 + vec_id * 91 % 700 AS h, unnest(embedding)::DOUBLE AS v, unnest(range(0, 64)) AS p FROM embeddings),
+g AS (SELECT *, greatest(v, 0) AS heat, max(greatest(v, 0)) OVER (PARTITION BY vec_id) AS top FROM h), m AS (SELECT vec_id, p, p % 8 AS x, p // 8 AS y FROM g WHERE heat >= top * 0.4 AND top > 1e-10),
+r(vec_id, a, p) AS (SELECT vec_id, p, p FROM m UNION SELECT r.vec_id, r.a, m.p FROM r JOIN m ON m.vec_id = r.vec_id AND abs(m.x - r.p % 8) <= 1 AND abs(m.y - r.p // 8) <= 1),
+l AS (SELECT vec_id, a, min(p) AS label FROM r GROUP BY vec_id, a), c AS (SELECT vec_id, label, min(a % 8) AS x0, max(a % 8) AS x1, min(a // 8) AS y0, max(a // 8) AS y1 FROM l GROUP BY vec_id, label HAVING count(*) >= 2),
+n AS (SELECT vec_id, count(*) AS n, min(x0) AS x0, min(y0) AS y0, max(x1) AS x1, max(y1) AS y1 FROM c GROUP BY vec_id), s AS (SELECT DISTINCT vec_id, w, h, greatest(w, h) AS d FROM h),
+b AS (SELECT s.vec_id, n, greatest(0, floor(greatest(0, x0 - 1) / 8 * d - (d - w) // 2)) AS x0, greatest(0, floor(greatest(0, y0 - 1) / 8 * d - (d - h) // 2)) AS y0, least(w, ceil(least(8, x1 + 2) / 8 * d - (d - w) // 2)) AS x1, least(h, ceil(least(8, y1 + 2) / 8 * d - (d - h) // 2)) AS y1 FROM s LEFT JOIN n ON n.vec_id = s.vec_id),
+i AS (SELECT *, CASE WHEN n IS NULL THEN 'no_region' WHEN n > 1 THEN 'several_regions' WHEN x1 <= x0 OR y1 <= y0 THEN 'outside' END AS issue FROM b)
+SELECT vec_id, CASE WHEN issue IS NULL THEN x0::INT || ',' || y0::INT || ',' || x1::INT || ',' || y1::INT END AS box, issue FROM i""")
+def heat_regions(t: Tables) -> DataFrame:
+    """Vectors as maps of eight by eight cells."""
+    grid = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("embedding", r * 8 + 1, 8), lambda x: F.greatest(x.cast("double"), F.lit(0.0))))
+    maps = t.embeddings.select("vec_id", grid.alias("heat"), (100 + F.col("vec_id") * 37 % 900).alias("w"), (100 + F.col("vec_id") * 91 % 700).alias("h"))
+    out = heatmaps.heat_boxes(maps, "vec_id", "heat", "w", "h")
+    return out.select("vec_id", F.when(F.col("issue").isNull(), F.concat_ws(",", "x0", "y0", "x1", "y1")).alias("box"), "issue")
+
+
+#: Parts with pictures by sign hashes; every tenth part has its neighbour's picture but for two bits.
+SQL_LINKS = """p AS (SELECT p_partkey AS k, *, list_reduce(list_transform(embedding[1:64], lambda x: CASE WHEN x > 0 THEN 1 ELSE 0 END::UBIGINT), lambda a, b: a * 2 + b)::UBIGINT AS h FROM part LEFT JOIN embeddings ON vec_id = CASE WHEN p_partkey % 10 = 3 THEN p_partkey - 1 ELSE p_partkey END),
+l AS (SELECT CAST(k AS VARCHAR) AS item_id, CASE WHEN k % 11 = 0 THEN 'unresolved' ELSE 'candidate' END AS status, CASE WHEN k % 97 = 0 THEN 'same' ELSE 'd' || k END AS sha256, CASE WHEN k % 23 <> 0 THEN p_size * 300000 + (p_partkey % 5) * 10000 - 290000 END AS size, p_size * 30 AS side, k % 29 <> 0 AS decoded, CASE WHEN k % 10 = 3 THEN xor(h, 5::UBIGINT) ELSE h END AS phash FROM p),
+o AS (SELECT sha256 FROM l GROUP BY sha256 HAVING count(*) > 1),
+j AS (SELECT *, CASE WHEN status <> 'candidate' THEN 'unresolved_link' WHEN sha256 IN (SELECT sha256 FROM o) THEN 'sha256_shared_between_slugs' WHEN size IS NULL THEN 'missing_file' WHEN size < 15360 THEN 'too_small' WHEN size > 12582912 THEN 'oversized' WHEN NOT decoded THEN 'undecodable' WHEN side < 256 THEN 'short_side_too_small' END AS first FROM l),
+n AS (SELECT DISTINCT a.item_id FROM j a JOIN j b ON a.item_id <> b.item_id AND bit_count(xor(a.phash, b.phash)) < 6 WHERE a.first IS NULL AND b.first IS NULL), r AS (SELECT j.*, coalesce(first, CASE WHEN n.item_id IS NOT NULL THEN 'phash_near_duplicate' END) AS reason FROM j LEFT JOIN n ON n.item_id = j.item_id)"""
+
+
+def linked_pictures(t: Tables) -> DataFrame:
+    k = F.col("p_partkey")
+    hashes = t.embeddings.select("vec_id", A.sign_bits(F.col("embedding"), 64).alias("h"))
+    p = t.part.withColumn("vec_id", F.when(k % 10 == 3, k - 1).otherwise(k)).join(hashes, "vec_id", "left")
+    size = F.when(k % 23 != 0, F.col("p_size") * 300_000 + k % 5 * 10_000 - 290_000)
+    side = (F.col("p_size") * 30).alias
+    return p.select(k.cast("string").alias("item_id"), F.when(k % 11 == 0, "unresolved").otherwise("candidate").alias("status"), F.concat(k.cast("string"), F.lit(".jpg")).alias("path"), F.when(k % 97 == 0, "same").otherwise(F.concat(F.lit("d"), k)).alias("sha256"), size.alias("size"), side("width"), side("height"), (k % 29 != 0).alias("decoded"), F.when(k % 10 == 3, F.col("h").bitwiseXOR(F.lit(5))).otherwise(F.col("h")).alias("phash"))
+
+
+def exported(t: Tables) -> tuple[str, dict]:
+    items = t.part.select(F.col("p_partkey").cast("string").alias("item_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("producer"), F.col("p_type").alias("color"), F.col("p_size").alias("vintage"))
+    path = scratch_path(t.spark, "export")
+    return path, export.export(items, linked_pictures(t), path)
+
+
+@BOOK.add(f"WITH {SQL_LINKS} SELECT item_id || '-0001' AS image_id, item_id AS wine_id, sha256, 'studio_front' AS view, 0 AS usable_train FROM r WHERE reason IS NULL")
+def exported_pictures(t: Tables) -> DataFrame:
+    """The picture table of an export, read back."""
+    return t.spark.read.parquet(f"{exported(t)[0]}/pictures").select("image_id", "wine_id", "sha256", "view", "usable_train")
+
+
+@BOOK.add("""SELECT CAST(p_partkey AS VARCHAR) AS wine_id, p_name AS name_ru, CASE WHEN s < 80 THEN 'train' WHEN s < 90 THEN 'validation' ELSE 'test' END AS producer_split FROM (SELECT *, ('0x' || sha256(p_brand)[1:4])::INT % 100 AS s FROM part)""")
+def exported_items(t: Tables) -> DataFrame:
+    return t.spark.read.parquet(f"{exported(t)[0]}/items").select("wine_id", "name_ru", "producer_split")
+
+
+@BOOK.add(f"WITH {SQL_LINKS} SELECT reason, count(*) AS n FROM r WHERE reason IS NOT NULL GROUP BY reason UNION ALL SELECT 'pictures', count(*) FROM r WHERE reason IS NULL UNION ALL SELECT 'items', count(*) FROM part UNION ALL SELECT 'unresolved', count(*) FROM l WHERE status <> 'candidate' UNION ALL SELECT 'candidate_links', count(*) FROM l WHERE status = 'candidate'")
+def export_summary(t: Tables) -> DataFrame:
+    """The counts that an export's summary file has."""
+    path, _ = exported(t)
+    read = t.spark.read.schema("items bigint, pictures bigint, candidate_links bigint, unresolved bigint, rejected map<string,bigint>").json(f"{path}/summary.json")
+    each = F.map_concat("rejected", F.create_map(*(x for c in ("items", "pictures", "candidate_links", "unresolved") for x in (F.lit(c), F.col(c)))))
+    return read.select(F.explode(each).alias("reason", "n"))
