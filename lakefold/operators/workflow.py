@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
+from lakefold.operators.audit import unsafe_path
+from lakefold.operators.report import at_ranks
 
 #: Reasons after which no answer is forced, reasons that a busy system gives, and those of a failed worker.
 NOT_FORCED = (
@@ -55,6 +57,49 @@ def request_outcome(df: DataFrame, least_slug: Column) -> DataFrame:
     return out.withColumn("reason_codes", F.when(forced, F.concat("codes", F.array(note))).otherwise(F.col("codes"))).drop("codes", "answered")
 
 
+def text_outcome(df: DataFrame, least_slug: Column, default_mode: str = "refuse") -> DataFrame:
+    """df with status, slug and reason_codes of requests that are answered by their label's text alone.
+
+    df: boxed (a region was given), mode (asked for), scene (null, ambiguous or invalid: what finding the region said) with
+    scene_code, reading (null without a reader, busy, ok, no_text, or another status) with reading_code, first_slug, decision,
+    decided_slug and policy_reasons of the search and its policy, policy_changed (since it was calibrated), manual (the text
+    was given), late, force. The first of these decides: no region to be had; an ambiguous scene or an invalid picture; no
+    reader, or none free; nothing read, or not read; the policy. A late request is an error that keeps its reasons. An
+    answer for a profile that was not calibrated is ambiguous. A forced request takes the centre where no region may be
+    looked for, and then gets the first candidate, or least_slug, unless a reason is one of NOT_FORCED or no region was
+    found; a region too large to read gives least_slug.
+    """
+    of = lambda *codes: F.array(*(c if isinstance(c, Column) else F.lit(c) for c in codes))
+    none = F.array().cast("array<string>")
+    mode = F.when(F.col("force") & ~F.col("boxed") & F.col("mode").isin("refuse", "auto_bbox_experimental"), "center_80_crop").otherwise(F.col("mode"))
+    df = df.withColumn("_mode", mode)
+    refused = ~F.col("boxed") & (F.col("_mode") == "refuse")
+    too_large = (F.col("scene") == "invalid") & F.col("force") & (F.col("scene_code") == "crop_too_large")
+    changed = (F.col("decision") == "accepted") & F.col("policy_changed")
+    read = ~refused & F.col("scene").isNull() & F.coalesce(F.col("reading") == "ok", F.lit(False))
+    step = lambda when, status, codes: (when, status, codes)
+    steps = [
+        step(refused, F.lit("unreadable"), of("automatic_roi_unavailable")), step(F.col("scene") == "ambiguous", F.lit("ambiguous_scene"), of(F.col("scene_code"))),
+        step(too_large, F.lit("ambiguous"), of("eval_catalog_fallback_crop_too_large")), step(F.col("scene") == "invalid", F.lit("unreadable"), of(F.col("scene_code"))),
+        step(F.col("reading").isNull(), F.lit("error"), of("ocr_not_configured")), step(F.col("reading") == "busy", F.lit("error"), of("ocr_capacity_exceeded")),
+        step(F.col("reading") == "no_text", F.lit("unreadable"), of("no_text")),
+        step(F.col("reading") != "ok", F.lit("error"), of(F.concat(F.lit("ocr_"), "reading"), F.coalesce("reading_code", F.lit("provider_error")))),
+    ]
+    status, codes = F.when(changed, "ambiguous").otherwise(F.col("decision")), F.concat(F.when(changed, of("policy_configuration_changed")).otherwise(F.col("policy_reasons")), F.when(~F.col("boxed"), of(F.col("_mode"))).otherwise(none))
+    for when, s, c in reversed(steps):
+        status, codes = F.when(when, s).otherwise(status), F.when(when, c).otherwise(codes)
+    slug = F.when(~refused & too_large, least_slug).when(read & ~changed, F.col("decided_slug"))
+    late, other = F.col("late"), F.col("boxed") | F.col("manual") | (F.col("_mode") != default_mode)
+    out = df.withColumns({"_status": status, "_codes": F.when(late, F.concat(codes, of("deadline"))).otherwise(codes), "_slug": F.when(~late, slug)})
+    uncalibrated = F.col("_slug").isNotNull() & ~F.col("force") & other
+    forced = F.col("force") & F.col("_slug").isNull() & ~refused & F.col("scene").isNull() & ~_any(F.col("_codes"), NOT_FORCED)
+    first = F.when(read, F.col("first_slug"))
+    extra = F.when(uncalibrated, of("uncalibrated_request_profile")).when(forced & first.isNotNull(), of("eval_forced_top1")).when(forced, of("eval_catalog_fallback_no_evidence")).otherwise(none)
+    final = F.when(late, "error").when(uncalibrated, "ambiguous").otherwise(F.col("_status"))
+    answer = F.when(forced, F.coalesce(first, least_slug)).when(~uncalibrated, F.col("_slug"))
+    return out.withColumns({"status": final, "slug": answer, "reason_codes": F.concat("_codes", extra)}).drop("_mode", "_status", "_codes", "_slug")
+
+
 def localization_summary(df: DataFrame) -> DataFrame:
     """One row. df: found, present (a label is in the picture), iou, coverage, latency_ms; refusals stay in the total."""
     rate = lambda c: F.count_if(F.coalesce(F.col("found") & c, F.lit(False)))
@@ -85,9 +130,11 @@ def fusion_summary(df: DataFrame, sources: tuple[str, ...] = ("text", "photo", "
     sums = {
         "raw_recall": (F.count_if(known & F.col("in_raw")), F.count_if(known)), "after_budget_recall": (F.count_if(known & F.col("in_budget")), F.count_if(known)),
         "source_failures": (F.count_if("failed"), F.count("*")), "margin_right": (F.sum(F.when(right, margin)), F.count_if(right)), "margin_wrong": (F.sum(F.when(wrong, margin)), F.count_if(wrong)),
-        "latency_p95": (F.get(F.array_sort(F.collect_list("latency_ms")), F.ceil(F.count("latency_ms") * 0.95).cast("int") - 1), F.count("latency_ms")),
+        "latency_p95": (F.max("p95"), F.count("latency_ms")),
     } | {f"missing_{s}": (F.count_if(~F.array_contains("sources", s)), F.count("*")) for s in sources}
-    one = df.agg(*(F.struct(F.lit(k).alias("metric"), a.cast("double").alias("numerator"), b.alias("denominator")).alias(k) for k, (a, b) in sums.items()))
+    ranked = at_ranks(df.withColumn("all", F.lit(0)), ["all"], "latency_ms", {"p95": lambda n: F.ceil(n * 0.95) - 1})  # one row
+    counted = df.withColumn("all", F.lit(0)).join(F.broadcast(ranked), "all", "left")
+    one = counted.agg(*(F.struct(F.lit(k).alias("metric"), a.cast("double").alias("numerator"), b.alias("denominator")).alias(k) for k, (a, b) in sums.items()))
     return one.select(F.inline(F.array(*sums)))
 
 
@@ -136,8 +183,7 @@ def category_shares(df: DataFrame, fit: DataFrame, column: str) -> DataFrame:
 
 def row_problem(path: Column, exists: Column, size: Column, decoded: Column, most: int = 12 * 1024 * 1024) -> Column:
     """missing_or_unsafe, oversized, undecodable or null: why a row has no hash."""
-    unsafe = F.coalesce(path, F.lit("")).rlike(r"^$|^/|(^|/)\.\.(/|$)")
-    return F.when(unsafe | ~exists, "missing_or_unsafe").when(size > most, "oversized").when(~decoded, "undecodable")
+    return F.when(unsafe_path(path) | ~exists, "missing_or_unsafe").when(size > most, "oversized").when(~decoded, "undecodable")
 
 
 def fingerprint(fields: list[str]) -> Column:

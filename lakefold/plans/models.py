@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
-from lakefold.operators import class_report, contrastive, encoders, export, heatmaps, jobs, leaders, processes
+from lakefold.operators import class_report, contrastive, encoders, export, heatmaps, jobs, leaders, processes, workflow
 from lakefold.operators.processes import Block
 from lakefold.plans.book import Book, Tables
 from lakefold.plans.evaluation import ratings
@@ -259,3 +259,30 @@ def export_summary(t: Tables) -> DataFrame:
     read = t.spark.read.schema("items bigint, pictures bigint, candidate_links bigint, unresolved bigint, rejected map<string,bigint>").json(f"{path}/summary.json")
     each = F.map_concat("rejected", F.create_map(*(x for c in ("items", "pictures", "candidate_links", "unresolved") for x in (F.lit(c), F.col(c)))))
     return read.select(F.explode(each).alias("reason", "n"))
+
+
+#: Order lines stand for requests; every cause meets every other one.
+@BOOK.add("""WITH r AS (SELECT l_orderkey, l_linenumber, l_partkey % 4 = 0 AS boxed, (['refuse', 'full_frame_experimental', 'auto_bbox_experimental', 'center_80_crop'])[l_linenumber % 4 + 1] AS asked, CASE l_suppkey % 6 WHEN 0 THEN 'ambiguous' WHEN 1 THEN 'invalid' END AS scene,
+ CASE WHEN l_suppkey % 6 = 0 THEN 'multiple_cam_regions' WHEN l_partkey % 2 = 0 THEN 'crop_too_large' ELSE 'image_invalid' END AS scene_code, (['ok', 'ok', 'ok', 'no_text', 'failed', 'busy', NULL])[l_partkey % 7 + 1] AS reading, CASE WHEN l_partkey % 5 > 2 THEN 'timeout' END AS reading_code, CASE WHEN l_orderkey % 5 > 0 THEN 'c' || l_partkey % 97 END AS first_slug,
+ (['accepted', 'ambiguous', 'unknown'])[l_orderkey % 3 + 1] AS decision, l_quantity::INT % 4 = 0 AS changed, l_orderkey % 8 = 0 AS manual, l_quantity::INT % 9 = 0 AS late, l_partkey % 3 = 0 AS force FROM lineitem),
+a AS (SELECT *, CASE WHEN force AND NOT boxed AND asked IN ('refuse', 'auto_bbox_experimental') THEN 'center_80_crop' ELSE asked END AS mode, decision = 'accepted' AND first_slug IS NOT NULL AS decided FROM r),
+b AS (SELECT *, NOT boxed AND mode = 'refuse' AS refused, coalesce(scene, '') AS sc, coalesce(reading, '') AS rd, decision = 'accepted' AND changed AS chg FROM a),
+c AS (SELECT *, sc = 'invalid' AND force AND scene_code = 'crop_too_large' AND NOT refused AS big, NOT refused AND sc = '' AND rd = 'ok' AS searched FROM b),
+d AS (SELECT *, CASE WHEN refused THEN 'unreadable' WHEN sc = 'ambiguous' THEN 'ambiguous_scene' WHEN big THEN 'ambiguous' WHEN sc = 'invalid' THEN 'unreadable' WHEN rd IN ('', 'busy') THEN 'error' WHEN rd = 'no_text' THEN 'unreadable' WHEN rd <> 'ok' THEN 'error' WHEN chg THEN 'ambiguous' ELSE decision END AS st,
+ CASE WHEN refused THEN 'automatic_roi_unavailable' WHEN big THEN 'eval_catalog_fallback_crop_too_large' WHEN sc <> '' THEN scene_code WHEN rd = '' THEN 'ocr_not_configured' WHEN rd = 'busy' THEN 'ocr_capacity_exceeded' WHEN rd = 'no_text' THEN 'no_text' WHEN rd <> 'ok' THEN 'ocr_failed,' || coalesce(reading_code, 'provider_error')
+ ELSE CASE WHEN chg THEN 'policy_configuration_changed' ELSE 'policy' END || CASE WHEN boxed THEN '' ELSE ',' || mode END END || CASE WHEN late THEN ',deadline' ELSE '' END AS codes, CASE WHEN late THEN NULL WHEN big THEN 'a' WHEN searched AND NOT chg AND decided THEN first_slug END AS answer FROM c),
+e AS (SELECT *, answer IS NOT NULL AND NOT force AND (boxed OR manual OR mode <> 'refuse') AS unc, force AND answer IS NULL AND NOT refused AND sc = '' AND NOT late AS forced FROM d)
+SELECT l_orderkey, l_linenumber, CASE WHEN late THEN 'error' WHEN unc THEN 'ambiguous' ELSE st END AS status, coalesce(CASE WHEN forced THEN coalesce(CASE WHEN searched THEN first_slug END, 'a') WHEN NOT unc THEN answer END, '') AS slug,
+ codes || CASE WHEN unc THEN ',uncalibrated_request_profile' WHEN forced AND searched AND first_slug IS NOT NULL THEN ',eval_forced_top1' WHEN forced THEN ',eval_catalog_fallback_no_evidence' ELSE '' END AS reason_codes FROM e""")
+def text_request_outcomes(t: Tables) -> DataFrame:
+    part, line, order, supplier, amount = (F.col(f"l_{c}") for c in ("partkey", "linenumber", "orderkey", "suppkey", "quantity"))
+    among = lambda values, key: F.element_at(F.array(*map(F.lit, values)), (key % len(values) + 1).cast("int"))
+    slug = F.when(order % 5 > 0, F.concat(F.lit("c"), part % 97))
+    decision = among(("accepted", "ambiguous", "unknown"), order)
+    rows = t.lineitem.select(
+        "l_orderkey", "l_linenumber", (part % 4 == 0).alias("boxed"), among(("refuse", "full_frame_experimental", "auto_bbox_experimental", "center_80_crop"), line).alias("mode"), F.when(supplier % 6 == 0, "ambiguous").when(supplier % 6 == 1, "invalid").alias("scene"),
+        F.when(supplier % 6 == 0, "multiple_cam_regions").when(part % 2 == 0, "crop_too_large").otherwise("image_invalid").alias("scene_code"), among(("ok", "ok", "ok", "no_text", "failed", "busy", None), part).alias("reading"), F.when(part % 5 > 2, "timeout").alias("reading_code"), slug.alias("first_slug"),
+        decision.alias("decision"), F.when(decision == "accepted", slug).alias("decided_slug"), F.array(F.lit("policy")).alias("policy_reasons"), (amount.cast("int") % 4 == 0).alias("policy_changed"), (order % 8 == 0).alias("manual"), (amount.cast("int") % 9 == 0).alias("late"), (part % 3 == 0).alias("force"),
+    )
+    out = workflow.text_outcome(rows, F.lit("a"))
+    return out.select("l_orderkey", "l_linenumber", "status", F.coalesce("slug", F.lit("")).alias("slug"), F.array_join("reason_codes", ",").alias("reason_codes"))
