@@ -40,20 +40,21 @@ def alias_in_text(texts: DataFrame, aliases: DataFrame, text_id: str, text: str,
 
     As substrings the first in the list wins a tie (without a position, in order of variant); as whole words a tie between
     different canonicals is none. Texts meet aliases on their first word, or on their first three letters (all of a shorter
-    one), so no text is compared with every alias.
+    one), so no text is compared with every alias; ids and beginnings meet first, and only texts with a hit are fetched.
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     listed = aliases if "position" in aliases.columns else aliases.withColumn("position", F.lit(0))
+    whole = texts.select(text_id, F.col(text).alias("_text"))
     first = listed.where("variant <> ''").withColumn("w", F.get(words(F.col("variant")), F.lit(0)))
     if whole_words:
-        said = texts.select(text_id, F.col(text).alias("_text"), F.explode(F.array_distinct(words(F.col(text)))).alias("w"))
+        said = texts.select(text_id, F.explode(F.array_distinct(words(F.col(text)))).alias("w"))
         padded = lambda c: F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))
-        met = said.join(first, "w").where(F.contains(padded(F.col("_text")), padded(F.col("variant"))))
+        met = said.join(first, "w").join(whole, text_id).where(F.contains(padded(F.col("_text")), padded(F.col("variant"))))
     else:
         # a variant may begin inside a word: its first letters must be in the text
         grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.array(*(F.substring(F.col(text), i, F.lit(n)) for n in (1, 2, 3)))))
-        said = texts.select(text_id, F.col(text).alias("_text"), F.explode(F.array_distinct(grams)).alias("w"))
-        met = said.join(first.withColumn("w", F.left("variant", F.lit(3))), "w").where(F.contains("_text", "variant"))
+        said = texts.select(text_id, F.explode(F.array_distinct(grams)).alias("w"))
+        met = said.join(first.withColumn("w", F.left("variant", F.lit(3))), "w").join(whole, text_id).where(F.contains("_text", "variant"))
     ranked = met.select(text_id, "variant", "canonical", "position").distinct().withColumn("n", F.length("variant")).withColumn("top", F.max("n").over(Window.partitionBy(text_id))).where("n = top")
     if whole_words:
         return ranked.groupBy(text_id).agg(F.when(F.count_distinct("canonical") == 1, F.first("canonical")).alias("canonical"))

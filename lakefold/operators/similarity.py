@@ -86,15 +86,21 @@ def best_per_owner(queries: DataFrame, gallery: DataFrame, query_id: str, item_i
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            owners = batch.column(1).to_pylist()
-            for value in dict.fromkeys(owners):
-                mine = np.array([i for i, o in enumerate(owners) if o == value])
-                mine = mine[np.argsort(np.asarray(batch.column(0).take(pa.array(mine)).to_pylist(), dtype=object), kind="stable")]
-                part = batch.take(pa.array(mine))
-                vectors = np.asarray(part.column(2).flatten(), dtype=np.float64).reshape(len(mine), -1)
-                scores = np.clip(matrix @ vectors.T, -1.0, 1.0)
-                top = scores.argmax(axis=1)
-                yield pa.record_batch([ids, part.column(1).take(pa.array(np.zeros(len(ids), dtype=np.int64))), pa.array(scores[np.arange(len(ids)), top]), part.column(0).take(pa.array(top)), pa.array(np.full(len(ids), len(mine)), pa.int64())], names=[query_id, owner, "cosine", item_id, "n"])
+            if not batch.num_rows or not len(ids):
+                continue
+            # sorted by owner, then item: each owner is a segment, and the first greatest score has the smallest item
+            table = pa.Table.from_batches([batch]).sort_by([(owner, "ascending"), (item_id, "ascending")]).combine_chunks()
+            codes = table[owner].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            starts = np.flatnonzero(np.concatenate(([True], codes[1:] != codes[:-1])))
+            sizes = np.diff(np.append(starts, len(codes)))
+            vectors = np.asarray(table[vector].combine_chunks().flatten(), dtype=np.float64).reshape(len(codes), -1)
+            for at in range(0, len(ids), 1024):
+                scores = np.clip(matrix[at : at + 1024] @ vectors.T, -1.0, 1.0)
+                best = np.maximum.reduceat(scores, starts, axis=1)
+                place = np.where(scores == np.repeat(best, sizes, axis=1), np.arange(len(codes)), len(codes))
+                top = np.minimum.reduceat(place, starts, axis=1).ravel()
+                rows, owners = np.repeat(np.arange(at, at + len(scores)), len(starts)), np.tile(starts, len(scores))
+                yield pa.record_batch([ids.take(pa.array(rows)), table[owner].combine_chunks().take(pa.array(owners)), pa.array(best.ravel()), table[item_id].combine_chunks().take(pa.array(top)), pa.array(np.tile(sizes, len(scores)), pa.int64())], names=[query_id, owner, "cosine", item_id, "n"])
 
     ddl = f"{query_id} {kind[query_id]}, {owner} {kind[owner]}, cosine double, {item_id} {kind[item_id]}, n bigint"
     each = gallery.where(F.col(vector).isNotNull()).select(item_id, owner, vector).mapInArrow(run, ddl)
