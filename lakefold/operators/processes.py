@@ -194,11 +194,12 @@ class Fit:
         return cross @ self.alpha * self.scale + self.mean, (covariance + covariance.T) / 2
 
 
-def fitted(kernel: SumKernel, rows: pd.DataFrame, value: str, theta: np.ndarray | None = None, optimize: bool = True) -> Fit:
-    """theta: parameters to start from; they stay where there are too few ratings, or optimize is false."""
+def fitted(kernel: SumKernel, rows: pd.DataFrame, value: str, theta: np.ndarray | None = None, optimize: bool = True, mean: float | None = None, scale: float | None = None) -> Fit:
+    """theta: parameters to start from; they stay where there are too few ratings, or optimize is false. mean, scale: of the
+    ratings, where not their own."""
     x, y = kernel.features(rows), rows[value].to_numpy(dtype=np.float64)
-    mean = float(y.mean())
-    scale = float(y.std()) if len(y) > 2 and y.std() > 1e-6 else 1.0
+    mean = float(y.mean()) if mean is None else mean
+    scale = (float(y.std()) if len(y) > 2 and y.std() > 1e-6 else 1.0) if scale is None else scale
     y = (y - mean) / scale
     theta = kernel.start.copy() if theta is None else np.array(theta, dtype=np.float64)
     loss = kernel.loss(theta, x, y)[0]

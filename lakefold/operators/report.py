@@ -155,7 +155,8 @@ def spearman(df: DataFrame, by: str, x: str, y: str) -> DataFrame:
     """by, rho: the correlation of average ranks; 0 where a side is constant."""
     average = lambda c: F.rank().over(Window.partitionBy(by).orderBy(c)) + (F.count("*").over(Window.partitionBy(by, c)) - 1) / 2.0
     ranked = df.select(by, average(x).alias("rx"), average(y).alias("ry"))
-    return ranked.groupBy(by).agg(F.when((F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry")), F.corr("rx", "ry")).otherwise(0.0).alias("rho"))
+    rho = F.try_divide(F.covar_pop("rx", "ry"), F.stddev_pop("rx") * F.stddev_pop("ry"))  # corr() fails on a constant side
+    return ranked.groupBy(by).agg(F.when((F.min("rx") < F.max("rx")) & (F.min("ry") < F.max("ry")), rho).otherwise(0.0).alias("rho"))
 
 
 def exact_ratio_test(wins: int, losses: int) -> float:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
-from lakefold.operators import class_report, contrastive, encoders, export, heatmaps, jobs, leaders, processes, workflow
+from lakefold.operators import class_report, contrastive, encoders, export, harness, heatmaps, jobs, leaders, processes, splits, workflow
 from lakefold.operators.processes import Block
 from lakefold.plans.book import Book, Tables
 from lakefold.plans.evaluation import ratings
@@ -286,3 +286,32 @@ def text_request_outcomes(t: Tables) -> DataFrame:
     )
     out = workflow.text_outcome(rows, F.lit("a"))
     return out.select("l_orderkey", "l_linenumber", "status", F.coalesce("slug", F.lit("")).alias("slug"), F.array_join("reason_codes", ",").alias("reason_codes"))
+
+
+def folded(t: Tables, protocol: str) -> DataFrame:
+    """The latest rating of each user's item, in the folds of a protocol, with the items' features."""
+    last = splits.last_events(ratings(t).drop("event_type", "value"), ["user_id", "item"], "ts", "event_id")
+    rows = featured(t, harness.checked_ratings(last, "user_id", "item", "rating", "ts")).withColumn("maker", F.col("item") % 20)
+    return workflow.folds(rows, protocol, "user_id", "item", "ts", "event_id", "maker", 10, 5, "s")
+
+
+@BOOK.add("""WITH i AS (SELECT vec_id AS item, embedding::DOUBLE[] AS v FROM embeddings), l AS (SELECT user_id, (props->>'$.k')::INT AS item, arg_max(value % 5, (ts, event_id)) AS rating, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS event_id FROM events GROUP BY ALL),
+o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS i, count(*) OVER (PARTITION BY user_id) AS n FROM l), f AS (SELECT o.*, v, i <= 10 AS train FROM o JOIN i USING (item) WHERE n >= 15), g AS (SELECT avg(rating) AS m FROM f WHERE train),
+p AS (SELECT item, sum(rating) AS s, count(*) AS n FROM f WHERE train GROUP BY item), u AS (SELECT user_id, avg(rating) AS own, (sum(rating) + 5 * (SELECT m FROM g)) / (count(*) + 5) AS user_mean FROM f WHERE train GROUP BY user_id),
+c AS (SELECT b.user_id, b.item, sum(greatest(0, 0.05 + list_inner_product(a.v, b.v)) * (a.rating - own)) / (sum(greatest(0, 0.05 + list_inner_product(a.v, b.v))) + 1e-9) AS gap FROM f a JOIN f b ON a.user_id = b.user_id AND a.train AND NOT b.train JOIN u ON u.user_id = b.user_id GROUP BY ALL)
+SELECT f.user_id, f.item, round((coalesce(s, 0) + 5 * m) / (coalesce(p.n, 0) + 5), 6) AS popularity, round(user_mean, 6) AS user_mean, round(own + gap, 6) AS content FROM f JOIN u ON u.user_id = f.user_id JOIN c ON c.user_id = f.user_id AND c.item = f.item LEFT JOIN p ON p.item = f.item CROSS JOIN g WHERE NOT train""")
+def harness_baselines(t: Tables) -> DataFrame:
+    """The three models that SQL expresses, on the temporal folds with a plain kernel."""
+    out = harness.scores(folded(t, "temporal"), "user_id", "item", "rating", (Block("embedding", "plain"),))
+    return out.select("user_id", "item", *(F.round(c, 6).alias(c) for c in ("popularity", "user_mean", "content")))
+
+
+@BOOK.add()
+def harness_summary(t: Tables) -> DataFrame:
+    """All five models under every protocol."""
+    out = None
+    for protocol in ("temporal", "random", "new_user", "new_item"):
+        scored = harness.scores(folded(t, protocol), "user_id", "item", "rating", BLOCKS)
+        one = harness.summary(harness.user_metrics(scored, "user_id", "item", "rating")).withColumn("protocol", F.lit(protocol))
+        out = one if out is None else out.unionByName(one)
+    return out
