@@ -172,7 +172,7 @@ def contrastive_losses(t: Tables) -> DataFrame:
     """Each label's pictures as a batch; a picture's text is one of 23."""
     texts = t.embeddings.select(F.col("vec_id").alias("t"), F.col("embedding").alias("y"))
     rows = t.embeddings.withColumns({"t": F.col("vec_id") % 23, "producer": F.concat(F.lit("p"), F.col("vec_id") % 7)}).join(texts, "t")
-    out = contrastive.contrastive_loss(rows, "label", "vec_id", "embedding", "y", "producer", "t", block=32)
+    out = contrastive.contrastive_loss(rows, "label", "vec_id", "embedding", "y", "producer", "t")
     return out.select("label", "n", *(F.round(c, 6).alias(c) for c in ("rows_loss", "columns_loss", "loss")))
 
 
