@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -35,6 +37,20 @@ def sign_bits(vector: Column, bits: int = 63) -> Column:
     return F.aggregate(chosen, F.lit(0).cast("bigint"), lambda h, x: F.shiftleft(h, 1).bitwiseOR(F.when(x > 0, F.lit(1)).otherwise(F.lit(0)).cast("bigint")))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with value computed once: a plain Column that f uses often is computed as often inside array functions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
+def rounded(x: Column, places: int) -> Column:
+    """x times 10**places to the nearest whole number, halves away from zero, over 10**places: the product is what counts, as
+    in C's round(), while Spark's round() goes by the shortest decimal digits of x."""
+    scale = float(10**places)
+    whole = F.floor(F.abs(x) * scale)
+    up = (F.abs(x) * scale - whole >= 0.5).cast("double")
+    return F.signum(x) * (whole + up) / scale
+
+
 def ratio(numerator: Column, denominator: Column) -> Column:
     """null, never 0, where there is nothing to divide by."""
     return F.try_divide(numerator.cast("double"), denominator.cast("double"))

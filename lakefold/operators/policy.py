@@ -175,8 +175,8 @@ def ordinal_code(df: DataFrame, fit: DataFrame, column: str) -> DataFrame:
 
 def block_features(blocks: list[Column]) -> Column:
     """Blocks one after another, each over the square root of their number."""
-    scale = float(len(blocks)) ** -0.5
-    return F.concat(*(F.transform(b, lambda x: x * scale) for b in blocks))
+    root = float(len(blocks)) ** 0.5
+    return F.concat(*(F.transform(b, lambda x: x / root) for b in blocks))
 
 
 def image_file_error(mime: Column, name: Column, size: Column, most: int = 12 * 1024 * 1024) -> Column:

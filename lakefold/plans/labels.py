@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lakefold.functions import arrays as A
 from lakefold.functions import geometry as G
 from lakefold.functions import text as T
 from lakefold.operators import catalog, client, entity, media, policy, similarity
@@ -195,7 +196,7 @@ def parsed_fields(t: Tables) -> DataFrame:
     listed = F.concat(F.lit("['"), F.replace("p_name", F.lit(" "), F.lit("', '")), F.lit("']"))
     rows = entity.confident(t.part.withColumn("brand", F.col("p_brand")).withColumn("c", F.col("p_size") % 10 / 10.0), "brand", "c", 0.5)
     blocks = policy.block_features([F.array(F.round(F.col("p_size") / 7.0, 6).cast("double"), F.round(F.col("p_retailprice") / 3.0, 6).cast("double")), F.array(F.col("p_partkey").cast("double"))])
-    return rows.select("p_partkey", policy.parsed_list(listed).alias("parts"), "brand", F.transform(blocks, lambda x: F.round(x, 5)).alias("features"))
+    return rows.select("p_partkey", policy.parsed_list(listed).alias("parts"), "brand", F.transform(blocks, lambda x: A.rounded(x, 5)).alias("features"))
 
 
 @BOOK.add("""WITH q AS (SELECT vec_id // 200 AS query_id, (['front', 'back'])[vec_id // 100 % 2 + 1] AS view, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id % 100 = 0),
@@ -260,8 +261,6 @@ p AS (SELECT a.vec_id AS a, b.vec_id AS b, bit_count(xor(a.h, b.h))::INT AS dist
 @BOOK.add(f"WITH {SQL_BAND} SELECT a, b, distance, sa <> sb AS cross_split, (a % 2) = (b % 2) AS same_group FROM p")
 def reviewed_pairs(t: Tables) -> DataFrame:
     """Pairs of pictures of different labels whose 64 sign bits differ in 8 to 16."""
-    from lakefold.functions import arrays as A
-
     e = t.embeddings.select("vec_id", "label", A.sign_bits(F.col("embedding"), 64).alias("h"))
     pairs = similarity.hamming_band(e, "vec_id", "h", "label", 8, 16)
     return similarity.review_pairs(pairs, e.select("vec_id", (F.col("label") % 3).alias("split"), (F.col("vec_id") % 2).alias("g")), "vec_id", "split", "g")
