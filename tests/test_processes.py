@@ -167,3 +167,28 @@ def test_users_of_a_table(spark):
     with pytest.raises(Exception, match="no whole number"):
         P.rating_probabilities(train.withColumn("v", train["v"] + 0.5), test, "user", "item", "v", BLOCKS).collect()
     assert P.predictions(train.limit(0), test, "user", "item", "v", BLOCKS).where("mean IS NOT NULL").count() == 0
+
+
+def test_equal_items_are_one_place_and_a_fit_takes_few_steps_of_each_kind(monkeypatch):
+    """The loss of repeated items is that of the whole matrix; a value and its slope share one factor; cut points have
+    slopes of their own instead of eight searches each."""
+    rng = np.random.default_rng(5)
+    kernel = P.SumKernel((P.Block("e", "plain"), P.Block("m", "matern", 2)))
+    x = [np.repeat(rng.normal(size=(9, d)), 4, axis=0) for d in (3, 2)]
+    y = rng.normal(size=36)
+    theta = kernel.start + rng.normal(0, 0.3, len(kernel.start))
+    k = kernel.gram(theta, x, x) + math.exp(2 * theta[kernel.signal + 1]) * np.eye(36)
+    gap = (theta - kernel.start) / kernel.width
+    assert math.isclose(kernel.loss(theta, x, y)[0], y @ np.linalg.solve(k, y) / 2 + np.linalg.slogdet(k)[1] / 2 + gap @ gap / 2, rel_tol=1e-10)
+    own = P.Likelihood(kernel, x, y)
+    assert math.isclose(own.by_signal(theta)(theta[kernel.signal]), own.value(theta), rel_tol=1e-10)
+    stars = rng.integers(0, 5, 36)
+    cuts = np.array([-1.0, -0.2, 0.4, 1.1])
+    score = lambda c: P.laplace(k, stars, c).evidence
+    numeric = [(score(cuts + d) - score(cuts - d)) / 2e-5 for d in np.eye(4) * 1e-5]
+    assert np.allclose(P.evidence_slope(k, stars, cuts, P.laplace(k, stars, cuts)), numeric, atol=1e-5)
+    calls = []
+    laplace = P.laplace
+    monkeypatch.setattr(P, "laplace", lambda *a, **b: (calls.append(1), laplace(*a, **b))[1])
+    P.fitted_cuts(k, stars, 5)
+    assert len(calls) < 60
