@@ -44,7 +44,8 @@ def alias_in_text(texts: DataFrame, aliases: DataFrame, text_id: str, text: str,
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
     listed = aliases if "position" in aliases.columns else aliases.withColumn("position", F.lit(0))
-    whole = texts.select(text_id, F.col(text).alias("_text"))
+    # never broadcast: files of many like texts are small, the texts are not
+    whole = texts.select(text_id, F.col(text).alias("_text")).hint("merge")
     first = listed.where("variant <> ''").withColumn("w", F.get(words(F.col("variant")), F.lit(0)))
     if whole_words:
         said = texts.select(text_id, F.explode(F.array_distinct(words(F.col(text)))).alias("w"))
