@@ -18,8 +18,7 @@ def norm(a: Column) -> Column:
 
 def unit(a: Column) -> Column:
     """a over its length; null for a zero vector or one that is not finite."""
-    length = norm(a)
-    return F.when((length > 0) & ~F.isnan(length) & (length < float("inf")), F.transform(a, lambda x: x / length))
+    return let(norm(a), lambda n: F.when((n > 0) & ~F.isnan(n) & (n < float("inf")), F.transform(a, lambda x: x / n)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
 from lakefold.operators.policy import parsed_list
+from lakefold.session import group_count
 
 _PAIR = r"""(?:'([^']*)'|"([^"]*)")\s*[:,]\s*([-+]?(?:[0-9][0-9.]*(?:[eE][-+]?[0-9]+)?|nan|inf))"""
 _MEMBERS = "array<struct<member:string,share:double>>"
@@ -27,10 +28,11 @@ def blend(text: Column) -> Column:
     last = F.aggregate(pairs, none, lambda kept, p: F.concat(F.filter(kept, lambda m: m["member"] != p["member"]), F.array(p)))
     plain = F.transform(F.array_distinct(parsed_list(text)), lambda m: member(m, F.lit(1.0)))
     members = F.coalesce(F.when(text.rlike(r"^\s*(\{|\[\s*\()"), last).otherwise(plain), none)
-    bad = F.exists(members, lambda m: (m["share"] < 0) | F.isnan(m["share"]) | (m["share"] == float("inf")))
-    total = F.aggregate(members, F.lit(0.0), lambda s, m: s + m["share"])
-    parts = F.transform(members, lambda m: member(m["member"], m["share"] / total))
-    return F.when(bad, F.raise_error(F.lit("shares have to be finite and not negative")).cast(_MEMBERS)).when(total > 0, parts).otherwise(none)
+    # each step is computed once: as plain columns the text would be read again for every member
+    return A.let(members, lambda m: A.let(F.aggregate(m, F.lit(0.0), lambda s, x: s + x["share"]), lambda total: (
+        F.when(F.exists(m, lambda x: (x["share"] < 0) | F.isnan(x["share"]) | (x["share"] == float("inf"))), F.raise_error(F.lit("shares have to be finite and not negative")).cast(_MEMBERS))
+        .when(total > 0, F.transform(m, lambda x: member(x["member"], x["share"] / total))).otherwise(none)
+    )))
 
 
 def fit_members(fit: DataFrame, members: str) -> DataFrame:
@@ -41,29 +43,31 @@ def fit_members(fit: DataFrame, members: str) -> DataFrame:
     return mass.crossJoin(F.broadcast(total)).select("member", F.when(F.col("total") > 0, F.col("mass") / F.col("total")).otherwise(1 / F.col("n")).alias("marginal"))
 
 
-def _encoded(df: DataFrame, row_id: str, members: str, vocabulary: DataFrame, value) -> DataFrame:
-    """df with value(entry of the vocabulary, share of its member in the row, known share, unknown share) for each entry."""
-    each = df.select(F.col(row_id).alias("_row"), F.explode(members).alias("m")).select("_row", "m.*")
-    met = each.join(vocabulary, "member", "left").groupBy("_row").agg(
-        F.map_from_entries(F.collect_list(F.when(F.col("marginal").isNotNull(), F.struct("member", "share")))).alias("_known"),
-        F.sum(F.when(F.col("marginal").isNull(), F.col("share")).otherwise(0.0)).alias("_unknown"),
-    )  # a row's own members
+def _encoded(df: DataFrame, members: str, vocabulary: DataFrame, value) -> DataFrame:
+    """df with vector: value(entry of the vocabulary, the row's shares of known members, its unknown share) for each entry. A
+    row has its own members, so it meets the vocabulary, one row, where it is: dealt to a stated number of tasks, since rows
+    cost far more than their bytes say."""
     order = vocabulary.agg(F.array_sort(F.collect_list(F.struct("member", "marginal"))).alias("_all"))  # one row
-    out = df.join(met, df[row_id] == met["_row"], "left").crossJoin(F.broadcast(order))
-    entry = lambda v: value(v, F.coalesce(F.try_element_at("_known", v["member"]), F.lit(0.0)))
-    return out.withColumn("vector", F.transform("_all", entry))
+    out = df.repartition(group_count(df)).crossJoin(F.broadcast(order))
+    own = F.coalesce(F.col(members), F.array().cast(_MEMBERS))
+    inside = lambda names, m: F.array_contains(names, m["member"])
+    vector = A.let(F.transform("_all", lambda v: v["member"]), lambda names: A.let(
+        F.struct(F.map_from_entries(F.filter(own, lambda m: inside(names, m))).alias("known"), F.aggregate(F.filter(own, lambda m: ~inside(names, m)), F.lit(0.0), lambda s, m: s + m["share"]).alias("unknown")),
+        lambda met: F.transform("_all", lambda v: value(v, met["known"], met["unknown"])),
+    ))
+    return out.withColumn("vector", vector).drop("_all")
 
 
 def share_vectors(df: DataFrame, row_id: str, members: str, vocabulary: DataFrame) -> DataFrame:
     """df with vector: each member's share; the mass of members outside the vocabulary, or all mass of an empty row, is
-    spread by the vocabulary's marginals. Rows have distinct ids."""
-    spread = F.when(F.coalesce(F.size(members), F.lit(0)) > 0, F.coalesce("_unknown", F.lit(0.0))).otherwise(1.0)
-    out = _encoded(df, row_id, members, vocabulary, lambda v, share: share + spread * v["marginal"])
-    return out.drop("_row", "_known", "_unknown", "_all")
+    spread by the vocabulary's marginals."""
+    empty = F.coalesce(F.size(members), F.lit(0)) <= 0
+    share = lambda known, v: F.coalesce(F.try_element_at(known, v["member"]), F.lit(0.0))
+    return _encoded(df, members, vocabulary, lambda v, known, unknown: share(known, v) + F.when(empty, 1.0).otherwise(unknown) * v["marginal"])
 
 
 def presence_vectors(df: DataFrame, row_id: str, members: str, vocabulary: DataFrame) -> DataFrame:
     """df with vector, of unit length: one for each member that the row has; the marginals for a row without a known one."""
-    none = F.coalesce(F.size("_known"), F.lit(0)) <= 0
-    out = _encoded(df, row_id, members, vocabulary, lambda v, share: F.when(none, v["marginal"]).otherwise(F.try_element_at("_known", v["member"]).isNotNull().cast("double")))
-    return out.withColumn("vector", A.unit(F.col("vector"))).drop("_row", "_known", "_unknown", "_all")
+    there = lambda known, v: F.try_element_at(known, v["member"]).isNotNull().cast("double")
+    out = _encoded(df, members, vocabulary, lambda v, known, _: F.when(F.size(known) <= 0, v["marginal"]).otherwise(there(known, v)))
+    return out.withColumn("vector", A.unit(F.col("vector")))
