@@ -205,10 +205,9 @@ SELECT query_id, item_id, round(max(cosine), 6) AS best, arg_min(view, (-cosine,
 def best_views(t: Tables) -> DataFrame:
     """The best of a query's two views of each item."""
     e = t.embeddings
-    asked = e.where("vec_id % 100 = 0").select((F.floor(F.col("vec_id") / 200)).cast("bigint").alias("query_id"), _pick(("front", "back"), F.floor(F.col("vec_id") / 100)).alias("view"), "vec_id")
-    found = similarity.cosine_top_k(e.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), e.select(F.col("vec_id").alias("item_id"), "embedding"), 1 << 20)
-    scores = found.select(F.col("query_id").alias("vec_id"), "item_id", F.round("cosine", 9).alias("cosine")).join(asked, "vec_id")
-    return similarity.over_views(scores, "query_id", "item_id", "view", "cosine").select("query_id", "item_id", F.round("best", 6).alias("best"), "best_view")
+    asked = e.where("vec_id % 100 = 0").select((F.floor(F.col("vec_id") / 200)).cast("bigint").alias("query_id"), _pick(("front", "back"), F.floor(F.col("vec_id") / 100)).alias("view"), "embedding")
+    found = similarity.best_views(asked, e.select(F.col("vec_id").alias("item_id"), "embedding"), "query_id", "view", "item_id", "embedding")
+    return found.withColumn("best", F.round("best", 6))
 
 
 @BOOK.add("SELECT p_partkey, p_name, p_brand, p_size, p_partkey % 7 = 0 AS starred FROM part")
