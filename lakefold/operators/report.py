@@ -53,6 +53,29 @@ def at_ranks(df: DataFrame, by: list[str], value: str, ranks: dict[str, Callable
     return placed.groupBy(*by).agg(*(F.max(F.when(here(f(F.col("_n"))), F.col("_v"))).alias(name) for name, f in ranks.items()))
 
 
+def percentiles(df: DataFrame, value: str, shares: dict[str, float], accuracy: int = 10_000) -> DataFrame:
+    """One row: for each name the exact percentile of value at its share, between two values in proportion (nulls do not count).
+
+    A sketch gives bounds around each percentile (n / accuracy ranks either way at most, taken twice as wide; of so few values all); a second scan
+    counts the values under the bounds and those between them, and only these few meet in one task."""
+    known = df.where(F.col(value).isNotNull()).select(F.col(value).alias("_v"))
+    edge = 2.0 / accuracy
+    around = [(name, q, max(0.0, q - edge), min(1.0, q + edge)) for name, q in shares.items()]
+    sketch = F.percentile_approx("_v", F.array(*(F.lit(x) for _, _, a, b in around for x in (a, b))), F.lit(accuracy))
+    whole = known.agg(F.count("*").alias("_n"), F.min("_v").alias("_least"), F.max("_v").alias("_most"), sketch.alias("_b"))
+    bound = lambda i, end, sure: F.col(end) if sure else F.when(F.col("_n") <= accuracy, F.col(end)).otherwise(F.get("_b", F.lit(i)))
+    bounds = whole.select("_n", F.inline(F.array(*(F.struct(F.lit(name).alias("name"), ((F.col("_n") - 1) * q).alias("rank"), bound(2 * i, "_least", a == 0).alias("low"), bound(2 * i + 1, "_most", b == 1).alias("high")) for i, (name, q, a, b) in enumerate(around)))))
+    met = known.crossJoin(F.broadcast(bounds))
+    below = met.groupBy("name").agg(F.count_if(F.col("_v") < F.col("low")).alias("before"), F.first("rank").alias("rank"))
+    inside = met.where(F.col("_v").between(F.col("low"), F.col("high"))).groupBy("name", "_v").agg(F.count("*").alias("c"))
+    to = F.sum("c").over(Window.partitionBy("name").orderBy("_v"))
+    placed = inside.withColumn("to", to).join(F.broadcast(below), "name").withColumn("to", F.col("to") + F.col("before"))
+    at = lambda r: F.max(F.when((F.col("to") - F.col("c") <= r) & (r < F.col("to")), F.col("_v")))
+    each = placed.groupBy("name").agg(at(F.floor("rank")).alias("a"), at(F.ceil("rank")).alias("b"), F.first("rank").alias("rank"))
+    one = each.select("name", (F.col("a") + (F.col("b") - F.col("a")) * (F.col("rank") - F.floor("rank"))).alias("v"))
+    return one.agg(*(F.max(F.when(F.col("name") == name, F.col("v"))).alias(name) for name in shares))
+
+
 def latency(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, min, p50, p95, p99, max, mean by group; percentiles are sorted[int((n - 1) p)]."""
     v = F.col(value)

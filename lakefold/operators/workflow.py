@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
 from lakefold.operators.audit import unsafe_path
-from lakefold.operators.report import at_ranks
+from lakefold.operators.report import at_ranks, percentiles
 
 #: Reasons after which no answer is forced, reasons that a busy system gives, and those of a failed worker.
 NOT_FORCED = (
@@ -103,12 +103,12 @@ def text_outcome(df: DataFrame, least_slug: Column, default_mode: str = "refuse"
 def localization_summary(df: DataFrame) -> DataFrame:
     """One row. df: found, present (a label is in the picture), iou, coverage, latency_ms; refusals stay in the total."""
     rate = lambda c: F.count_if(F.coalesce(F.col("found") & c, F.lit(False)))
-    return df.agg(
+    counts = df.agg(
         F.count("*").alias("total"), rate(F.lit(True)).alias("located"), A.ratio(rate(F.lit(True)), F.count("*")).alias("located_fraction"),
         F.count_if(~F.col("present")).alias("negative_total"), rate(~F.col("present")).alias("false_localizations"),
         rate(F.col("iou") >= 0.5).alias("iou_ge_0_5"), rate(F.col("coverage") >= 0.9).alias("gt_coverage_ge_0_9"),
-        F.percentile("latency_ms", F.lit(0.5)).alias("latency_ms_p50"), F.percentile("latency_ms", F.lit(0.95)).alias("latency_ms_p95"),
     )
+    return counts.crossJoin(F.broadcast(percentiles(df, "latency_ms", {"latency_ms_p50": 0.5, "latency_ms_p95": 0.95})))
 
 
 def metric_means(df: DataFrame, keys: list[str], metrics: list[str], places: int = 3) -> DataFrame:
