@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
-from lakefold.operators import contrastive, encoders, policy, report, similarity
+from lakefold.operators import contrastive, encoders, entity, policy, report, search, similarity
 
 
 def plan(df):
@@ -61,3 +61,19 @@ def test_a_unit_vector_computes_its_length_once(spark):
     df = spark.createDataFrame([([3.0, 4.0],), ([0.0, 0.0],)], "v array<double>").select(A.unit(F.col("v")).alias("u"))
     assert [r.u for r in df.collect()] == [[0.6, 0.8], None]
     assert plan(df).lower().count("aggregate(zip_with") <= 2
+
+
+def test_copies_of_items_do_not_multiply_evidence_or_records(spark):
+    """Sets of tokens, and producers with names, meet: the pairs that a join makes do not grow with copies."""
+    items = spark.range(400).select(F.col("id").alias("slug"), F.array(F.lit("t"), F.concat(F.lit("w"), F.col("id") % 3)).alias("tokens"))
+    asked = items.where("slug % 100 = 0").select(F.col("slug").alias("query_id"), "tokens")
+    out = search.top_evidence(asked, "query_id", F.col("tokens"), items, "slug", F.col("tokens"), 5)
+    got = {}
+    for r in out.orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.slug)
+    assert got == {q: [i for i in range(400) if i % 3 == q % 3][:5] for q in (0, 100, 200, 300)}
+    rows = [(i, "Maker", ("old ring", "red bolt")[i % 2], (None, 2000, 2001)[i % 3]) for i in range(60)]
+    records = spark.createDataFrame(rows[10:14] + [(99, None, "old ring", 2000)], "record_id int, producer string, name string, year int")
+    best = {r.record_id: (r.item_id, r.score) for r in entity.resolve(records, spark.createDataFrame(rows, "item_id int, producer string, name string, year int")).collect()}
+    want = {i: min(j for j in range(60) if j % 2 == i % 2 and (i % 3 == 0 or j % 3 in (0, i % 3))) for i in range(10, 14)}
+    assert best == {i: (j, 1.0) for i, j in want.items()} | {99: (None, 0.0)}
