@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lakefold.operators import processes, report
 from lakefold.operators.processes import Block, SumKernel
+from lakefold.session import group_count
 
 METHODS = ("popularity", "user_mean", "content", "linear", "process")
 #: How many ratings the overall mean weighs, the rating that is liked, and the ranks that count.
@@ -71,7 +72,8 @@ def scores(folded: DataFrame, user: str, item: str, rating: str, blocks: tuple[B
     kind = lambda c: folded.schema[c].dataType.simpleString()
     train = folded.where("role = 'train'").crossJoin(F.broadcast(overall)).select(user, item, rating, *features, "_mean", "_scale")
     test = folded.where("role = 'test'").select(*(F.col(c).alias(c) for c in (user, item, rating, *features)))
-    own = train.groupBy(user).cogroup(test.groupBy(user)).applyInPandas(predict, f"`{user}` {kind(user)}, `{item}` {kind(item)}, `{rating}` {kind(rating)}, prior double, user_mean double, content double, linear double, process double")
+    n = group_count(folded)  # stated: models cost far more than their bytes say
+    own = train.repartition(n, user).groupBy(user).cogroup(test.repartition(n, user).groupBy(user)).applyInPandas(predict, f"`{user}` {kind(user)}, `{item}` {kind(item)}, `{rating}` {kind(rating)}, prior double, user_mean double, content double, linear double, process double")
     shrunken = (F.coalesce("_s", F.lit(0.0)) + SHRINKAGE * F.col("prior")) / (F.coalesce("_n", F.lit(0)) + SHRINKAGE)
     return own.join(popular, item, "left").withColumn("popularity", shrunken).select(user, item, rating, *METHODS)
 

@@ -5,6 +5,8 @@ from pyspark.sql import functions as F
 
 from lakefold.functions import arrays as A
 from lakefold.operators import contrastive, encoders, entity, policy, report, search, similarity
+from lakefold.plans import models
+from lakefold.plans.book import Tables
 
 
 def plan(df):
@@ -77,3 +79,8 @@ def test_copies_of_items_do_not_multiply_evidence_or_records(spark):
     best = {r.record_id: (r.item_id, r.score) for r in entity.resolve(records, spark.createDataFrame(rows, "item_id int, producer string, name string, year int")).collect()}
     want = {i: min(j for j in range(60) if j % 2 == i % 2 and (i % 3 == 0 or j % 3 in (0, i % 3))) for i in range(10, 14)}
     assert best == {i: (j, 1.0) for i, j in want.items()} | {99: (None, 0.0)}
+
+
+def test_folds_are_made_once(spark):
+    folded = models.folded(Tables(spark, "/root/testdata/sf0.001"), "temporal")
+    assert "Window" not in plan(folded) and "events.parquet" not in plan(folded)
