@@ -15,6 +15,9 @@ from lakefold.functions import arrays as A
 #: Prompt templates by variant; {name}, {producer} and {label} are filled in.
 PROMPTS = {"title": ("{label}",), "name": ("{name}",), "name-producer": ("{name}, {producer}",), "visual": ("a photo of a bottle of {name}", "a label that says {name} by {producer}")}
 
+#: Letters that aliases and places in texts meet on, and the bytes up to which an alias list goes to all tasks.
+BEGINNING, FEW_BYTES = 3, 8 << 20
+
 
 def prompts(df: DataFrame, key: str, variant: str, name: str, producer: str, label: str) -> DataFrame:
     """key, prompt_no, prompt: a row per template of the variant."""
@@ -40,26 +43,29 @@ def alias_in_text(texts: DataFrame, aliases: DataFrame, text_id: str, text: str,
 
     As substrings the first in the list wins a tie (without a position, in order of variant); as whole words a tie between
     different canonicals is none. Texts meet aliases on their first word, or on their first three letters (all of a shorter
-    one), so no text is compared with every alias; ids and beginnings meet first, and only texts with a hit are fetched.
+    one), so no text is compared with every alias. As words ids and beginnings meet first, and only texts with a hit are
+    fetched; as substrings each place of a text brings as many letters as the longest alias has, so nothing is fetched.
+    Texts are never broadcast: files of many like texts are small, the texts are not. Aliases are where they are few.
     """
     words = lambda c: F.regexp_extract_all(c, F.lit(r"[\p{L}\p{N}]+"), F.lit(0))
-    listed = aliases if "position" in aliases.columns else aliases.withColumn("position", F.lit(0))
-    # never broadcast: files of many like texts are small, the texts are not
-    whole = texts.select(text_id, F.col(text).alias("_text")).hint("merge")
-    first = listed.where("variant <> ''").withColumn("w", F.get(words(F.col("variant")), F.lit(0)))
+    listed = (aliases if "position" in aliases.columns else aliases.withColumn("position", F.lit(0))).where("variant <> ''")
+    sizes = listed.agg(F.sum(F.octet_length("variant") + F.coalesce(F.octet_length("canonical"), F.lit(0)) + 64).alias("bytes"), F.max(F.length("variant")).alias("longest"), F.sort_array(F.collect_set(F.least(F.length("variant"), F.lit(BEGINNING)))).alias("beginnings")).first()
+    dealt = "broadcast" if (sizes.bytes or 0) <= FEW_BYTES else "merge"
     if whole_words:
+        first = listed.withColumn("w", F.get(words(F.col("variant")), F.lit(0))).hint(dealt)
+        whole = texts.select(text_id, F.col(text).alias("_text")).hint("merge")
         said = texts.select(text_id, F.explode(F.array_distinct(words(F.col(text)))).alias("w"))
         padded = lambda c: F.concat(F.lit(" "), F.array_join(words(c), " "), F.lit(" "))
         met = said.join(first, "w").join(whole, text_id).where(F.contains(padded(F.col("_text")), padded(F.col("variant"))))
-    else:
-        # a variant may begin inside a word: its first letters must be in the text
-        grams = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.array(*(F.substring(F.col(text), i, F.lit(n)) for n in (1, 2, 3)))))
-        said = texts.select(text_id, F.explode(F.array_distinct(grams)).alias("w"))
-        met = said.join(first.withColumn("w", F.left("variant", F.lit(3))), "w").join(whole, text_id).where(F.contains("_text", "variant"))
-    ranked = met.select(text_id, "variant", "canonical", "position").distinct().withColumn("n", F.length("variant")).withColumn("top", F.max("n").over(Window.partitionBy(text_id))).where("n = top")
-    if whole_words:
+        ranked = met.select(text_id, "variant", "canonical", "position").distinct().withColumn("n", F.length("variant")).withColumn("top", F.max("n").over(Window.partitionBy(text_id))).where("n = top")
         return ranked.groupBy(text_id).agg(F.when(F.count_distinct("canonical") == 1, F.first("canonical")).alias("canonical"))
-    return ranked.groupBy(text_id).agg(F.min_by("canonical", F.struct("position", "variant")).alias("canonical"))
+    # a variant may begin inside a word: its first letters must be in the text
+    first = listed.withColumn("w", F.left("variant", F.lit(BEGINNING))).hint(dealt)
+    places = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(1))), lambda i: F.substring(F.col(text), i, F.lit(sizes.longest or 1)))
+    said = texts.select(text_id, F.explode(places).alias("_rest")).select(text_id, "_rest", F.explode(F.array(*(F.left("_rest", F.lit(n)) for n in sizes.beginnings or [1]))).alias("w"))
+    met = said.join(first, "w").where(F.startswith("_rest", "variant"))
+    best = F.min(F.struct((-F.length("variant")).alias("n"), "position", "variant", "canonical"))
+    return met.groupBy(text_id).agg(best.alias("_best")).select(text_id, F.col("_best.canonical").alias("canonical"))
 
 
 def rerank(df: DataFrame, query_id: str, text_rank: str, text_score: str, cosine: str, share: float | None = None) -> DataFrame:

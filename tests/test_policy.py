@@ -38,6 +38,43 @@ def test_alias_ties(spark):
     assert policy.alias_in_text(both, tied, "id", "t", True).first().canonical is None
 
 
+def plans(df):
+    """Nodes of the physical plan, the operators of its joins among them."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [8 << 20, 0])
+def test_aliases_go_to_the_texts(spark, tmp_path, monkeypatch, few):
+    """A small file of many like texts is not broadcast, whatever its size says; long and short aliases are found at any
+    place, of equal ones the first in the list."""
+    monkeypatch.setattr(policy, "FEW_BYTES", few)
+    made = spark.range(500).select(F.col("id"), F.when(F.col("id") % 5 > 0, F.concat(F.lit("ab\u00e9cd\U0001f377xyz"), (F.col("id") % 3).cast("string"))).alias("t"))
+    made.write.parquet(str(tmp_path / "texts"))
+    texts = spark.read.parquet(str(tmp_path / "texts"))
+    listed = [("c", "one", 1), ("d\U0001f377xy", "long", 9), ("\u00e9cd\U0001f377", "late", 3), ("z", "last", 4), ("xyz1", "tie", 2), ("z2", "two", 5), ("", "none", 0), ("cd\U0001f377xyz2", "longest", 8), ("cd\U0001f377xyz2", "later", 9), ("nowhere", "x", 0)]
+    aliases = spark.createDataFrame(listed, "variant string, canonical string, position int")
+    got = policy.alias_in_text(texts, aliases, "id", "t", False)
+    assert "BroadcastHashJoin [w" not in (plan := plans(got)) or few and "BuildRight" in plan and "BuildLeft" not in plan
+    assert ("BroadcastExchange" in plan) == bool(few)
+    want = {}
+    for r in texts.where("t IS NOT NULL").collect():
+        hits = [(-len(v), p, v, c) for v, c, p in listed if v and v in r.t]
+        if hits:
+            want[r.id] = min(hits)[3]
+    assert {r.id: r.canonical for r in got.collect()} == want and set(want.values()) == {"late", "tie", "longest"}
+    words = policy.alias_in_text(texts, aliases, "id", "t", True)
+    assert "BuildLeft" not in plans(words)
+
+
+def test_no_aliases(spark):
+    texts = spark.createDataFrame([(1, "alpha"), (2, ""), (3, None)], "id int, t string")
+    for whole in (True, False):
+        assert policy.alias_in_text(texts, spark.createDataFrame([], "variant string, canonical string"), "id", "t", whole).collect() == []
+    same = spark.createDataFrame([(1, "a red one"), (1, "an old ring"), (None, "ring")], "id int, t string")
+    table = spark.createDataFrame([("red", "A"), ("ring", "B")], "variant string, canonical string")
+    assert sorted(((r.id or 0, r.canonical) for r in policy.alias_in_text(same, table, "id", "t", False).collect())) == [(0, "B"), (1, "B")]
+
+
 def test_ordinal_codes(spark):
     df = spark.createDataFrame([(3.0,), (5.0,), (9.0,), (None,)], "v double")
     got = [r.code for r in policy.ordinal_code(df, df.where("v < 6"), "v").orderBy("v").collect()]
