@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakefold.operators import processes, report
-from lakefold.operators.processes import Block, SumKernel
-from lakefold.session import group_count
+from lakefold.operators.processes import Block, Person, SumKernel
 
 METHODS = ("popularity", "user_mean", "content", "linear", "process")
 #: How many ratings the overall mean weighs, the rating that is liked, and the ranks that count.
@@ -39,43 +39,46 @@ def some_users(folded: DataFrame, user: str, n_users: int, seed: str) -> DataFra
     return marked.where(F.coalesce("_chosen", F.lit(False)) | F.col("population")).withColumn("role", F.when(F.col("_chosen"), F.col("role")).otherwise("train")).withColumn("asked", F.coalesce("_chosen", F.lit(False))).drop("_chosen")
 
 
-def scores(folded: DataFrame, user: str, item: str, rating: str, blocks: tuple[Block, ...]) -> DataFrame:
+def scores(folded: DataFrame, user: str, item: str, rating: str, blocks: tuple[Block, ...], items: DataFrame | None = None) -> DataFrame:
     """user, item, rating and a score by each of METHODS, for every test row. folded: ratings with role and population, as
-    workflow.folds() gives them, and the feature blocks.
+    workflow.folds() gives them, and the feature blocks, or items (item and the blocks) has these.
 
     The overall mean and deviation and the items' popularity come from population rows alone, the rest from the user's own
     train rows: a shrunken mean; the mean and the neighbours' deviations weighed by the kernel at its starts; Bayesian linear
-    weights on the joined features; the process. A user's rows are one group.
+    weights on the joined features; the process. A user's rows are read by one task.
     """
     known = folded.where("population")
     overall = known.agg(F.avg(rating).alias("_mean"), F.greatest(F.stddev_pop(rating), F.lit(1.0)).alias("_scale"))  # one row
     popular = known.groupBy(item).agg(F.sum(rating).alias("_s"), F.count("*").alias("_n"))
-    kernel, features = SumKernel(blocks), [b.column for b in blocks]
+    kernel, features = SumKernel(blocks), [b.column for b in blocks] if items is None else []
 
     def joined(x: list[np.ndarray]) -> np.ndarray:
         return np.hstack([p / 2 if b.kind == "matern" else p for b, p in zip(blocks, x, strict=True)]) / math.sqrt(len(blocks))
 
-    def predict(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: [] for c in (user, item, rating, "prior", *METHODS[1:])})
-        a = a.sort_values([item, rating], kind="stable")
-        mean, scale = float(a["_mean"].iloc[0]), float(a["_scale"].iloc[0])
-        x, t, y = kernel.features(a), kernel.features(b), a[rating].to_numpy(dtype=np.float64)
-        prior = (y.sum() + SHRINKAGE * mean) / (len(y) + SHRINKAGE)
-        near = np.maximum(kernel.gram(kernel.start, t, x), 0)
-        p, q = joined(x), joined(t)
-        return pd.DataFrame({
-            user: b[user], item: b[item], rating: b[rating], "prior": mean, "user_mean": prior, "content": y.mean() + near @ (y - y.mean()) / (near.sum(axis=1) + 1e-9),
-            "linear": prior + q @ p.T @ np.linalg.solve(p @ p.T + np.eye(len(y)), y - prior), "process": processes.fitted(kernel, a, rating, mean=mean, scale=scale).posterior(t)[0],
-        })
-
-    kind = lambda c: folded.schema[c].dataType.simpleString()
-    train = folded.where("role = 'train'").crossJoin(F.broadcast(overall)).select(user, item, rating, *features, "_mean", "_scale")
-    test = folded.where("role = 'test'").select(*(F.col(c).alias(c) for c in (user, item, rating, *features)))
-    n = group_count(folded)  # stated: models cost far more than their bytes say
-    own = train.repartition(n, user).groupBy(user).cogroup(test.repartition(n, user).groupBy(user)).applyInPandas(predict, f"`{user}` {kind(user)}, `{item}` {kind(item)}, `{rating}` {kind(rating)}, prior double, user_mean double, content double, linear double, process double")
+    def predict(people: list[Person], rows: pa.Table) -> Iterator[tuple[np.ndarray, dict]]:
+        some = [p for p in people if len(p.learnt) and len(p.asked)]
+        if not some:
+            return
+        # one row of numbers for all users
+        mean, scale = (float(rows.column(f"_{c}")[int(some[0].learnt[0])].as_py()) for c in ("mean", "scale"))
+        asked = rows.column(f"_{rating}").to_numpy()
+        fits = processes.fitted_many(kernel, [p.x for p in some], [p.y for p in some], mean=mean, scale=scale)
+        for u, fit in zip(some, fits, strict=True):
+            y = u.y
+            prior = (y.sum() + SHRINKAGE * mean) / (len(y) + SHRINKAGE)
+            near = np.maximum(kernel.gram(kernel.start, u.t, u.x), 0)
+            p, q = joined(u.x), joined(u.t)
+            yield u.asked, {
+                rating: asked[u.asked], "prior": np.full(len(u.asked), mean), "user_mean": np.full(len(u.asked), prior), "content": y.mean() + near @ (y - y.mean()) / (near.sum(axis=1) + 1e-9),
+                "linear": prior + q @ (p.T @ np.linalg.solve(p @ p.T + np.eye(len(y)), y - prior)), "process": fit.means(u.t),
+            }
+
+    kind = lambda c: f"`{c}` {folded.schema[c].dataType.simpleString()}"
+    train = folded.where("role = 'train'").crossJoin(F.broadcast(overall)).select(user, item, rating, *features, F.col("_mean").alias("mean"), F.col("_scale").alias("scale"))
+    test = folded.where("role = 'test'").select(user, item, rating, *features)
+    own = processes.by_user(train, test, user, item, rating, blocks, items, predict, f"{kind(user)}, {kind(item)}, {rating} double, prior double, user_mean double, content double, linear double, process double", processes.MOST_RATINGS, ("mean", "scale"))
     shrunken = (F.coalesce("_s", F.lit(0.0)) + SHRINKAGE * F.col("prior")) / (F.coalesce("_n", F.lit(0)) + SHRINKAGE)
-    return own.join(popular, item, "left").withColumn("popularity", shrunken).select(user, item, rating, *METHODS)
+    return own.join(popular, item, "left").withColumn("popularity", shrunken).select(user, item, F.col(rating).cast(folded.schema[rating].dataType), *METHODS)
 
 
 def user_metrics(scored: DataFrame, user: str, item: str, rating: str) -> DataFrame:

@@ -82,3 +82,20 @@ def test_chosen_users_and_errors(spark):
         with pytest.raises(Exception, match=text):
             harness.checked_ratings(wrong, "user", "item", "v", "ts").collect()
     assert harness.checked_ratings(df.withColumn("ts", F.lit(None).cast("timestamp")), "user", "item", "v", None).count() == df.count()
+
+
+def test_items_apart_are_the_same(spark):
+    """Features of a table of items give the scores of features in each row, in any number of batches; the folds have none."""
+    from tests.test_processes import rows as drawn
+
+    items = frame(spark, drawn(40, 9), ["item", "c", "p", "m"])
+    _, df = table(spark)
+    folds = workflow.folds(df.drop("c", "p", "m"), "temporal", "user", "item", "ts", "item", "maker", 8, 5, "s")
+    rounded = lambda f, *more: sorted((r.user, r.item, r.rating, *(round(r[m], 9) for m in harness.METHODS)) for r in harness.scores(f, "user", "item", "rating", BLOCKS, *more).collect())
+    folds = folds.withColumnRenamed("v", "rating")
+    want = rounded(folds.join(items, "item"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert want and rounded(folds, items) == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
